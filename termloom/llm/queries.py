@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import mixing
+from termloom.llm import fingerprints, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_mixing": mixing.op8}
+    return {"op4_fingerprints": fingerprints.op4, "op8_mixing": mixing.op8}
 
 
 def oracle_sql() -> dict[str, str]:
