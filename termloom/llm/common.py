@@ -114,3 +114,23 @@ def pieces(texts: list[str], most: int = 1 << 22) -> Iterator[slice]:
         size += len(t or "") + 1
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def save(folder: str, name: str, data: bytes) -> None:
+    """Writes a file whole or not at all, so that a repeated task leaves one copy. folder: a path or a URI that pyarrow knows."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(part := f"{path}/_{name}-{uuid.uuid4().hex}") as f:
+        f.write(data)
+    store.move(part, f"{path}/{name}")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], turn: Column, salts: int = 8, how: str = "left") -> DataFrame:
+    """left joined with right, which has one small row for each key; the rows of a key in left are dealt out by turn.
+
+    A key with a third of all rows then lies in `salts` places, and right, repeated so often, stays in proportion to its keys.
+    """
+    dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(turn), F.lit(salts)).cast("int")).join(dealt, [*keys, "_salt"], how).drop("_salt")

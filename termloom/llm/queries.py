@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import fingerprints, mixing
+from termloom.llm import archives, fingerprints, mixing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_fingerprints": fingerprints.op4, "op8_mixing": mixing.op8}
+    return {"op4_fingerprints": fingerprints.op4, "op5_archives": archives.op5, "op8_mixing": mixing.op8, "op10_token_files": token_files.op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op5_archives": archives.ORACLE, "op8_mixing": mixing.ORACLE}
