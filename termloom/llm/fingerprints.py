@@ -64,16 +64,16 @@ def likeness(a: Column, b: Column) -> Column:
 def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents in descending doc_id, null last, and what stands around each: (rows, texts).
 
-    rows: _d and _h (doc_id and a hash of the text, which name a row), _copies (equal rows are one document of the order, and
+    rows: doc_id, n_chars, _d and _h (doc_id and a hash of the text, which name a row), _copies (equal rows are one document of the order, and
     count again in the result), and the next document's _next_d, _next_h; after the last comes the first. texts: _d, _h,
-    doc_id, text, n_chars, edited: its last n_chars // 2 code points replaced by the next text's first as many, or all.
+    text, edited: its last n_chars // 2 code points replaced by the next text's first as many, or all.
     """
     null_id = F.lit(-(2**63)).cast("long")
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.coalesce("doc_id", null_id).alias("_d"), F.xxhash64(F.col("doc_id").isNull(), text).alias("_h"), "doc_id", text.alias("text"))
-    whole = docs.groupBy("_d", "_h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    whole = docs.groupBy("_d", "_h").agg(F.first("text").alias("text"))  # the same columns in all its uses: texts are dealt out once
     keys = docs.groupBy("_d", "_h").agg(F.count("*").alias("_copies"), F.max(F.length("text")).alias("n_chars"), F.max("doc_id").alias("doc_id"))
-    rows = written(ordered(keys, [F.col("doc_id").desc_nulls_last(), F.col("_h")]).drop("_before", "doc_id"), "rows")
+    rows = written(ordered(keys, [F.col("doc_id").desc_nulls_last(), F.col("_h")]).drop("_before"), "rows")
     total = rows.agg(F.count("*").alias("_total"))
     after = rows.crossJoin(F.broadcast(total)).select(((F.col("_rn") + F.col("_total") - 1) % F.col("_total")).alias("_rn"), F.col("_d").alias("_next_d"), F.col("_h").alias("_next_h"))
     rows = written(rows.join(after, "_rn"), "rows")
@@ -82,8 +82,8 @@ def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = whole.join(before, ["_d", "_h"]).select(F.col("_to_d").alias("_d"), F.col("_to_h").alias("_h"), F.substring("text", F.lit(1), F.col("_half")).alias("_head"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("_head"))
-    texts = whole.join(heads, ["_d", "_h"]).select("_d", "_h", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    return rows.drop("n_chars", "_rn"), texts
+    texts = whole.join(heads, ["_d", "_h"]).select("_d", "_h", "text", edited.alias("edited"))
+    return rows.withColumn("n_chars", F.col("n_chars").cast("long")).drop("_rn"), texts
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = texts.select("_d", "_h", F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("text")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("x"))
     each = signatures(both.select("_d", "_h", "x.edit", "x.text"), ["_d", "_h", "edit"], "text")
     pair = each.groupBy("_d", "_h").agg(*(F.max(F.when(F.col("edit") == k, F.col("sample"))).alias(name) for k, name in enumerate(("own", "changed"))))
-    about = texts.select("_d", "_h", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    about = texts.select("_d", "_h", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     found = written(about.join(pair, ["_d", "_h"], "left"), "fingerprints")
     ahead = found.select(F.col("_d").alias("_next_d"), F.col("_h").alias("_next_h"), F.col("own").alias("_next"))
     found = found.join(rows, ["_d", "_h"]).join(ahead, ["_next_d", "_next_h"])
