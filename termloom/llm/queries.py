@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import ann, archives, fingerprints, mixing, quality, sentencepieces, token_files
+from termloom.llm import ann, archives, fingerprints, mixing, ngram_join, quality, sentencepieces, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ann": ann.op1, "op3_sentencepieces": sentencepieces.op3, "op4_fingerprints": fingerprints.op4, "op5_archives": archives.op5, "op8_mixing": mixing.op8, "op9_quality": quality.op9, "op10_token_files": token_files.op10}
+    return {"op1_ann": ann.op1, "op3_sentencepieces": sentencepieces.op3, "op4_fingerprints": fingerprints.op4, "op5_archives": archives.op5, "op6_ngram_join": ngram_join.op6, "op8_mixing": mixing.op8, "op9_quality": quality.op9, "op10_token_files": token_files.op10}
 
 
 def oracle_sql() -> dict[str, str]:
