@@ -55,7 +55,8 @@ class Codebooks:
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: int = BEAM, rounds: int = 4, seed: int = 7) -> Codebooks:
-    """Codebooks for rows like x: k-means on residuals, book after book, then one joint least-squares fit to beam-searched codes."""
+    """Codebooks for rows like x: k-means on residuals, book after book, then each book refitted to
+    what the beam-searched codes of all others leave."""
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     words = min(words, len(x))
     rest, made = x.copy(), []
@@ -69,19 +70,17 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: int = BEAM,
         near = ((centres**2).sum(1) - 2 * rest @ centres.T).argmin(1)
         made.append(centres)
         rest = rest - centres[near]
-    start = Codebooks(np.stack(made))
-    codes = np.concatenate([start.encode(x[i : i + 512], beam) for i in range(0, len(x), 512)]).astype(np.int64)
-    columns = codes + np.arange(books) * words
-    gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, x.shape[1]))
-    for b in range(books):
-        held, first = np.unique(np.sort(columns[:, b]), return_index=True)
-        right[held] += np.add.reduceat(x[np.argsort(columns[:, b], kind="stable")].astype(np.float64), first)
-        for c in range(books):
-            pair = np.bincount(codes[:, b] * words + codes[:, c], minlength=words * words).reshape(words, words)
-            gram[b * words : (b + 1) * words, c * words : (c + 1) * words] = pair
-    gram[np.diag_indices_from(gram)] += 1.0  # holds what few rows use near where it was
-    right += start.words.reshape(books * words, -1)
-    return Codebooks(np.linalg.solve(gram, right).reshape(books, words, -1).astype(np.float32))
+    out = Codebooks(np.stack(made))
+    for _ in range(2):
+        codes = np.concatenate([out.encode(x[i : i + 512], beam) for i in range(0, len(x), 512)])
+        rest = x - out.decode(codes)
+        for b in range(books):
+            rest += out.words[b][codes[:, b]]
+            order = np.argsort(codes[:, b], kind="stable")
+            held, first, count = np.unique(codes[order, b], return_index=True, return_counts=True)
+            out.words[b][held] = np.add.reduceat(rest[order], first) / count[:, None]
+            rest -= out.words[b][codes[:, b]]
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
