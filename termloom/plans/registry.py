@@ -2,5 +2,476 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from termloom.functions import text as T
+from termloom.functions.similarity import dot
+from termloom.operators import chunk, dictionary, graph, layout, match, qa
+from termloom.operators.models import Extractive, complete, define_prompt, filter_prompt, parsed_definition, parsed_terms
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: T.SPACE for RE2.
+WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WS = WS.replace("[", "[^", 1)
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.split_words(F.col("text")).alias("tokens"))
+
+
+WORDS_SQL = f"t AS (SELECT doc_id, regexp_extract_all(text, '{NOT_WS}+') AS tok FROM documents)"
+
+
+@query("chunk_tokens", f"""
+WITH {WORDS_SQL}, w AS (SELECT *, unnest(range(0, len(tok), 400)) AS st FROM t)
+SELECT doc_id, st::INT AS start_token, (st // 400)::INT AS chunk_id, least(st + 500, len(tok))::INT AS end_token, array_to_string(tok[st + 1:st + 500], ' ') AS text FROM w""")
+def chunk_tokens(spark, sf_dir):
+    return chunk.token_windows(doc_words(spark, sf_dir), "tokens", 500, 100)
+
+
+@query("chunk_tokens_capped", f"""
+WITH {WORDS_SQL}, w AS (SELECT *, unnest(range(0, len(tok), 301)) AS st FROM t)
+SELECT doc_id, st::INT AS start_token, (st // 301)::INT AS chunk_id, least(300, len(tok) - st)::INT AS n_tokens, array_to_string(tok[st + 1:st + 300], ' ') AS text FROM w""")
+def chunk_tokens_capped(spark, sf_dir):
+    return chunk.capped_windows(doc_words(spark, sf_dir), "tokens", 500, 0, 300)
+
+
+@query("chunk_chars", """
+WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 900)) AS st FROM documents)
+SELECT doc_id, (st // 900)::INT AS chunk_id, substring(text, st::BIGINT + 1, 1000) AS chunk FROM w""")
+def chunk_chars(spark, sf_dir):
+    return chunk.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 1000, 100)
+
+
+@query("trim_tokens", f"WITH {WORDS_SQL} SELECT doc_id, array_to_string(tok[1:30], ' ') AS head FROM t")
+def trim_tokens(spark, sf_dir):
+    return doc_words(spark, sf_dir).select("doc_id", chunk.trim_tokens(F.col("tokens"), 30).alias("head"))
+
+
+@query("article_gate", f"WITH {WORDS_SQL} SELECT doc_id, len(tok)::INT AS n_words FROM t WHERE len(tok) >= 100")
+def article_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return qa.gated_articles(docs).select("doc_id", T.n_words(F.col("content")).alias("n_words"))
+
+
+@query("normalize_text", f"""
+SELECT doc_id, regexp_replace(lower(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g')), '[•\\-–—*_#]', '', 'g') AS normalized FROM documents""")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+@query("first_line_title", f"""
+SELECT doc_id, regexp_replace(replace(string_split(text, chr(10))[1], '#', ''), '^{WS}+|{WS}+$', '', 'g') AS title,
+  md5(CASE WHEN strpos(text, chr(10)) > 0 THEN regexp_replace(substring(text, strpos(text, chr(10)) + 1), '^{WS}+|{WS}+$', '', 'g') ELSE '' END) AS rest FROM documents""")
+def first_line_title(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_line_title(text).alias("title"), F.md5(T.after_first_line(text)).alias("rest"))
+
+
+# Terms: words of documents that are neither common nor rare.
+TERMS_SQL = """
+tok AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS surface FROM documents),
+df AS (SELECT surface AS word, count(*) AS n FROM tok WHERE length(surface) >= 6 GROUP BY 1 HAVING count(*) BETWEEN 5 AND 40),
+terms AS (SELECT word FROM df ORDER BY n DESC, word LIMIT 200)"""
+
+
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("surface")).distinct()
+
+
+def derived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = surfaces(spark, sf_dir).where(F.length("surface") >= 6).groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("n"))
+    return counts.where("n BETWEEN 5 AND 40").orderBy(F.desc("n"), "word").limit(200).select("word")
+
+
+@query("term_full_match", f"WITH {TERMS_SQL} SELECT doc_id, surface FROM tok WHERE surface IN (SELECT word FROM terms)")
+def term_full_match(spark, sf_dir):
+    return match.full_matches(surfaces(spark, sf_dir), derived_terms(spark, sf_dir), ["doc_id"]).select("doc_id", "surface")
+
+
+PARTIAL_SQL = f"""{TERMS_SQL},
+part AS (SELECT doc_id, surface, word AS compound FROM tok, terms
+  WHERE length(surface) >= 4 AND surface NOT IN (SELECT word FROM terms) AND contains(word, surface) AND word <> surface)"""
+
+
+def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.partial_matches(surfaces(spark, sf_dir).where(F.length("surface") >= 4), derived_terms(spark, sf_dir), ["doc_id"])
+
+
+@query("term_partial_match", f"WITH {PARTIAL_SQL} SELECT doc_id, surface, compound FROM part")
+def term_partial_match(spark, sf_dir):
+    return partials(spark, sf_dir).select("doc_id", "surface", "compound")
+
+
+@query("partial_lists_last", f"""
+WITH {PARTIAL_SQL}, l AS (SELECT surface, doc_id, string_agg(compound, ',' ORDER BY compound) AS compounds FROM part GROUP BY 1, 2)
+SELECT surface, arg_max(compounds, doc_id) AS compounds FROM l GROUP BY 1""")
+def partial_lists_last(spark, sf_dir):
+    return dictionary.replace_lists(partials(spark, sf_dir), "surface", "compound", "doc_id").withColumn("compounds", F.array_join("compounds", ","))
+
+
+@query("compound_edges", f"""
+WITH {PARTIAL_SQL} SELECT compound AS source, surface AS target, 'COMPOUND_OF' AS type, 1.0::DOUBLE AS weight FROM (SELECT DISTINCT surface, compound FROM part)""")
+def compound_edges(spark, sf_dir):
+    nodes = derived_terms(spark, sf_dir).select(F.col("word").alias("term"))
+    return graph.compound_edges(partials(spark, sf_dir).select("surface", "compound").distinct(), nodes)
+
+
+@query("passage_cooccurrence", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
+def passage_cooccurrence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("c")).repartition(spark.sparkContext.defaultParallelism)
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t"))
+    return docs.join(items, F.col("c").contains(F.col("t"))).select("doc_id", "item_id")
+
+
+# Nodes with definitions: the parts' names, each with the last of its types.
+NODES_SQL = "nodes AS (SELECT p_name AS term, arg_max(p_type, p_partkey) AS definition FROM part GROUP BY 1)"
+
+
+def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.merge_last(table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_type").alias("definition"), "p_partkey"), "term", "definition", "p_partkey")
+
+
+@query("definition_merge", "SELECT conv_id || ':' || role AS term, arg_max(text, turn) AS definition FROM conversations GROUP BY conv_id, role")
+def definition_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("term"), F.col("text").alias("definition"), "turn")
+    return dictionary.merge_last(rows, "term", "definition", "turn")
+
+
+@query("dictionary_upsert", """
+WITH old AS (SELECT p_name AS term, arg_max(p_type, p_partkey) AS definition FROM part WHERE p_size <= 25 GROUP BY 1),
+new AS (SELECT p_name AS term, arg_max(p_type, p_partkey) AS definition FROM part WHERE p_size > 25 GROUP BY 1)
+SELECT term, coalesce(new.definition, old.definition) AS definition FROM old FULL JOIN new USING (term)""")
+def dictionary_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_type").alias("definition"), "p_partkey", "p_size")
+    old, new = (dictionary.merge_last(rows.where(c), "term", "definition", "p_partkey") for c in ("p_size <= 25", "p_size > 25"))
+    return dictionary.upsert(old, new).select("term", "definition")
+
+
+def ordered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_nodes(spark, sf_dir).withColumn("ord", F.xxhash64("term"))
+
+
+@query("dict_lookup_exact", f"WITH {NODES_SQL}, q AS (SELECT min(term) AS t FROM nodes) SELECT true AS exact_match, 1 AS rank, term, definition, 1.0::DOUBLE AS similarity FROM nodes, q WHERE term = lower(t) AND definition <> ''")
+def dict_lookup_exact(spark, sf_dir):
+    nodes = ordered_nodes(spark, sf_dir)
+    return dictionary.dict_lookup(nodes, nodes.agg(F.min("term")).first()[0] or "").where("exact_match")
+
+
+@query("fuzzy_lookup")
+def fuzzy_lookup(spark, sf_dir):
+    return dictionary.dict_lookup(ordered_nodes(spark, sf_dir), "almond antique stel", 10)
+
+
+@query("parent_edges", f"""
+WITH {NODES_SQL}, w AS (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS term FROM part),
+n AS (SELECT term, definition FROM nodes UNION ALL SELECT term, '' FROM w)
+SELECT a.term AS source, b.term AS target, 'PARENT_TERM' AS type, 1.0::DOUBLE AS weight FROM n a, n b
+WHERE contains(lower(a.definition), b.term) AND a.term <> b.term AND b.term <> ''""")
+def parent_edges(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("term")).distinct()
+    return graph.parent_edges(part_nodes(spark, sf_dir).select("term", "definition").unionByName(words.withColumn("definition", F.lit(""))))
+
+
+@query("category_extract", f"""
+WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(.+?)tion', 1)) AS capture FROM documents)
+SELECT doc_id, regexp_replace(capture, '^{WS}+|{WS}+$', '', 'g') AS category, count(*) AS n FROM c GROUP BY 1, 2""")
+def category_extract(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?d)(.+?)tion"), F.lit(1))).alias("c"))
+    return found.groupBy("doc_id", T.strip(F.col("c")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("category_edges", f"""
+WITH w AS (SELECT p_name AS term, p_type AS definition FROM part), n AS (SELECT term, arg_max(definition, definition) AS definition FROM w GROUP BY 1
+  UNION ALL SELECT DISTINCT string_split(p_type, ' ')[1], '' FROM part),
+c AS (SELECT term, unnest(regexp_extract_all(definition, '(.+?) ', 1)) AS category FROM n)
+SELECT term AS source, category AS target, 'CATEGORY' AS type, 1.0::DOUBLE AS weight FROM c WHERE category IN (SELECT term FROM n)""")
+def category_edges(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    nodes = part.groupBy(F.col("p_name").alias("term")).agg(F.max("p_type").alias("definition"))
+    heads = part.select(F.element_at(F.split("p_type", " "), 1).alias("term")).distinct().withColumn("definition", F.lit(""))
+    return graph.category_edges(nodes.unionByName(heads), ("(.+?) ",))
+
+
+@query("term_cooccurrence", """
+WITH n AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS term FROM part), c AS (SELECT string_split(p_name, ' ')[1] AS term, lower(p_name || ' ' || p_type) AS context FROM part)
+SELECT DISTINCT least(c.term, n.term) AS a, greatest(c.term, n.term) AS b FROM c, n WHERE contains(c.context, lower(n.term)) AND c.term <> n.term""")
+def term_cooccurrence(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    first = F.element_at(F.split("p_name", " "), 1).alias("term")
+    return graph.cooccurrence(part.select(first, F.concat_ws(" ", "p_name", "p_type").alias("context")), part.select(first).distinct())
+
+
+DOT_SQL = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query("similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT_SQL}, 5) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.3")
+def similar_pairs(spark, sf_dir):
+    return graph.similar_pairs(vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 5))
+
+
+@query("similar_edges", f"""
+WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({DOT_SQL}, 5) AS weight FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.35)
+SELECT a AS source, b AS target, 'SIMILAR_MEANING' AS type, weight FROM p UNION ALL SELECT b, a, 'SIMILAR_MEANING', weight FROM p""")
+def similar_edges(spark, sf_dir):
+    return graph.similar_edges(graph.similar_pairs(vectors(spark, sf_dir), 0.35)).withColumn("weight", F.round("weight", 5))
+
+
+@query("vector_topk", f"""
+WITH s AS (SELECT b.vec_id AS id, {DOT_SQL} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0)
+SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 3""")
+def vector_topk(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return graph.top_k(v, v.where("id = 0"), 3).withColumn("score", F.round("score", 6))
+
+
+EDGES_SQL = f"""
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.35),
+e AS (SELECT a AS source, b AS target FROM p UNION ALL SELECT b, a FROM p)"""
+
+
+@query("bfs_2hop", f"""
+WITH {EDGES_SQL}, s AS (SELECT vec_id AS seed FROM embeddings WHERE vec_id % 100 = 0),
+one AS (SELECT seed, target AS node FROM s JOIN e ON source = seed), two AS (SELECT seed, target AS node FROM one JOIN e ON source = node),
+r AS (SELECT seed, seed AS node, 0 AS depth FROM s UNION ALL SELECT seed, node, 1 FROM one UNION ALL SELECT seed, node, 2 FROM two)
+SELECT seed, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
+def bfs_2hop(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    seeds = v.where("id % 100 = 0").select(F.col("id").alias("seed"))
+    edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).persist()
+    return graph.bfs(edges, seeds, 2)
+
+
+@query("graph_components", f"""
+WITH RECURSIVE {EDGES_SQL}, r AS (SELECT source AS node, source AS reached FROM e UNION SELECT r.node, e.target FROM r JOIN e ON r.reached = e.source)
+SELECT node, min(reached) AS component FROM r GROUP BY 1""")
+def graph_components(spark, sf_dir):
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return graph.connected(graph.similar_pairs(vectors(spark, sf_dir), 0.35))
+
+
+@query("optional_neighbours", f"""
+WITH {EDGES_SQL}
+SELECT vec_id AS id, coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT DISTINCT source AS x FROM e WHERE target = vec_id AND source < vec_id)), '') AS before,
+  coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT DISTINCT target AS x FROM e WHERE source = vec_id AND target > vec_id)), '') AS related FROM embeddings""")
+def optional_neighbours(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
+    return graph.neighbours(v.select("id"), edges, "UP", "UP").select("id", *(F.array_join(c, ",").alias(c) for c in ("before", "related")))
+
+
+@query("edges_first_of_type", """
+SELECT type, seq, source FROM (SELECT l_shipmode_or AS type, seq, source, row_number() OVER (PARTITION BY l_shipmode_or ORDER BY seq) AS n FROM
+  (SELECT o_orderpriority AS l_shipmode_or, o_orderkey AS seq, o_custkey AS source FROM orders)) WHERE n <= 5""")
+def edges_first_of_type(spark, sf_dir):
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("type"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("source"))
+    return graph.first_of_type(edges, "seq", 5)
+
+
+@query("entity_merge", """
+WITH r AS (SELECT 'c' || o_custkey AS entity, o_orderpriority AS entity_type, o_orderstatus AS description, 'o' || (o_orderkey % 50) AS source_id FROM orders),
+k AS (SELECT entity, entity_type, count(*) AS n FROM r GROUP BY 1, 2), m AS (SELECT entity, max(n) AS n FROM k GROUP BY 1),
+b AS (SELECT entity, min(entity_type) AS entity_type FROM k JOIN m USING (entity, n) GROUP BY 1)
+SELECT entity, b.entity_type, (SELECT string_agg(x, '<SEP>' ORDER BY x) FROM (SELECT DISTINCT description AS x FROM r r2 WHERE r2.entity = b.entity)) AS description,
+  (SELECT string_agg(x, '<SEP>' ORDER BY x) FROM (SELECT DISTINCT source_id AS x FROM r r2 WHERE r2.entity = b.entity)) AS source_id FROM b""")
+def entity_merge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    rows = o.select(text("c", F.col("o_custkey")).alias("entity"), F.col("o_orderpriority").alias("entity_type"), F.col("o_orderstatus").alias("description"), text("o", F.col("o_orderkey") % 50).alias("source_id"))
+    return graph.merge_entities(rows)
+
+
+@query("co_layout", """
+WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings), a AS (SELECT *, 2.0::DOUBLE * i / (n - 1) - 1.0 AS z FROM n), b AS (SELECT *, acos(z) AS t FROM a)
+SELECT vec_id, round(sin(t) * cos(sqrt(n * pi()) * t), 5) + 0.0 AS x, round(sin(t) * sin(sqrt(n * pi()) * t), 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM b""")
+def co_layout(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    numbered = ids.withColumn("i", F.row_number().over(Window.orderBy("vec_id")) - 1).join(F.broadcast(ids.agg(F.count("*").alias("n"))))
+    return graph.spherical_layout(numbered, "i", F.col("n")).select("vec_id", *((F.round(c, 5) + 0.0).alias(c) for c in "xyz"))
+
+
+@query("islands", """
+WITH c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM c)
+SELECT user_id, island::INT AS island, min(event_type) AS event_type, count(*) AS n FROM g GROUP BY user_id, island""")
+def islands(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    new = F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(w)) & F.lag("event_id").over(w).isNotNull(), 0).otherwise(1)
+    own = table(spark, sf_dir, "events").withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return own.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
+@query("running_page", """
+SELECT conv_id AS doc, turn::INT AS pos, (1 + sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::INT AS page FROM conversations""")
+def running_page(spark, sf_dir):
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("pos"), (F.col("role") == "assistant").alias("is_footer"))
+    return layout.footer_pages(lines).select("doc", "pos", "page")
+
+
+@query("common_footer", """
+WITH c AS (SELECT lang AS footer, count(*) AS n, min(doc_id) AS f FROM documents WHERE lang <> '' GROUP BY 1)
+SELECT footer, n FROM c WHERE n >= 0.5 * (SELECT sum(n) FROM c) ORDER BY n DESC, f LIMIT 1""")
+def common_footer(spark, sf_dir):
+    return layout.common_footer(table(spark, sf_dir, "documents").select(F.col("lang").alias("footer"), F.col("doc_id").alias("pos")))
+
+
+@query("page_distribution", "SELECT source AS page, count(*) AS n_blocks FROM documents GROUP BY 1")
+def page_distribution(spark, sf_dir):
+    return layout.page_distribution(table(spark, sf_dir, "documents").select(F.col("source").alias("page")))
+
+
+@query("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+# Documents with sections: a conversation's turns as markdown, some of them under headings.
+LINES_SQL = f"""
+m AS (SELECT conv_id AS doc, string_agg(CASE turn % 4 WHEN 0 THEN '## Part ' || turn || chr(10) WHEN 2 THEN '### Reply ' || turn || chr(10) ELSE '' END || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1),
+s AS (SELECT doc, string_split(markdown, chr(10)) AS l FROM m),
+l AS (SELECT doc, (i - 1)::INT AS pos, regexp_replace(l[i], '^{WS}+|{WS}+$', '', 'g') AS content FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+v AS (SELECT *, CASE WHEN content LIKE '## %' THEN 1 WHEN content LIKE '### %' THEN 2 END AS level FROM l WHERE content <> ''),
+x AS (SELECT *, CASE level WHEN 1 THEN regexp_replace(substring(content, 4), '^{WS}+', '') WHEN 2 THEN regexp_replace(substring(content, 5), '^{WS}+', '') ELSE content END AS text,
+  (sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT AS section FROM v),
+y AS (SELECT *, (sum(CASE WHEN level = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, section ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT AS subsection,
+  coalesce(max(CASE WHEN level = 1 THEN text END) OVER (PARTITION BY doc, section), '') AS section_name FROM x),
+items AS (SELECT doc, pos, CASE WHEN level IS NULL THEN 'text' ELSE 'heading' END AS type, level::INT AS level, content, text, section, section_name, subsection,
+  coalesce(max(CASE WHEN level = 2 THEN text END) OVER (PARTITION BY doc, section, subsection), '') AS subsection_name FROM y)"""
+BLOCKS_SQL = f"""{LINES_SQL},
+p AS (SELECT *, (1 + pos // 8)::INT AS page FROM items),
+c AS (SELECT *, CASE WHEN page = lag(page) OVER w AND section = lag(section) OVER w AND subsection = lag(subsection) OVER w THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+g AS (SELECT *, (sum(new) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT AS block FROM c),
+blocks AS (SELECT doc, block, max(page) AS page, max(section) AS section, max(section_name) AS section_name, max(subsection) AS subsection, max(subsection_name) AS subsection_name,
+  string_agg(CASE WHEN level IS NULL THEN content ELSE repeat('#', level) || ' ' || text END, chr(10) || chr(10) ORDER BY pos) AS content FROM g GROUP BY doc, block)"""
+
+
+def marked_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("string")
+    head = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("## Part "), turn, F.lit("\n"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("### Reply "), turn, F.lit("\n"))).otherwise("")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", F.concat(head, "text").alias("line"))
+    return rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x")).select("doc", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("markdown"))
+
+
+def paged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.blocks(layout.items(marked_down(spark, sf_dir)).withColumn("page", (1 + F.floor(F.col("pos") / 8)).cast("int")))
+
+
+@query("layout_items", f"WITH {LINES_SQL} SELECT * FROM items")
+def layout_items(spark, sf_dir):
+    return layout.items(marked_down(spark, sf_dir))
+
+
+@query("layout_blocks", f"WITH {BLOCKS_SQL} SELECT * FROM blocks")
+def layout_blocks(spark, sf_dir):
+    return paged_blocks(spark, sf_dir)
+
+
+CHANGES_SQL = f"""{BLOCKS_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, section, subsection, block) AS n FROM blocks),
+q AS (SELECT *, coalesce(page <> lag(page) OVER w, true) AS np, coalesce(section <> lag(section) OVER w, true) AS ds, coalesce(subsection <> lag(subsection) OVER w, true) AS du FROM n WINDOW w AS (PARTITION BY doc ORDER BY n)),
+r AS (SELECT *, np OR ds AS ns, np OR ds OR du AS nu FROM q)"""
+_MARK = "CASE WHEN np AND n > 1 THEN '---' || chr(10) ELSE '' END || CASE WHEN np THEN 'Page ' || page || chr(10) || '---' || chr(10) ELSE '' END"
+
+
+def _render_sql(head: str, body: str) -> str:
+    return f"WITH {CHANGES_SQL} SELECT doc, {head} || chr(10) || string_agg({body}, chr(10) ORDER BY n) AS markdown FROM r GROUP BY doc"
+
+
+_SUBHEAD = "CASE WHEN nu AND subsection_name <> '' THEN chr(10) || '## ' || subsection_name || chr(10) || '*Subsection ' || subsection || ' | Page ' || page || '*' || chr(10) || chr(10) ELSE '' END"
+
+
+@query("render_simple", _render_sql("'# Document Content' || chr(10)", "CASE WHEN np AND n > 1 THEN '---' || chr(10) || chr(10) ELSE '' END || CASE WHEN np THEN 'Page ' || page || chr(10) || chr(10) || '---' || chr(10) ELSE '' END || content || chr(10) || chr(10)"))
+def render_simple(spark, sf_dir):
+    return layout.render_simple(layout.ordered_blocks(paged_blocks(spark, sf_dir)))
+
+
+@query("render_detailed", _render_sql("'# Document Content (Detailed View)' || chr(10) || chr(10) || '*This view shows the complete structure with metadata*' || chr(10)", _MARK + " || chr(10) || '## Block ' || n || chr(10) || '```' || chr(10) || 'Page: ' || page || chr(10) || 'Section: ' || section || ' - ' || section_name || chr(10) || 'Subsection: ' || subsection || ' - ' || subsection_name || chr(10) || '```' || chr(10) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10)"))
+def render_detailed(spark, sf_dir):
+    return layout.render_detailed(layout.ordered_blocks(paged_blocks(spark, sf_dir)))
+
+
+@query("render_structured", _render_sql("'# Document Content (Structured View)' || chr(10)", _MARK + " || CASE WHEN ns AND section_name <> '' THEN chr(10) || '# ' || section_name || chr(10) || '*Section ' || section || '*' || chr(10) || chr(10) ELSE '' END || " + _SUBHEAD + " || CASE WHEN subsection_name = '' THEN chr(10) || '*Page ' || page || '*' || chr(10) || chr(10) ELSE '' END || content || chr(10) || chr(10)"))
+def render_structured(spark, sf_dir):
+    return layout.render_structured(layout.ordered_blocks(paged_blocks(spark, sf_dir)))
+
+
+@query("render_toc", f"""
+WITH {CHANGES_SQL},
+sec AS (SELECT doc, section, section_name, min(n) AS sn, arg_min(page, n) AS page FROM r WHERE section > 0 AND section_name <> '' GROUP BY 1, 2, 3),
+sub AS (SELECT doc, section, subsection, subsection_name, min(n) AS k, arg_min(page, n) AS page FROM r WHERE section > 0 AND subsection > 0 AND subsection_name <> '' GROUP BY 1, 2, 3, 4),
+ln AS (SELECT doc, sn, 0 AS k, '- [' || section || '. ' || section_name || '](#' || replace(lower(section_name), ' ', '-') || ') (Page ' || page || ')' AS t FROM sec
+  UNION ALL SELECT sub.doc, sec.sn, sub.k, '  - [' || sub.section || '.' || sub.subsection || '. ' || subsection_name || '](#' || replace(lower(subsection_name), ' ', '-') || ') (Page ' || sub.page || ')' FROM sub JOIN sec USING (doc, section)),
+toc AS (SELECT doc, string_agg(t, chr(10) ORDER BY sn, k) || chr(10) AS t FROM ln GROUP BY 1),
+body AS (SELECT doc, string_agg({_MARK} || CASE WHEN ns AND section_name <> '' THEN chr(10) || '# ' || section_name || chr(10) || '*Section ' || section || ' | Page ' || page || '*' || chr(10) || chr(10) ELSE '' END || {_SUBHEAD} || content, chr(10) ORDER BY n) AS b FROM r GROUP BY 1)
+SELECT doc, '# Document Content' || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || '---' || chr(10) || chr(10) || b AS markdown FROM body LEFT JOIN toc USING (doc)""")
+def render_toc(spark, sf_dir):
+    return layout.render_toc(layout.ordered_blocks(paged_blocks(spark, sf_dir)))
+
+
+@query("align_pages")
+def align_pages(spark, sf_dir):
+    """Items of each conversation's markdown, on pages of four turns each."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), (1 + F.floor(F.col("turn") / 4)).cast("int").alias("page"), "turn", "text")
+    pages = turns.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("doc", "page", F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("text"))
+    return layout.align(layout.items(marked_down(spark, sf_dir)), pages).select("doc", "pos", "page")
+
+
+@query("json_gate", "SELECT event_id, props::JSON->>'k' AS k FROM events WHERE json_valid(props) AND (props::JSON->>'k') IS NOT NULL")
+def json_gate(spark, sf_dir):
+    own = F.from_json(T.strip_fence(F.col("props")), "k string")["k"]
+    return table(spark, sf_dir, "events").select("event_id", own.alias("k")).where("k IS NOT NULL")
+
+
+@query("qa_rows", f"""
+WITH {WORDS_SQL}, w AS (SELECT *, unnest(range(0, len(tok), 400)) AS st FROM t WHERE len(tok) >= 100), c AS (SELECT *, tok[st + 1:st + 500] AS own FROM w)
+SELECT 'd' || doc_id AS source_article, (st // 400)::INT AS chunk_index, 'What is said about ' || own[1] || '?' AS question, array_to_string(own[1:20], ' ') AS answer,
+  left(array_to_string(own, ' '), 200) || '...' AS context FROM c WHERE len(own) >= 50""")
+def qa_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
+    return qa.qa_rows(docs)
+
+
+@query("term_definitions")
+def term_definitions(spark, sf_dir):
+    """A dictionary from documents: candidates by matching, a model's choice, its definitions, and the last of each term."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = match.full_matches(surfaces(spark, sf_dir), derived_terms(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
+    asked = complete(docs.join(found, "doc_id").withColumn("prompt", filter_prompt(F.col("candidates"), F.col("text"))).select("doc_id", "text", "prompt"), "prompt", "reply", Extractive)
+    each = asked.select("doc_id", "text", F.explode(parsed_terms(F.col("reply"))).alias("term"))
+    told = complete(each.withColumn("prompt", define_prompt(F.col("term"), F.lower("text"))).select("doc_id", "prompt"), "prompt", "reply", Extractive)
+    rows = told.select("doc_id", parsed_definition(F.col("reply")).alias("d")).where("d IS NOT NULL").select("doc_id", "d.term", "d.definition")
+    return dictionary.merge_last(rows, "term", "definition", "doc_id")
+
+
+@query("nearest_products", f"""
+WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings))
+SELECT a.label, count(*) AS n, round(max(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])), 5) AS best FROM embeddings a, q GROUP BY 1""")
+def nearest_products(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    last = v.agg(F.max_by("embedding", "vec_id").alias("q"))
+    return v.join(F.broadcast(last)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
