@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's ratio of matching characters; it depends on which text comes first."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -199,16 +199,14 @@ def category_extract(spark, sf_dir):
     return found.groupBy("doc_id", T.strip(F.col("c")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("category_edges", f"""
-WITH w AS (SELECT p_name AS term, p_type AS definition FROM part), n AS (SELECT term, arg_max(definition, definition) AS definition FROM w GROUP BY 1
-  UNION ALL SELECT DISTINCT string_split(p_type, ' ')[1], '' FROM part),
+@query("category_edges", """
+WITH n AS (SELECT DISTINCT p_name AS term, p_name AS definition FROM part UNION ALL SELECT DISTINCT string_split(p_name, ' ')[1], '' FROM part),
 c AS (SELECT term, unnest(regexp_extract_all(definition, '(.+?) ', 1)) AS category FROM n)
 SELECT term AS source, category AS target, 'CATEGORY' AS type, 1.0::DOUBLE AS weight FROM c WHERE category IN (SELECT term FROM n)""")
 def category_edges(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    nodes = part.groupBy(F.col("p_name").alias("term")).agg(F.max("p_type").alias("definition"))
-    heads = part.select(F.element_at(F.split("p_type", " "), 1).alias("term")).distinct().withColumn("definition", F.lit(""))
-    return graph.category_edges(nodes.unionByName(heads), ("(.+?) ",))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct()
+    heads = names.select(F.element_at(F.split("term", " "), 1).alias("term")).distinct()
+    return graph.category_edges(names.withColumn("definition", F.col("term")).unionByName(heads.withColumn("definition", F.lit(""))), ("(.+?) ",))
 
 
 @query("term_cooccurrence", """
