@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import anchor, heading_text, is_table_line, normalize, split_words, strip
+from termloom.functions.similarity import gestalt_ratio, ratio_bound
+from termloom.functions.text import anchor, heading_text, is_table_line, normalize, split_words, squeeze, strip
 
 #: Words of an item that a page must hold, as a part of all, and for items under SHORT characters.
 OVERLAP, SHORT_OVERLAP, SHORT = 0.6, 0.8, 20
@@ -201,3 +202,45 @@ def render_all(rows: DataFrame) -> DataFrame:
 
 def page_distribution(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(F.count("*").alias("n_blocks")).orderBy("page")
+
+
+def resolve_headings(lines: DataFrame, headings: DataFrame, least: float = 0.85) -> DataFrame:
+    """lines (doc, pos, text) with the heading that each is, null if none: ord, level, section and section_name.
+
+    headings: doc, ord, name, level, section, section_name. A line is the heading of the same squeezed text, else the first by
+    ord whose ratio to it is over `least`. Only lines and headings whose lengths allow such a ratio are compared."""
+    named = headings.select("doc", "ord", "level", "section", "section_name", squeeze(F.col("name")).alias("key")).where("key <> ''")
+    own = lines.withColumn("line_key", squeeze(F.col("text")))
+    exact = named.groupBy("doc", F.col("key").alias("line_key")).agg(F.min("ord").alias("ord"))
+    hit = own.join(exact, ["doc", "line_key"]).select("doc", "pos", "ord")
+    rest = own.join(hit, ["doc", "pos"], "left_anti").where("line_key <> ''")
+    texts = rest.select("doc", "line_key").distinct().join(named.select("doc", "ord", "key"), "doc").where(ratio_bound(F.col("line_key"), F.col("key")) > least)
+    near = texts.where(gestalt_ratio(F.col("line_key"), F.col("key")) > least).groupBy("doc", "line_key").agg(F.min("ord").alias("ord"))
+    found = hit.unionByName(rest.join(near, ["doc", "line_key"]).select("doc", "pos", "ord"))
+    return lines.join(found, ["doc", "pos"], "left").join(named.drop("key"), ["doc", "ord"], "left")
+
+
+def paragraphs(resolved: DataFrame) -> DataFrame:
+    """Items of resolved lines (doc, pos, page, text, level, section, section_name): a heading each, and the lines between
+    headings joined by a blank, page by page. A heading of level 1 takes its section from the list, one of level 2 counts as a
+    subsection, others leave both as they are."""
+    own = resolved.where(strip(F.col("text")) != "").withColumn("text", strip(F.col("text")))
+    top = F.col("level") == 1
+    current = lambda c, d: F.coalesce(F.last(F.when(top, F.col(c)), ignorenulls=True).over(_upto()), F.lit(d))
+    own = own.withColumns({"_part": F.sum(F.coalesce(top, F.lit(False)).cast("int")).over(_upto()), "_section": current("section", 0), "_section_name": current("section_name", "")})
+    own = own.withColumns({"subsection": F.sum((F.coalesce("level", F.lit(0)) == 2).cast("int")).over(_upto("_part")).cast("int"), "subsection_name": F.coalesce(F.last(F.when(F.col("level") == 2, F.col("text")), ignorenulls=True).over(_upto("_part")), F.lit(""))})
+    last = Window.partitionBy("doc").orderBy("pos")
+    new = F.col("level").isNotNull() | F.lag("level").over(last).isNotNull() | ~F.col("page").eqNullSafe(F.lag("page").over(last))
+    own = own.withColumn("_new", new.cast("int")).withColumn("_item", F.sum("_new").over(_upto()))
+    rows = own.groupBy("doc", "_item").agg(F.min("pos").alias("pos"), F.max("page").alias("page"), F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("x"), *(F.max(a).alias(b) for a, b in (("_section", "section"), ("_section_name", "section_name"), ("subsection", "subsection"), ("subsection_name", "subsection_name"))))
+    kind = F.when(F.col("level").isNotNull(), "heading").otherwise("text")
+    return rows.select("doc", "pos", "page", kind.alias("type"), "level", F.array_join(F.transform("x", lambda r: r["text"]), " ").alias("content"), "section", "section_name", "subsection", "subsection_name")
+
+
+def page_blocks(paged: DataFrame) -> DataFrame:
+    """Items in runs of one section and subsection within a page; contents are joined by blank lines."""
+    by_page = Window.partitionBy("doc", "page").orderBy("pos")
+    new = F.lag("pos").over(by_page).isNull() | (F.col("section") != F.lag("section").over(by_page)) | (F.col("subsection") != F.lag("subsection").over(by_page))
+    own = paged.withColumn("_new", new.cast("int")).withColumn("block", F.sum("_new").over(by_page.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    rows = own.groupBy("doc", "page", "block").agg(*(F.max_by(c, "pos").alias(c) for c in ("section", "section_name", "subsection", "subsection_name")), F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("x"))
+    return rows.withColumn("content", F.array_join(F.transform("x", lambda r: r["content"]), "\n\n")).drop("x")

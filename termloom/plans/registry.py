@@ -439,6 +439,15 @@ def align_pages(spark, sf_dir):
     return layout.align(layout.items(marked_down(spark, sf_dir)), pages).select("doc", "pos", "page")
 
 
+@query("heading_blocks")
+def heading_blocks(spark, sf_dir):
+    """Lines of each conversation, those that are nearly one of its first turn's lines being headings, in blocks within a page."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    lines = turns.select("doc", (F.col("turn") * 1000 + F.col("k")).cast("int").alias("pos"), (1 + F.floor(F.col("turn") / 2)).cast("int").alias("page"), "text")
+    names = turns.where("turn = 0").select("doc", F.col("k").alias("ord"), F.col("text").alias("name"), (1 + F.col("k") % 2).alias("level"), (1 + F.col("k")).alias("section"), F.col("text").alias("section_name"))
+    return layout.page_blocks(layout.paragraphs(layout.resolve_headings(lines, names)))
+
+
 @query("json_gate", "SELECT event_id, props::JSON->>'k' AS k FROM events WHERE json_valid(props) AND (props::JSON->>'k') IS NOT NULL")
 def json_gate(spark, sf_dir):
     own = F.from_json(T.strip_fence(F.col("props")), "k string")["k"]

@@ -103,6 +103,17 @@ def test_alignment_walks_round_and_never_back(spark):
         layout.align(items, pages.where("doc = 9")).collect()
 
 
+def test_headings_of_a_list(spark):
+    lines = [(1, 1, "Intro text"), (1, 2, "1. Overview"), (2, 3, "more"), (2, 4, "words"), (2, 5, " 1.1  details "), (3, 6, "last"), (3, 7, "2 Summary of all thinsg"), (3, 8, "end")]
+    frame = spark.createDataFrame([(1, pos, page, t) for page, pos, t in lines], "doc int, pos int, page int, text string")
+    heads = spark.createDataFrame([(1, 0, "1. overview", 1, 1, "Overview"), (1, 1, "1.1 Details", 2, 1, ""), (1, 2, "2 Summary of all things", 1, 2, "Summary")], "doc int, ord int, name string, level int, section int, section_name string")
+    resolved = layout.resolve_headings(frame, heads)
+    assert [(p, o) for p, o in rows(resolved, "pos", "ord") if o is not None] == [(2, 0), (5, 1), (7, 2)]
+    items = layout.paragraphs(resolved)
+    assert rows(items, "pos", "page", "type", "content", "section", "subsection") == [(1, 1, "text", "Intro text", 0, 0), (2, 1, "heading", "1. Overview", 1, 0), (3, 2, "text", "more words", 1, 0), (5, 2, "heading", "1.1  details", 1, 1), (6, 3, "text", "last", 1, 1), (7, 3, "heading", "2 Summary of all thinsg", 2, 0), (8, 3, "text", "end", 2, 0)]
+    assert rows(layout.page_blocks(items), "page", "block", "content")[-1] == (3, 2, "2 Summary of all thinsg\n\nend")
+
+
 def test_footers(spark):
     lines = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, False), (1, 3, True)], "doc int, pos int, is_footer boolean")
     assert [p for _, p in rows(layout.footer_pages(lines), "pos", "page")] == [1, 2, 2, 3]
