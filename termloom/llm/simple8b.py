@@ -30,8 +30,8 @@ def _widths(v: np.ndarray) -> np.ndarray:
     """Bits of each number, 0 to 64."""
     if not len(v):
         return np.zeros(0, np.uint8)
-    if int(v.max()) < 1 << 52:
-        return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    if int(v.max()) < 1 << 24:
+        return np.maximum((v.astype(np.float32).view(np.int32) >> 23) - 126, 0).astype(np.uint8)  # a float's exponent
     high = v >> np.uint64(32)
     low = np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], low).astype(np.uint8)
@@ -45,16 +45,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.full(blocks * BLOCK, 255, np.uint8)
     padded[: len(v)] = _widths(v)
     widths[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    most, take = widths[:, :BLOCK].copy(), np.zeros((blocks, BLOCK), np.int16)
+    most, short = widths[:, :BLOCK].copy(), np.zeros((blocks, BLOCK), np.uint8)
     for n, bits in _SHORT:  # most: the largest width among the next n
         if n > 1:
             np.maximum(most, widths[:, n - 1 : n - 1 + BLOCK], out=most)
-        take += most <= bits
-    if (most <= 6).any():
-        place = np.arange(BLOCK + 240, dtype=np.int32)
+        short += most <= bits
+    take = short.astype(np.int16)
+    some = np.flatnonzero((most <= 6).any(axis=1))  # blocks with words of ten numbers or more
+    for at in range(0, len(some), 256):
+        rows = some[at : at + 256]
+        own, place, longer = widths[rows], np.arange(BLOCK + 240, dtype=np.int16), take[rows]
         for n, bits in _LONG:
-            stop = np.minimum.accumulate(np.where(widths > bits, place, BLOCK + 240)[:, ::-1], axis=1)[:, ::-1]
-            take[(stop - place)[:, :BLOCK] >= n] = n
+            stop = np.minimum.accumulate(np.where(own > bits, place, np.int16(BLOCK + 240))[:, ::-1], axis=1)[:, ::-1]
+            longer[(stop - place)[:, :BLOCK] >= n] = n
+        take[rows] = longer
     # All blocks step from word to word together.
     size = np.minimum(BLOCK, len(v) - np.arange(blocks) * BLOCK)
     at, live, starts = np.zeros(blocks, np.int64), np.arange(blocks), []

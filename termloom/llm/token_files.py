@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -21,57 +24,103 @@ FILE_IDS = 4_000_000
 
 
 class ChunkEncoder:
-    """What tokenizers' Tokenizer gives for whole texts, with each chunk between spaces encoded once.
+    """What tokenizers' Tokenizer gives for whole texts, with each word encoded once.
 
-    Byte-level BPE never merges over the start of a word with its one space before, so a text is the sum of its chunks. That
-    doesn't hold beside a space that has white space on both sides, or ends the text after white space; such texts, and those
-    that hold a special token's string, go to the library whole.
+    Byte-level BPE never merges over the start of a word with its one space before, nor between the words that its pattern
+    finds, so a text is the sum of its chunks between spaces, and a chunk that of its words. The former doesn't hold beside a
+    space that has white space on both sides, or ends the text after white space; such texts, and those that hold a special
+    token's string, go to the library whole.
     """
 
     UNSURE = re.compile(r"\s \s|\s \Z")
+    #: One of these is in every text that UNSURE finds; information separators are white space to some patterns alone.
+    DOUBTS = tuple(f"{c} " for c in " \n\t\r\x0b\x0c")
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
+    RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.chunks, self.words = Tokenizer.from_file(path), most, {}, {}
+        self.find = regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the former counts no offsets
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[str], together: int = 256) -> Iterator[bytes]:
+        """The ids of words of letters alone, each after a space: many in a text, which falls apart into just these words."""
+        joined = ["".join(words[i : i + together]) for i in range(0, len(words), together)]
+        for e in self.tokenizer.encode_batch(joined, add_special_tokens=False):
+            data, word = array("I", e.ids).tobytes(), np.array(e.word_ids)
+            cut = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(data)]
+            yield from (data[x:y] for x, y in pairwise(cut))
+
+    def _learn(self, new: list[str]) -> None:
+        """Finds the ids of chunks. The one without a space before it is marked by a zero."""
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
+        words, chunks = self.words, self.chunks
+        parts = []
+        for c in new:
+            if c[:1] == "\0":
+                parts.append(self.find(c[1:]))
+            elif c.isalpha():
+                parts.append([" " + c])
+            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
+                parts.append([" " + c[:-1], c[-1]])
+            else:
+                parts.append(self.find(" " + c))
+        more = {w for own in parts for w in own if w not in words}
+        plain = [w for w in more if w[0] == " " and w[1:].isalpha()]
+        words.update(zip(plain, self._plain(plain), strict=True))
+        other = list(more.difference(plain))
+        words.update(zip(other, self._whole(other), strict=True))
+        for c, own in zip(new, parts, strict=True):
+            chunks[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+
+    def _sure(self, t: str) -> bool:
+        if any(x in t for x in self.special) or any(x in t for x in self.SEPARATORS):
+            return False
+        if any(x in t for x in self.DOUBTS) or not t.isascii() and self.RARE_SPACE.search(t):
+            return not self.UNSURE.search(t)
+        return True
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        sure = [not (self.UNSURE.search(t) or any(s in t for s in self.special)) for t in texts]
-        odd = [i for i, ok in enumerate(sure) if not ok]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = np.frombuffer(ids, "<u4")
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        chunks: dict[int, list[str]] = {}
-        for i, ok in enumerate(sure):
-            if ok:
-                first, *rest = texts[i].split(" ")
-                chunks[i] = rest
-                rest.insert(0, "\0" + first)  # the one chunk without a space before it
-        new = list({c for own in chunks.values() for c in own if c not in known})
-        for c, ids in zip(new, self._whole([c[1:] if c[:1] == "\0" else " " + c for c in new]), strict=True):
-            known[c] = ids
-        for i, own in chunks.items():
-            out[i] = np.frombuffer(b"".join([known[c] for c in own]), "<u4")
-        return out
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
+        sure = [self._sure(t) for t in texts]
+        whole = iter(self._whole([t for t, ok in zip(texts, sure, strict=True) if not ok]))
+        get = self.chunks.get
+        split = [("\0" + t).split(" ") if ok else None for t, ok in zip(texts, sure, strict=True)]
+        found = [list(map(get, own)) if own is not None else [next(whole)] for own in split]
+        lacking = [i for i, own in enumerate(found) if None in own]
+        if lacking:
+            new = list({c for i in lacking for c, ids in zip(split[i], found[i], strict=True) if ids is None})
+            self._learn(new)
+            for i in lacking:
+                found[i] = [get(c) if ids is None else ids for c, ids in zip(split[i], found[i], strict=True)]
+        return [np.frombuffer(b"".join(own), "<u4") for own in found]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> ChunkEncoder:
+    """An encoder that a Python worker keeps for all its tasks."""
+    return ChunkEncoder(path, pattern)
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int = 0) -> DataFrame:
     """Writes the ids of docs (doc_id, text) to files in ascending doc_id (null first, then by text); returns a row per file.
 
-    Each text's ids are followed by end_id; a null text is empty. Range partitions are sorted and written file by file; a file
+    tokenizer: a byte-level BPE file; pattern: the one by which it finds words. Each text's ids are followed by end_id; a null text is empty. Range partitions are sorted and written file by file; a file
     has a fixed name for its place, so a task that runs again replaces what it wrote.
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, seq = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4")
         doc_ids, ids, size = [], [], 0
 
@@ -81,7 +130,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
             return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [size], "n_docs": [len(doc_ids)]})
 
         for frame in frames:
-            names = [None if n else int(x) for x, n in zip(frame["doc_id"], frame["doc_id"].isna(), strict=True)]
+            names = [None if x is None else int(x) for x in frame["doc_id"]]
             for at in range(0, len(frame), 256):
                 for k, got in enumerate(encode(frame["text"].iloc[at : at + 256].tolist()), at):
                     doc_ids.append(names[k])
@@ -95,7 +144,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return written(placed.mapInPandas(write, "part int, seq int, n_ids long, n_docs long"), "files")
+    return written(placed.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(write, "part int, seq int, n_ids long, n_docs long"), "files")
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -128,7 +177,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    files = write_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    files = write_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, folder)
     before = ordered(files, [F.col("part"), F.col("seq")], "n_ids").select("part", "seq", "_before")
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
