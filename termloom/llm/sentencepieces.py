@@ -9,8 +9,10 @@ pieces, and the maxima at each place leave the length and id of the last piece.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ SPACE_MARK = "▁"
 #: Types of a piece and the penalty of an uncovered character under the least score: fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _SKETCH = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 19) - 1)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -50,7 +52,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Pieces:
     """A model file's pieces, ready for the search. Models that change characters before they encode aren't supported."""
 
-    def __init__(self, path: str, most_known: int = 400_000):
+    def __init__(self, path: str, most_known: int = 250_000):
         self.text, self.score, self.kind = [], [], []
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
@@ -74,6 +76,8 @@ class Pieces:
         self.keys, self.ids, self.scores = keys[order], np.array(used, np.int64)[order], np.array(self.score)[used][order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.sketch = np.zeros(int(_SKETCH) + 1, bool)
+        self.sketch[self.keys & _SKETCH] = True
         # Characters that are only ever a unit of their own may be cut at; long lines fall apart there.
         joined = set("".join(self.text[i] for i in used if len(self.text[i]) > 1))
         cut = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
@@ -85,10 +89,10 @@ class Pieces:
 
     @staticmethod
     def _sums(codes: np.ndarray) -> np.ndarray:
-        """Rolling sums of rows of code points: column j is that of the first j."""
-        out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-        for j in range(codes.shape[1]):
-            out[:, j + 1] = out[:, j] * _BASE + codes[:, j] + np.uint64(1)
+        """Rolling sums of columns of code points: row j is that of the first j."""
+        out = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+        for j in range(codes.shape[0]):
+            out[j + 1] = out[j] * _BASE + codes[j] + np.uint64(1)
         return out
 
     @staticmethod
@@ -96,41 +100,48 @@ class Pieces:
         return np.uint64(pow(int(_BASE), n, 1 << 64))
 
     def _key(self, piece: str) -> np.uint64:
-        codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)[None].astype(np.uint64)
-        return mix(self._sums(codes)[:, -1] + np.uint64(len(piece)))[0]
+        codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)[:, None].astype(np.uint64)
+        return mix(self._sums(codes)[-1] + np.uint64(len(piece)))[0]
 
-    def search(self, codes: np.ndarray) -> list[np.ndarray]:
-        """The ids of each row of code points (all of one length); -1 - c stands for a character c that no piece covers."""
+    def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of code points (of one length) one after another, and how many each has; -1 - c stands for a
+        character c that no piece covers."""
         n, size = codes.shape
-        sums, most = self._sums(codes.astype(np.uint64)), min(self.longest, size)
-        score, found = {}, {}
-        for k in range(1, most + 1):  # substrings of k characters, by their start
-            key = mix(sums[:, k:] - sums[:, :-k] * self._power(k) + np.uint64(k))
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            score[k] = np.where(hit, self.scores[at], self.unknown if k == 1 else -np.inf)
-            found[k] = np.where(hit, self.ids[at], -1 - codes.astype(np.int64) if k == 1 else -1)
-        best, length, last = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int64)
-        best[:, 0] = 0
-        row = np.arange(n)
+        codes = np.ascontiguousarray(codes.T).astype(np.uint64)  # a row for each place
+        sums, score, found = self._sums(codes), {}, {}
+        for k in range(1, min(self.longest, size) + 1):  # substrings of k characters, by their start
+            key = mix(sums[k:] - sums[:-k] * self._power(k) + np.uint64(k))
+            some = np.flatnonzero(self.sketch[key & _SKETCH])  # few others have a piece's low bits
+            own = key.reshape(-1)[some]
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = self.keys[at] == own
+            if k == 1:
+                score[k], found[k] = np.full(key.shape, self.unknown), -1 - codes.astype(np.int64)
+            elif hit.any():
+                score[k], found[k] = np.full(key.shape, -np.inf), np.zeros(key.shape, np.int64)
+            if hit.any():
+                score[k].reshape(-1)[some[hit]], found[k].reshape(-1)[some[hit]] = self.scores[at[hit]], self.ids[at[hit]]
+        best, length, last = [np.zeros(n)], np.ones((size + 1, n), np.int16), np.zeros((size + 1, n), np.int64)
         for j in range(1, size + 1):
-            ks = range(min(most, j), 0, -1)  # the longest first, which ties go to
-            sums_to = np.stack([best[:, j - k] + score[k][:, j - k] for k in ks], axis=1)
-            own = sums_to.argmax(1)
-            best[:, j], length[:, j] = sums_to[row, own], ks[0] - own
-            last[:, j] = np.stack([found[k][:, j - k] for k in ks], axis=1)[row, own]
-        steps, at = [], np.full(n, size)
+            most = np.full(n, -np.inf)
+            for k in sorted(score, reverse=True):  # the longest first, which ties go to
+                if k <= j:
+                    own = best[j - k] + score[k][j - k]
+                    better = own > most
+                    np.copyto(most, own, where=better)
+                    np.copyto(last[j], found[k][j - k], where=better)
+                    length[j][better] = k
+            best.append(most)
+        steps, at, row = [], np.full(n, size), np.arange(n)
         while at.any():
-            steps.append(np.where(at > 0, last[row, at], np.iinfo(np.int64).min))
-            at = at - np.where(at > 0, length[row, at], 0)
+            steps.append(np.where(at > 0, last[at, row], np.iinfo(np.int64).min))
+            at = at - np.where(at > 0, length[at, row], 0)
         table = np.stack(steps[::-1], axis=1)
         held = table != np.iinfo(np.int64).min
-        return np.split(table[held], np.cumsum(held.sum(1))[:-1])
+        return table[held], held.sum(1)
 
-    def _bytes_for(self, ids: np.ndarray) -> np.ndarray:
-        """ids with byte pieces in the place of uncovered characters."""
-        if (ids >= 0).all():
-            return ids
+    def _covered(self, ids: np.ndarray) -> bytes:
+        """Packed ids, with byte pieces in the place of uncovered characters."""
         out = []
         for i in ids.tolist():
             if i >= 0:
@@ -139,34 +150,39 @@ class Pieces:
                 out += [self.byte_id[b] for b in chr(-1 - i).encode("utf-8")]
             elif not (out and out[-1] == self.unknown_id):  # neighbours are one unknown piece
                 out.append(self.unknown_id)
-        return np.array(out, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        """Searches chunks (which have a space mark at their start alone, or anywhere) and keeps their ids."""
-        parts = {u: self.unit.findall(u) for u in units}
-        new = sorted({p for own in parts.values() for p in own}, key=len)
-        ids, at = {}, 0
-        while at < len(new):
-            size, end = len(new[at]), at
-            while end < len(new) and len(new[end]) == size and (end - at) * size < 200_000:
-                end += 1
-            codes = np.frombuffer("".join(new[at:end]).encode("utf-32-le"), np.uint32).reshape(end - at, size)
-            ids.update(zip(new[at:end], map(self._bytes_for, self.search(codes)), strict=True))
-            at = end
-        for u, own in parts.items():
-            self.known[u] = np.concatenate([ids[p] for p in own] or [np.zeros(0, np.int64)]).astype("<i4").tobytes()
+        return array("i", out).tobytes()
+
+    def _searched(self, units: set[str]) -> dict[str, bytes]:
+        """Packed ids of units, those of equal length together."""
+        by_length, out = sorted(units, key=len), {}
+        for size, own in groupby(by_length, len):
+            own = list(own)
+            for at in range(0, len(own), max(1, 200_000 // size)):
+                part = own[at : at + max(1, 200_000 // size)]
+                ids, n = self.search(np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), size))
+                cut = np.append(0, np.cumsum(n))
+                data, ends = ids.astype("<i4").tobytes(), (4 * cut).tolist()
+                out.update(zip(part, (data[x:y] for x, y in pairwise(ends)), strict=True))
+                for k in np.unique(np.searchsorted(cut, np.flatnonzero(ids < 0), "right") - 1).tolist():
+                    out[part[k]] = self._covered(ids[cut[k] : cut[k + 1]])
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the space mark that the format puts before it; none for a null or empty text."""
         if len(self.known) > self.most_known:
-            self.known = {}
+            self.known.clear()
+        get = self.known.get
         # Where no two space marks meet, what follows one is a chunk; other texts are split into units as a whole.
-        chunks = [[] if not t else t.split(" ") if "  " not in t and t[0] != " " and SPACE_MARK not in t else None for t in texts]
-        whole = [self.unit.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) if c is None else None for t, c in zip(texts, chunks, strict=True)]
-        known = self.known
-        new = {SPACE_MARK + x for c in chunks if c for x in c} | {x for c in whole if c for x in c}
-        self._learn([x for x in new if x not in known])
-        return [np.frombuffer(b"".join([known[x] for x in w] if w is not None else [known[SPACE_MARK + x] for x in c]), "<i4") for c, w in zip(chunks, whole, strict=True)]
+        split = [[] if not t else t.split(" ") if "  " not in t and t[0] != " " and SPACE_MARK not in t else None for t in texts]
+        found = [list(map(get, own)) if own is not None else None for own in split]
+        units = {t: self.unit.findall(SPACE_MARK + t.replace(" ", SPACE_MARK)) for t, own in zip(texts, split, strict=True) if own is None}
+        lacking = [i for i, own in enumerate(found) if own is not None and None in own]
+        new = {c: self.unit.findall(SPACE_MARK + c) for c in {c for i in lacking for c, ids in zip(split[i], found[i], strict=True) if ids is None}}
+        ids = self._searched({u for own in (*units.values(), *new.values()) for u in own})
+        self.known.update((c, ids[own[0]] if len(own) == 1 else b"".join([ids[u] for u in own])) for c, own in new.items())
+        for i in lacking:
+            found[i] = [get(c) if x is None else x for c, x in zip(split[i], found[i], strict=True)]
+        return [np.frombuffer(b"".join(own if own is not None else [ids[u] for u in units[t]]), "<i4") for t, own in zip(texts, found, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: their bytes, less the first space. Space marks in a text come back as spaces."""
