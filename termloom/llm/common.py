@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,7 +68,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """The first n powers of the hash's base and of its inverse, modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 5 << 19)
         _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_PRIME, _INVERSE)]
     return _powers
 
@@ -104,7 +105,15 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))  # text k's words are first[k]:first[k + 1]
 
 
-def pieces(texts: list[str], most: int = 1 << 22) -> Iterator[slice]:
+def trim() -> None:
+    """Gives memory that large arrays have left free back to the system, where the C library can."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
     """Slices of texts of about `most` characters together (one text at least), so that arrays over them stay small."""
     start = size = 0
     for i, t in enumerate(texts):

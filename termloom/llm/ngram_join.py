@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Words, mix, pieces, spread_join, written
+from termloom.llm.common import Words, mix, pieces, spread_join, trim, written
 from termloom.llm.components import components
 
-GROUP, QUERIES_AT_ONCE, BUCKET_CHARS = 16, 2000, 12_000_000
+GROUP, QUERIES_AT_ONCE, BUCKET_CHARS, ORDERS = 64, 500, 12_000_000, 2
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -65,21 +65,22 @@ class Ranges:
         return np.searchsorted(self.low, size, "right") - 1
 
 
-def part_hashes(own: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place in `own`) of each set's parts, for its range and the next. Two sets of similarity num/den share a hash.
+def part_hashes(own: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in `own`, range, need) of each set's parts, for its range and the next.
 
-    Of a range's parts, `spare` more than needed agree; so empty parts can be left out by sets that have no more of them.
-    The few others add a hash for each empty part, under which they meet each other."""
+    Two sets of similarity num/den share `need` hashes of a range or more, by either one's need: as many parts as there are,
+    less one for each element that can be in one set alone, less the set's empty parts, which have no hash. Where that
+    leaves nothing, the set adds a hash for each empty part, under which such sets meet each other, and needs one."""
     size = np.array([len(x) for x in own])
     full = np.flatnonzero(size)
     if not len(full):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     ranges = Ranges(num, den, int(size.max()))
-    parts, spare = np.array(ranges.parts), np.array(ranges.spare)
+    parts, low = np.array(ranges.parts), np.array(ranges.low)
     every = np.concatenate([own[i] for i in full])
     mixed, high = mix(every ^ np.uint64(0x5EED)), every >> np.uint64(32)
     of = np.repeat(np.arange(len(full)), size[full])
-    hashes, places = [], []
+    hashes, places, numbers, needs = [], [], [], []
     for ahead in (0, 1):
         number = ranges.of(size[full]) + ahead
         m = parts[number]
@@ -90,11 +91,18 @@ def part_hashes(own: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         hashes.append(mix(np.add.reduceat(mixed, first) + mix(salt[of[first]] + (part[first] << np.uint64(40)))))
         places.append(full[of[first]])
         filled = np.bincount(of[first], minlength=len(full))
-        for k in np.flatnonzero(m - filled > spare[number]):
+        n = size[full]
+        largest = np.minimum(n * den // num, low[number + 1] - 1)  # of the sets that this one can be similar to here
+        need = m - (n + largest) * (den - num) // (den + num) - (m - filled)
+        numbers.append(number[of[first]])
+        needs.append(np.maximum(need, 1)[of[first]])
+        for k in np.flatnonzero(need < 1):
             empty = np.setdiff1d(np.arange(m[k]), part[first][of[first] == k].astype(np.int64)).astype(np.uint64)
             hashes.append(mix(mix(salt[k] + (empty << np.uint64(40))) ^ np.uint64(0xE)))
             places.append(np.full(len(empty), full[k]))
-    return np.concatenate(hashes), np.concatenate(places)
+            numbers.append(np.full(len(empty), number[k]))
+            needs.append(np.ones(len(empty), np.int64))
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(numbers), np.concatenate(needs)
 
 
 def alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -117,12 +125,13 @@ def document_classes(docs: DataFrame, n: int) -> DataFrame:
                 own = sets(texts[at], n)
                 columns = [batch.column("doc_id").slice(at.start, at.stop - at.start), pa.array([len(x) for x in own], pa.int64()), pa.array([class_of(x) for x in own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class"])
+            trim()
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long, class long")
 
 
 def shared_parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """part and class, for every part hash that two classes or more have.
+    """part, class, range and need, for every part hash that two classes or more have.
 
     Each task packs its hashes by bucket. Those that several classes of one batch share go in as one, with a list beside
     the buckets, so that a hash which a third of all rows have puts one entry a batch into its bucket."""
@@ -137,36 +146,40 @@ def shared_parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 names = np.array([class_of(x) for x in own], np.int64)
                 _, once = np.unique(names, return_index=True)
                 own, names = [own[i] for i in once], names[once]
-                hashes, place = part_hashes(own, num, den)
+                hashes, place, number, need = part_hashes(own, num, den)
                 order = np.argsort(hashes, kind="stable")
-                hashes, place = hashes[order], place[order]
+                hashes, place, about = hashes[order], place[order], ((number << 16) + np.minimum(need, 65535)).astype("<u4")[order]
                 first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1))) if len(hashes) else np.zeros(0, np.int64)
                 many = np.repeat(np.diff(first, append=len(hashes)) > 1, np.diff(first, append=len(hashes)))
-                rows = [(-1 - int(hashes[first[0]] % np.uint64(buckets)) if len(first) else -1, hashes[many].tobytes(), names[place[many]].tobytes())] if many.any() else []
+                rows = [(-1 - int(hashes[first[0]] % np.uint64(buckets)) if len(first) else -1, hashes[many].tobytes(), names[place[many]].tobytes(), about[many].tobytes())] if many.any() else []
                 bucket = (hashes[first] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
                     if len(part):
-                        rows.append((int(bucket[part[0]]), hashes[first[part]].tobytes(), names[place[first[part]]].tobytes()))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["bucket", "parts", "classes"]).astype({"bucket": "int64"}), schema=schema, preserve_index=False)
+                        rows.append((int(bucket[part[0]]), hashes[first[part]].tobytes(), names[place[first[part]]].tobytes(), about[first[part]].tobytes()))
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["bucket", "parts", "classes", "about"]).astype({"bucket": "int64"}), schema=schema, preserve_index=False)
+            trim()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), np.uint64)
         names = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.int64)
+        about = np.frombuffer(b"".join(table.column("about").to_pylist()), "<u4").astype(np.int32)
         if key[0].as_py() >= 0:
             order = np.lexsort((names, parts))
-            parts, names = parts[order], names[order]
+            parts, names, about = parts[order], names[order], about[order]
             new = np.ones(len(parts), bool)
             new[1:] = (parts[1:] != parts[:-1]) | (names[1:] != names[:-1])
-            parts, names = parts[new], names[new]
+            parts, names, about = parts[new], names[new], about[new]
             same = parts[1:] == parts[:-1]
             keep = np.append(same, False) | np.append(False, same)
-            parts, names = parts[keep], names[keep]
-        return pa.table({"part": pa.array(parts.view(np.int64)), "class": pa.array(names)})
+            parts, names, about = parts[keep], names[keep], about[keep]
+            del order, new, same, keep
+        trim()
+        return pa.table({"part": pa.array(parts.view(np.int64)), "class": pa.array(names), "range": pa.array(about >> 16), "need": pa.array(about & 0xFFFF)})
 
-    schema = pa.schema([("bucket", pa.int64()), ("parts", pa.binary()), ("classes", pa.binary())])
-    packed = docs.select("text").where(F.length("text") > 0).mapInArrow(pack, "bucket long, parts binary, classes binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "part long, class long")
+    schema = pa.schema([("bucket", pa.int64()), ("parts", pa.binary()), ("classes", pa.binary()), ("about", pa.binary())])
+    packed = docs.select("text").where(F.length("text") > 0).mapInArrow(pack, "bucket long, parts binary, classes binary, about binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "part long, class long, range int, need int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -178,6 +191,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             for at in pieces(texts):
                 own = sets(texts[at], n)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["class", "set"])
+            trim()
 
     known = wanted.select(F.col("doc_id").alias("_doc"), F.col("class").alias("_class"))
     texts = docs.join(known, docs["doc_id"].eqNullSafe(known["_doc"])).select("text")
@@ -215,14 +229,18 @@ def opened(queries: DataFrame, groups: DataFrame, whole: DataFrame, num: int, de
         found = []
         if len(mine) and len(stored):
             members = [np.frombuffer(x, np.uint64) for x in stored["its_set"]]
-            union, names, apart = np.unique(np.concatenate(members)), stored["member"].to_numpy(), stored["its_component"].to_numpy()
+            union, names, components_of = np.unique(np.concatenate(members)), stored["member"].tolist(), stored["its_component"].tolist()
             for a, component, data in zip(mine["a"], mine["component"], mine["set"], strict=True):
                 own = np.frombuffer(data, np.uint64)
                 at = np.minimum(np.searchsorted(union, own), len(union) - 1)
                 # A similar member shares num/den of the query at least, all of it within the union.
                 if int((union[at] == own).sum()) * den < len(own) * num:
                     continue
-                found += [(a, int(b)) for b, c, x in zip(names, apart, members, strict=True) if c != component and alike(own, x, num, den)]
+                done = {component}  # one link to a component is as good as all
+                for b, c, x in zip(names, components_of, members, strict=True):
+                    if c not in done and alike(own, x, num, den):
+                        found.append((a, b))
+                        done.add(c)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return asked.groupBy("group", "portion").cogroup(held.groupBy("group", "portion")).applyInPandas(compare, "a long, b long")
@@ -231,30 +249,45 @@ def opened(queries: DataFrame, groups: DataFrame, whole: DataFrame, num: int, de
 def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node (a class) and root (its component), for the classes with links to others."""
     parts = written(shared_parts(docs, n, num, den).distinct(), "parts")
+    # A class that shares fewer parts than it needs with all others together is similar to none.
+    enough = parts.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
+    parts = written(spread_join(parts, enough, ["class", "range"], F.col("part"), how="inner"), "parts")
     wanted = parts.select("class").distinct().join(classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
     whole = written(whole_sets(docs, wanted, n), "sets")
-    # Stars: the classes of a part around one of them, each class with the centre that it shares most parts with.
-    turn = F.struct(F.xxhash64("class").alias("turn"), F.col("class").alias("centre"))
-    centre = parts.groupBy("part").agg(F.min(turn).alias("c")).select("part", "c.centre")
-    around = spread_join(parts, centre, ["part"], F.col("class"), how="inner").groupBy("class", "centre").agg(F.count("*").alias("n"))
-    chosen = around.where("class <> centre").groupBy("class").agg(F.max(F.struct("n", "centre")).alias("c")).select(F.col("class").alias("a"), F.col("c.centre").alias("b"))
-    chosen = written(chosen, "stars")
-    links = written(verified(chosen, whole, num, den), "links")
-    joined = components(links)
-    # What is still apart: parts whose classes have several components.
-    about = wanted.select("class").join(joined.select(F.col("node").alias("class"), "root"), "class", "left").join(chosen.select(F.col("a").alias("class"), "b"), "class", "left")
+    # Stars: the classes of a part around one of them, by several orders. Of the centres with which it shares as many parts
+    # as it needs, a class takes the first one, so that classes with much in common meet at few.
+    order = [F.xxhash64("class", F.lit(k)) for k in range(ORDERS)]
+    centre = parts.groupBy("part").agg(F.array(*(F.min(F.struct(o.alias("turn"), F.lit(k).alias("order"), F.col("class").alias("centre"))) for k, o in enumerate(order))).alias("c"))
+    around = spread_join(parts, centre, ["part"], F.col("class"), how="inner").select("class", "range", "need", F.explode("c").alias("c")).where("class <> c.centre")
+    around = around.groupBy("class", "c", "range").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    first = F.min(F.struct((F.col("n") < F.col("need")).alias("few"), "c.turn", "c.centre")).alias("f")
+    chosen = written(around.groupBy(F.col("class").alias("a"), "c.order").agg(first).select("a", "order", "f.few", F.col("f.centre").alias("b")), "stars")
+    pairs = chosen.where("NOT few").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = written(verified(pairs, whole, num, den), "links")
+    centre = chosen.where("order = 0").select(F.col("a").alias("class"), "b")
+    joined = components(links).withColumnRenamed("node", "class")
+    asked, groups = apart(parts, wanted.join(joined, "class", "left").join(centre, "class", "left"))
+    return components(links.unionByName(written(opened(asked, groups, whole, num, den), "links")))
+
+
+def apart(parts: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, groups) of the classes that share parts with other components: about has class, root (null: its own) and b,
+    the class around which it groups while it has no other component."""
     about = about.select("class", F.coalesce("root", "class").alias("component"), F.coalesce("root", "b", "class").alias("near"))
-    of_part = spread_join(parts.select("class", "part"), about, ["class"], F.col("part"), how="inner")
+    of_part = spread_join(parts, about, ["class"], F.col("part"), how="inner")
     mixed = of_part.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("part")
-    of_part = written(spread_join(of_part, mixed, ["part"], F.col("class"), how="inner"), "apart")
-    # Groups: of one component, or around one centre; chunks of them by hash, about GROUP classes each.
+    of_part = spread_join(of_part, mixed, ["part"], F.col("class"), how="inner")
+    enough = of_part.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
+    of_part = written(spread_join(of_part, enough, ["class", "range"], F.col("part"), how="inner"), "apart")
+    # Groups: of one component, or around one class; chunks of them by hash, about GROUP classes each.
     size = of_part.select("class", "near").distinct().groupBy("near").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
     named = spread_join(of_part, size, ["near"], F.struct("class", "part"), how="inner").withColumn("group", F.xxhash64("near", F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks"))))
     groups = named.select("group", "class", "component").distinct()
-    met = named.groupBy("part", "group").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    asked = named.select("part", F.col("class").alias("a"), "component").join(met, "part").where("component <> x OR component <> y").select("a", "component", "group").distinct()
-    more = written(opened(asked, groups, whole, num, den), "links")
-    return components(links.unionByName(more.select("a", "b")))
+    met = named.groupBy("part", "group").agg(F.max("component").alias("y"))
+    # The matrix over parts bounds first: a class meets the groups whose members have as many of its parts as it needs.
+    asked = named.select("part", "range", "need", F.col("class").alias("a"), "component").join(met, "part").where("component < y")  # of two components, one's classes ask
+    asked = asked.groupBy("a", "component", "group", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
+    return asked.select("a", "component", "group").distinct(), groups
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:

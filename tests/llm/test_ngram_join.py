@@ -79,8 +79,10 @@ def test_similar_sets_share_a_part(size, part, seed):
     b = np.unique(np.concatenate([b, rng.integers(0, 2**64, int(size * part / 2), dtype=np.uint64)]))
     for num, den in ((85, 100), (4, 5)):
         if len(b) and ngram_join.alike(a, b, num, den):
-            hashes, place = ngram_join.part_hashes([a, b], num, den)
-            assert set(hashes[place == 0].tolist()) & set(hashes[place == 1].tolist())
+            hashes, place, number, need = ngram_join.part_hashes([a, b], num, den)
+            mine, theirs = (set(zip(hashes[place == k].tolist(), number[place == k].tolist(), strict=True)) for k in (0, 1))
+            shared = [r for _, r in mine & theirs]
+            assert any(shared.count(r) >= max(need[number == r]) for r in set(shared))
 
 
 def test_components_of_long_chains(spark):
