@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Words, mix, pieces, written
+from termloom.llm.common import Words, mix, pieces, trim, written
 
 CELLS, BLOCKS = 1 << 20, 64
 #: A word is frequent from this part of all tokens on, and a context common; so there are 65536 and 1000 of them at most.
 FREQUENT, COMMON = 1 / 65536, 1 / 1000
 #: Tokens packed together in a task, characters for each bucket, Gibbs sweeps before the first sample, and samples averaged.
-PACK_TOKENS, BUCKET_CHARS, BURN_IN, SAMPLES = 2_500_000, 24_000_000, 2, 3
+PACK_TOKENS, BUCKET_CHARS, BURN_IN, SAMPLES = 1_000_000, 16_000_000, 2, 3
 THETA, ROOT_THETA, ROOT_DISCOUNT = 1.0, 10.0, 0.5
 START, END = (mix(np.array([x], np.uint64))[0] for x in (0x57A127, 0xE2D))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -123,7 +124,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Of some documents of a task together: number, doc_ids, held-out flags, tokens of each, and context, word and document
     of every pair of neighbours (a start before the first word, an end after the last)."""
     seq, held, size = 0, [], 0
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
         texts, ids, out = batch.column("text").to_pylist(), batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
         for at in pieces(texts):
             words = Words(texts[at])
@@ -140,15 +141,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             size += len(word)
             if size > PACK_TOKENS or sum(len(x[2]) for x in held) > 20_000:
                 yield seq, *_joined(held)
-                seq, held, size = seq + 1, [], 0
+                seq, size = seq + 1, 0
+                trim()
     if held:
         yield seq, *_joined(held)
 
 
 def _joined(held: list[tuple]) -> tuple:
+    """The parts of a pack as one; held is emptied, so that whoever takes the pack can let go of its arrays."""
     n = np.concatenate([x[2] for x in held])
-    ids = pa.concat_arrays([x[0] for x in held])
-    return ids, np.concatenate([x[1] for x in held]), n, np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(n)), n)
+    ids, out = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    context, word = (np.concatenate([x[k] for x in held]) for k in (3, 4))
+    held.clear()
+    return ids, out, n, context, word, np.repeat(np.arange(len(n), dtype=np.uint16), n)  # a pack has fewer than 2 ** 15 documents
 
 
 def _vector_rows(kind: str, vector: np.ndarray) -> list[tuple]:
@@ -178,8 +183,12 @@ def _summed(rows: DataFrame) -> dict[str, np.ndarray]:
 
 def _bucket(context: np.ndarray, word: np.ndarray, buckets: int, common: np.ndarray) -> np.ndarray:
     """Where a pair goes: by its context; by both words if the context is common."""
-    spread = np.isin(context, common)
-    return (np.where(spread, mix(context ^ mix(word)), context) % np.uint64(buckets)).astype(np.int64)
+    out = (context % np.uint64(buckets)).astype(np.int32)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, context), len(common) - 1)
+        spread = np.flatnonzero(common[at] == context)
+        out[spread] = mix(context[spread] ^ mix(word[spread] & _LOW)) % np.uint64(buckets)
+    return out
 
 
 def count_words(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,9 +246,11 @@ def count_tables(docs: DataFrame, parent: Parent, buckets: int) -> tuple[dict[st
         for _, _, out, _, context, word, doc in _pairs(batches):
             train = ~out[doc]
             context, word = context[train], word[train]
-            order = np.lexsort((word & _LOW, context))
-            context, low = context[order], (word[order] & _LOW).astype(np.uint32)
-            bucket = _bucket(context, low.astype(np.uint64), buckets, shared.value.common)
+            bucket, low = _bucket(context, word, buckets, shared.value.common), (word & _LOW).astype(np.uint32)
+            del word, doc, train
+            order = np.lexsort((low, context, bucket))
+            context, low, bucket = context[order], low[order], bucket[order]
+            del order
             new = np.append(True, (context[1:] != context[:-1]) | (low[1:] != low[:-1]))[: len(low)]
             n = np.diff(np.flatnonzero(new), append=len(low))
             context, low, bucket = context[new], low[new], bucket[new]
@@ -257,9 +268,12 @@ def count_tables(docs: DataFrame, parent: Parent, buckets: int) -> tuple[dict[st
         words = own.dish((names[names != START] & _LOW).astype(np.uint32))
         kinds = np.bincount(words[words < CELLS], minlength=CELLS)
         rows = _vector_rows("tables", sums) + _vector_rows("kinds", kinds) + _vector_rows("once", np.array([(count == 1).sum(), (count == 2).sum()]))
+        del context, low, n, of
         here = np.isin(names, own.common)
         totals = np.stack([names[here].view(np.int64), *(np.bincount(place, x, len(names))[here].astype(np.int64) for x in (count, tables))])
         rows.append(("common", 0, totals.tobytes()))
+        del names, place, dish, count, tables, prior
+        trim()
         return pa.table({"kind": pa.array([r[0] for r in rows], pa.string()), "block": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     columns = ["low", "n"]
@@ -269,16 +283,15 @@ def count_tables(docs: DataFrame, parent: Parent, buckets: int) -> tuple[dict[st
 
 
 def _packed(bucket: np.ndarray, context: np.ndarray, arrays: dict[str, np.ndarray], columns: list[str], more: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket: its distinct contexts, how many entries each has, and the entries' arrays. context is sorted."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, context = bucket[order], context[order]
-    cut = np.flatnonzero(np.diff(bucket)) + 1
+    """A row for each bucket: its distinct contexts, how many entries each has, and the entries' arrays. All are sorted by
+    bucket and context."""
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     rows = []
-    for part in np.split(np.arange(len(order)), cut):
-        if len(part):
-            own = context[part]
+    for start, stop in pairwise(cut):
+        if stop > start:
+            own = context[start:stop]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            rows.append((int(bucket[part[0]]), own[first].tobytes(), np.diff(first, append=len(own)).astype("<u4").tobytes(), *(arrays[c][order[part]].tobytes() for c in columns), *(x for _, x in more)))
+            rows.append((int(bucket[start]), own[first].tobytes(), np.diff(first, append=len(own)).astype("<u4").tobytes(), *(arrays[c][start:stop].tobytes() for c in columns), *(x for _, x in more)))
     names = ["bucket", "contexts", "sizes", *columns, *(k for k, _ in more)]
     kinds = [pa.int64(), *[pa.binary()] * (2 + len(columns)), *[pa.int64()] * len(more)]
     if rows:
@@ -301,10 +314,12 @@ def part_scores(docs: DataFrame, parent: Parent, buckets: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for seq, ids, out, n, context, word, doc in _pairs(batches):
             batch = (part << 32) + seq
-            order = np.argsort(context, kind="stable")
-            context, low, doc = context[order], (word[order] & _LOW).astype(np.uint32), doc[order]
-            bucket = _bucket(context, low.astype(np.uint64), buckets, shared.value.common)
-            flag = (doc | (out[doc].astype(np.int64) << 15)).astype(np.uint16)
+            bucket, low = _bucket(context, word, buckets, shared.value.common), (word & _LOW).astype(np.uint32)
+            del word
+            flag = doc | (out[doc].astype(np.uint16) << 15)
+            order = np.lexsort((context, bucket))
+            context, low, flag, bucket = context[order], low[order], flag[order], bucket[order]
+            del order
             yield from _packed(bucket, context, {"low": low, "doc": flag}, ["low", "doc"], [("batch", batch)])
             known = np.where(np.array(ids.is_valid()), np.array(ids.fill_null(0)), 0).astype("<i8")
             about = [known.tobytes(), np.array(ids.is_valid()).tobytes(), out.astype(bool).tobytes(), n.astype("<i8").tobytes()]
@@ -340,8 +355,10 @@ def part_scores(docs: DataFrame, parent: Parent, buckets: int) -> DataFrame:
             first = part.stop
             which, to = np.unique(doc[part] & 0x7FFF, return_inverse=True)
             add = lambda x: np.bincount(to, x, len(which))  # noqa: E731, B023
-            rows.append((batch, kinds, which.astype("<u2").tobytes(), add(seen[at[part]]).astype("<u4").tobytes(), add(base[at[part]]).tobytes(), add(model[part]).tobytes(), None))
+            rows.append((batch, kinds, which.astype("<u2").tobytes(), add(seen[at[part]]).astype("<u4").tobytes(), add(base[at[part]]).tobytes(), add(model[part]).astype("<f4").tobytes(), None))
             kinds = 0
+        del context, low, doc, names, place, dish, of, count, prior, tables, chance, model, at
+        trim()
         return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)})
 
     schema = pa.schema([("batch", pa.int64()), ("kinds", pa.int64()), *((c, pa.binary()) for c in ("place", "known", "base", "model", "ids"))])
@@ -386,7 +403,7 @@ def scores(docs: DataFrame) -> DataFrame:
                     seen, base, model = (np.concatenate([x, np.zeros(int(place.max()) + 1 - len(x))]) for x in (seen, base, model))
                 seen[place] += np.frombuffer(r["known"], "<u4")
                 base[place] += np.frombuffer(r["base"], "<f8")
-                model[place] += np.frombuffer(r["model"], "<f8")
+                model[place] += np.frombuffer(r["model"], "<f4")
         ids, valid, tokens, out = np.frombuffer(about["base"], "<i8"), np.frombuffer(about["ids"], bool), np.frombuffer(about["known"], "<i8"), np.frombuffer(about["model"], bool)
         end = np.log10(n_docs + 0.5) - tokens * all_log
         parts = [pa.array(ids, mask=~valid), pa.array(out), pa.array(tokens), pa.array(seen.astype(np.int64) + (n_docs > 0)), pa.array(np.full(len(ids), total, np.int64)), pa.array(base + end), pa.array(model)]
