@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Words, pieces
+from termloom.llm.common import Words, pieces, trim
 
 #: Labelled rows used at most, about, dimensions kept, neighbours that vote, and the score from which a document is predicted good.
 LABELLED, DIMENSIONS, NEIGHBOURS, THRESHOLD = 6000, 48, 25, 0.3
@@ -149,6 +149,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column("text").to_pylist()
             found = [shared.value.score(texts[at]) for at in pieces(texts)]
             yield batch.append_column("quality_score", pa.array(np.concatenate(found) if found else [], pa.float64()))
+            trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(score, f"{schema}, quality_score double")
