@@ -97,9 +97,18 @@ def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("surface")).distinct()
 
 
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces(spark, sf_dir).where(F.length("surface") >= 6).groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("n"))
+
+
 def derived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = surfaces(spark, sf_dir).where(F.length("surface") >= 6).groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("n"))
-    return counts.where("n BETWEEN 5 AND 40").orderBy(F.desc("n"), "word").limit(200).select("word")
+    """The short list of TERMS_SQL: 200 words at most, whatever the input. The queries named _all take all_terms instead."""
+    return term_counts(spark, sf_dir).where("n BETWEEN 5 AND 40").orderBy(F.desc("n"), "word").limit(200).select("word")
+
+
+def all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of five documents or more: a list without a cap, as the reference's is."""
+    return term_counts(spark, sf_dir).where("n >= 5").select("word")
 
 
 @query("term_full_match", f"WITH {TERMS_SQL} SELECT doc_id, surface FROM tok WHERE surface IN (SELECT word FROM terms)")
@@ -135,6 +144,34 @@ def compound_edges(spark, sf_dir):
     return graph.compound_edges(partials(spark, sf_dir).select("surface", "compound").distinct(), nodes)
 
 
+# The same over the whole term list. Those of parts have no SQL: it would compare every surface with every term.
+@query("term_full_match_all", """
+WITH tok AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS surface FROM documents)
+SELECT doc_id, surface FROM tok WHERE surface IN (SELECT surface FROM tok WHERE length(surface) >= 6 GROUP BY 1 HAVING count(*) >= 5)""")
+def term_full_match_all(spark, sf_dir):
+    return match.full_matches(surfaces(spark, sf_dir), all_terms(spark, sf_dir), ["doc_id"]).select("doc_id", "surface")
+
+
+@query("term_partial_match_all")
+def term_partial_match_all(spark, sf_dir):
+    return match.partial_matches(surfaces(spark, sf_dir).where(F.length("surface") >= 4), all_terms(spark, sf_dir), ["doc_id"]).select("doc_id", "surface", "compound")
+
+
+@query("partial_lists_last_all")
+def partial_lists_last_all(spark, sf_dir):
+    """A surface's list is the same in every document, so its last document alone is matched."""
+    last = surfaces(spark, sf_dir).where(F.length("surface") >= 4).groupBy("surface").agg(F.max("doc_id").alias("doc_id"))
+    found = match.partial_matches(last, all_terms(spark, sf_dir), ["doc_id"])
+    return dictionary.replace_lists(found, "surface", "compound", "doc_id").withColumn("compounds", F.array_join("compounds", ","))
+
+
+@query("compound_edges_all")
+def compound_edges_all(spark, sf_dir):
+    terms = all_terms(spark, sf_dir)
+    found = match.partial_matches(surfaces(spark, sf_dir).where(F.length("surface") >= 4), terms, [])
+    return graph.compound_edges(found, terms.select(F.col("word").alias("term")))
+
+
 @query("passage_cooccurrence", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
 def passage_cooccurrence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("c")).repartition(spark.sparkContext.defaultParallelism)
@@ -467,7 +504,7 @@ def qa_rows(spark, sf_dir):
 def term_definitions(spark, sf_dir):
     """A dictionary from documents: candidates by matching, a model's choice, its definitions, and the last of each term."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = match.full_matches(surfaces(spark, sf_dir), derived_terms(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
+    found = match.full_matches(surfaces(spark, sf_dir), all_terms(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
     asked = complete(docs.join(found, "doc_id").withColumn("prompt", filter_prompt(F.col("candidates"), F.col("text"))).select("doc_id", "text", "prompt"), "prompt", "reply", Extractive)
     each = asked.select("doc_id", "text", F.explode(parsed_terms(F.col("reply"))).alias("term"))
     told = complete(each.withColumn("prompt", define_prompt(F.col("term"), F.lower("text"))).select("doc_id", "prompt"), "prompt", "reply", Extractive)
