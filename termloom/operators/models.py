@@ -168,12 +168,24 @@ def _alone(model: LanguageModel, prompt: str) -> str:
         return ""
 
 
+#: Characters of a chunk that a filter prompt and a definition prompt show, as in the reference.
+FILTER_CHARS, DEFINE_CHARS = 1000, 1500
+
+
 def filter_prompt(candidates: Column, text: Column) -> Column:
-    return F.concat(F.lit("task: filter\ncandidates: "), F.to_json(candidates), F.lit("\n---\n"), F.substring(text, 1, 1000))
+    return F.concat(F.lit("task: filter\ncandidates: "), F.to_json(candidates), F.lit("\n---\n"), F.substring(text, 1, FILTER_CHARS))
+
+
+def around(term: Column, text: Column, size: int) -> Column:
+    """`size` characters of a text, or more for a longer term: its head if that holds the term, else those around where the
+    term first stands."""
+    at, n = F.instr(text, term), F.greatest(F.lit(size), F.length(term))
+    start = F.greatest(F.lit(1), at - F.floor((n - F.length(term)) / 2).cast("int"))
+    return F.when(at + F.length(term) - 1 <= n, F.substring(text, F.lit(1), n)).otherwise(F.substring(text, start, n))
 
 
 def define_prompt(term: Column, text: Column) -> Column:
-    return F.concat(F.lit("task: define\nterm: "), term, F.lit("\n---\n"), F.substring(text, 1, 1500))
+    return F.concat(F.lit("task: define\nterm: "), term, F.lit("\n---\n"), around(term, text, DEFINE_CHARS))
 
 
 def parsed_terms(reply: Column) -> Column:

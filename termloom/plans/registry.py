@@ -502,14 +502,17 @@ def qa_rows(spark, sf_dir):
 
 @query("term_definitions")
 def term_definitions(spark, sf_dir):
-    """A dictionary from documents: candidates by matching, a model's choice, its definitions, and the last of each term."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = match.full_matches(surfaces(spark, sf_dir), all_terms(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
-    asked = complete(docs.join(found, "doc_id").withColumn("prompt", filter_prompt(F.col("candidates"), F.col("text"))).select("doc_id", "text", "prompt"), "prompt", "reply", Extractive)
-    each = asked.select("doc_id", "text", F.explode(parsed_terms(F.col("reply"))).alias("term"))
-    told = complete(each.withColumn("prompt", define_prompt(F.col("term"), F.lower("text"))).select("doc_id", "prompt"), "prompt", "reply", Extractive)
-    rows = told.select("doc_id", parsed_definition(F.col("reply")).alias("d")).where("d IS NOT NULL").select("doc_id", "d.term", "d.definition")
-    return dictionary.merge_last(rows, "term", "definition", "doc_id")
+    """A dictionary from chunks of documents: candidates by matching, a model's choice, its definitions, and the last of each term
+    by document and chunk. An empty definition is taken only where no chunk gives another."""
+    chunks = chunk.token_windows(doc_words(spark, sf_dir), "tokens", 1000, 200).select("doc_id", "chunk_id", "text")
+    keys = ["doc_id", "chunk_id"]
+    held = chunks.select(*keys, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("surface"))
+    found = match.full_matches(held, all_terms(spark, sf_dir), keys).groupBy(*keys).agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
+    asked = complete(chunks.join(found, keys).withColumn("prompt", filter_prompt(F.col("candidates"), F.col("text"))).select(*keys, "text", "prompt"), "prompt", "reply", Extractive)
+    each = asked.select(*keys, "text", F.explode(parsed_terms(F.col("reply"))).alias("term"))
+    told = complete(each.withColumn("prompt", define_prompt(F.col("term"), F.lower("text"))).select(*keys, "prompt"), "prompt", "reply", Extractive)
+    rows = told.select(*keys, parsed_definition(F.col("reply")).alias("d")).where("d IS NOT NULL").select(*keys, "d.term", "d.definition")
+    return dictionary.merge_last(rows.withColumn("says", F.col("definition") != ""), "term", "definition", "says", *keys)
 
 
 @query("nearest_products", f"""

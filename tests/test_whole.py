@@ -42,3 +42,22 @@ def test_all_terms_are_matched(spark, folder):
     assert rows_of(run("partial_lists_last_all").select("surface", "compounds")) == sorted(lists.items())
     assert rows_of(run("compound_edges_all").select("target", "source")) == sorted({(w, t) for _, w, t in part})
     assert {r.term for r in run("term_definitions").collect()} == terms
+
+
+def test_terms_far_into_a_document_are_defined(spark, folder):
+    # The term stands 300 words into a document, in its second chunk, or at the chunk's end: never in the first 1500 characters.
+    filler = lambda n: " ".join(["filling"] * n)
+    rows = [(d, f"{filler(n)}. The zephyrite of {d} is said here. {filler(40)}") for d, n in enumerate([300, 980, 1100, 1700, 2500])]
+    got = {r.term: r.definition for r in registry.QUERIES["term_definitions"](spark, folder(documents=(rows, DOCS))).collect()}
+    assert got["zephyrite"] == "the zephyrite of 4 is said here"
+    assert "" not in got.values()
+
+
+def test_an_empty_definition_does_not_replace_one(spark, monkeypatch, folder):
+    from termloom.operators.models import Extractive
+
+    whole = Extractive._one
+    monkeypatch.setattr(registry, "Extractive", type("Silent", (Extractive,), {"_one": lambda self, p: '{"term": "zephyrite", "definition": ""}' if "of 4" in p and "task: define" in p else whole(self, p)}))
+    rows = [(d, f"The zephyrite of {d} is here.") for d in range(5)]
+    got = {r.term: r.definition for r in registry.QUERIES["term_definitions"](spark, folder(documents=(rows, DOCS))).collect()}
+    assert got["zephyrite"] == "the zephyrite of 3 is here"
