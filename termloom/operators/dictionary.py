@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.similarity import gestalt_ratio
@@ -45,3 +45,23 @@ def dict_lookup(dictionary: DataFrame, query: str, n: int = 10) -> DataFrame:
     none = exact.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1).alias("one"))
     fuzzy = lookup_fuzzy(dictionary, query, n).join(F.broadcast(none)).select(F.lit(False).alias("exact_match"), "rank", "term", "definition", "similarity")
     return exact.unionByName(fuzzy)
+
+
+def exact_each(dictionary: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of queries (query_id, query) whose entry has a definition that isn't empty, as dict_lookup gives them."""
+    own = queries.withColumn("term", F.lower("query")).join(dictionary.where("definition <> ''"), "term")
+    return own.select("query_id", F.lit(True).alias("exact_match"), F.lit(1).alias("rank"), "term", "definition", F.lit(1.0).alias("similarity"))
+
+
+def fuzzy_each(dictionary: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
+    """lookup_fuzzy for every row of queries (query_id, query). Every query meets every term; n rows a task and query are merged."""
+    spread = dictionary.repartition(dictionary.sparkSession.sparkContext.defaultParallelism)
+    scored = spread.crossJoin(queries).withColumn("similarity", gestalt_ratio(F.lower("query"), F.col("term")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ord"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= n).select("query_id", F.lit(False).alias("exact_match"), "rank", "term", "definition", "similarity")
+
+
+def dict_lookup_each(dictionary: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
+    """dict_lookup for every row of queries (query_id, query), with query_id."""
+    exact = exact_each(dictionary, queries)
+    return exact.unionByName(fuzzy_each(dictionary, queries.join(exact.select("query_id"), "query_id", "left_anti"), n))

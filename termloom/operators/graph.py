@@ -126,6 +126,33 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return best.select(F.posexplode("x").alias("p", "r")).select((F.col("p") + 1).alias("rank"), "r.id", "r.score")
 
 
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, rank, id and score of the k vectors (id, embedding) nearest to each row of queries (query, embedding), ties to
+    smaller ids.
+
+    Blocks of queries meet blocks of vectors; k rows of each meeting and query are merged."""
+
+    def packed(df: DataFrame, key: str, tail: str) -> DataFrame:
+        def pack(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+            return pd.DataFrame({f"ids{tail}": [rows[key].to_numpy(np.int64).tobytes()], f"data{tail}": [x.tobytes()]})
+
+        blocks = max(1, math.ceil(df.count() / BLOCK))
+        return df.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).groupBy("block").applyInPandas(pack, f"ids{tail} binary, data{tail} binary")
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                ids, query = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_q, np.int64)
+                score = np.frombuffer(r.data_q).reshape(len(query), -1) @ np.frombuffer(r.data).reshape(len(ids), -1).T
+                best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                yield pd.DataFrame({"query": np.repeat(query, best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+    met = packed(queries, "query", "_q").crossJoin(packed(vectors, "id", "")).repartition(vectors.sparkSession.sparkContext.defaultParallelism)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return met.mapInPandas(nearest, "query long, id long, score double").withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+
+
 def neighbours(found: DataFrame, edges: DataFrame, incoming: str, outgoing: str) -> DataFrame:
     """found (id) with two sorted lists: sources of incoming edges of one type, and targets of outgoing ones of another.
 

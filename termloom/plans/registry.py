@@ -522,3 +522,67 @@ def nearest_products(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     last = v.agg(F.max_by("embedding", "vec_id").alias("q"))
     return v.join(F.broadcast(last)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
+
+
+# Searches for every row whose id is divisible by 100, against all rows.
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).where("id % 100 = 0").withColumnRenamed("id", "query")
+
+
+@query("vector_topk_all", f"""
+WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, {DOT_SQL} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+r AS (SELECT query, (row_number() OVER (PARTITION BY query ORDER BY score DESC, id))::INT AS rank, id, round(score, 6) AS score FROM s)
+SELECT * FROM r WHERE rank <= 3""")
+def vector_topk_all(spark, sf_dir):
+    return graph.top_k_each(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
+
+
+@query("vector_retrieval")
+def vector_retrieval(spark, sf_dir):
+    """The nearest vectors of each query, each with the sources of edges that lead up to it and the targets of those that lead up from it."""
+    v = vectors(spark, sf_dir)
+    edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
+    return graph.neighbours(graph.top_k_each(v, vector_queries(spark, sf_dir), 3), edges, "UP", "UP")
+
+
+@query("nearest_products_all", f"""
+SELECT a.vec_id AS query, b.label, count(*) AS n, round(max({DOT_SQL}), 5) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 GROUP BY 1, 2""")
+def nearest_products_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
+    met = v.crossJoin(vector_queries(spark, sf_dir).select("query", F.col("embedding").alias("q")))
+    return met.groupBy("query", "label").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
+
+
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts; every second one lacks its last letter, so that it is no entry as a rule."""
+    short = F.expr("left(p_name, length(p_name) - 1)")
+    part = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    return part.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 200 == 0, F.col("p_name")).otherwise(short).alias("query"))
+
+
+@query("dict_lookup_exact_all", f"""
+WITH {NODES_SQL}, q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 200 = 0 THEN p_name ELSE left(p_name, length(p_name) - 1) END AS t FROM part WHERE p_partkey % 100 = 0)
+SELECT query_id, true AS exact_match, 1 AS rank, term, definition, 1.0::DOUBLE AS similarity FROM nodes, q WHERE term = lower(t) AND definition <> ''""")
+def dict_lookup_exact_all(spark, sf_dir):
+    return dictionary.exact_each(part_nodes(spark, sf_dir), name_queries(spark, sf_dir))
+
+
+@query("fuzzy_lookup_all")
+def fuzzy_lookup_all(spark, sf_dir):
+    return dictionary.dict_lookup_each(ordered_nodes(spark, sf_dir), name_queries(spark, sf_dir))
+
+
+@query("full_query")
+def full_query(spark, sf_dir):
+    """Each name's entry, else its five nearest ones, and of each hit the nodes and edges that it reaches in two steps."""
+    queries = name_queries(spark, sf_dir)
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("term")).distinct()
+    named = part_nodes(spark, sf_dir).select("term", "definition")
+    nodes = named.unionByName(words.join(named, "term", "left_anti").withColumn("definition", F.lit("")))
+    hits = dictionary.dict_lookup_each(ordered_nodes(spark, sf_dir), queries, 5).join(queries, "query_id")
+    # As the reference does, the graph is asked with the query as it was given, the dictionary in lower case.
+    seed = F.when(F.col("exact_match"), F.col("query")).otherwise(F.col("term")).alias("seed")
+    hits = hits.select("query_id", "exact_match", "rank", "similarity", seed).persist()
+    reached, edges = graph.subgraph(nodes, graph.parent_edges(nodes), hits.select("seed").distinct())
+    of_nodes = hits.join(reached, "seed", "left").select(*hits.columns, F.lit("node").alias("kind"), "term", "depth", "definition")
+    return of_nodes.unionByName(hits.join(edges, "seed").select(*hits.columns, F.lit("edge").alias("kind"), F.col("source").alias("term"), "target", "type", "weight"), allowMissingColumns=True)

@@ -1,7 +1,9 @@
 """Queries that do their whole job, held against brute force on small tables."""
 
+import numpy as np
 import pytest
 
+from termloom.operators import dictionary, graph
 from termloom.plans import registry
 
 DOCS = "doc_id long, text string"
@@ -61,3 +63,27 @@ def test_an_empty_definition_does_not_replace_one(spark, monkeypatch, folder):
     rows = [(d, f"The zephyrite of {d} is here.") for d in range(5)]
     got = {r.term: r.definition for r in registry.QUERIES["term_definitions"](spark, folder(documents=(rows, DOCS))).collect()}
     assert got["zephyrite"] == "the zephyrite of 3 is here"
+
+
+def test_searches_take_a_table_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    x = np.random.default_rng(0).normal(size=(60, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    got = rows_of(graph.top_k_each(v, v.where("id % 2 = 0").withColumnRenamed("id", "query"), 3).select("query", "rank", "id"))
+    assert got == [(q, k + 1, int(i)) for q in range(0, 60, 2) for k, i in enumerate(np.argsort(-(x @ x[q]))[:3])]
+    d = spark.createDataFrame([(t, t.upper(), i) for i, t in enumerate(["alpha", "alpine", "beta", "bet", "gamma"])], "term string, definition string, ord int")
+    q = spark.createDataFrame([(1, "Beta"), (2, "alpin"), (3, "betta")], "query_id int, query string")
+    each = rows_of(dictionary.dict_lookup_each(d, q, 2).select("query_id", "exact_match", "rank", "term"))
+    alone = [(i, *r) for i, t in ((1, "Beta"), (2, "alpin"), (3, "betta")) for r in rows_of(dictionary.dict_lookup(d, t, 2).select("exact_match", "rank", "term"))]
+    assert each == alone and len(each) == 5
+
+
+def test_full_query_joins_hits_with_their_graph(spark, folder):
+    rows = [(100, "plum pie", "FRUIT", 1), (200, "fig tart", "FRUIT pie", 1), (300, "oak", "WOOD", 1), (1, "plum pi", "", 1)]
+    sf = folder(part=(rows, "p_partkey long, p_name string, p_type string, p_size int"))
+    got = registry.QUERIES["full_query"](spark, sf).collect()
+    exact = {(r.term, r.depth) for r in got if r.query_id == 200 and r.kind == "node"}
+    assert exact == {("fig tart", 0), ("fruit", 1), ("pie", 1)} and all(r.exact_match for r in got if r.query_id == 200)
+    assert {r.target for r in got if r.query_id == 200 and r.kind == "edge"} == {"fruit", "pie"}
+    fuzzy = {r["rank"]: r.seed for r in got if r.query_id == 100}  # "plum pi" has an empty definition
+    assert fuzzy[1] == "plum pi" and fuzzy[2] == "plum pie" and len(fuzzy) == 4 and not any(r.exact_match for r in got if r.query_id == 100)
