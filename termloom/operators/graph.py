@@ -187,6 +187,16 @@ def spherical_layout(df: DataFrame, index: str, n: Column) -> DataFrame:
     return df.withColumns({"x": F.sin(theta) * F.cos(phi), "y": F.sin(theta) * F.sin(phi), "z": z})
 
 
+def numbered(df: DataFrame, order: str, place: str) -> DataFrame:
+    """df with a row's place (from 0) by `order`: range partitions are counted, and each is numbered from where the one before
+    ends, so that only a row for each partition meets in one task. Needs a checkpoint folder, which keeps the partitions."""
+    df = df.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("_pid").agg(F.count("*").alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(order))
+    return df.withColumn("_row", inside).join(F.broadcast(parts), "_pid").withColumn(place, F.col("_before") + F.col("_row") - 1).drop("_pid", "_row", "_before")
+
+
 def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node and component (the least node) of undirected edges (a, b): labels spread until none changes, cut by checkpoints."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()

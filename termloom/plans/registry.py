@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.split_words(F.col("text")).alias("tokens"))
 
@@ -303,10 +310,7 @@ def bfs_2hop(spark, sf_dir):
 WITH RECURSIVE {EDGES_SQL}, r AS (SELECT source AS node, source AS reached FROM e UNION SELECT r.node, e.target FROM r JOIN e ON r.reached = e.source)
 SELECT node, min(reached) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    with_checkpoints(spark)
     return graph.connected(graph.similar_pairs(vectors(spark, sf_dir), 0.35))
 
 
@@ -346,7 +350,8 @@ WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*)
 SELECT vec_id, round(sin(t) * cos(sqrt(n * pi()) * t), 5) + 0.0 AS x, round(sin(t) * sin(sqrt(n * pi()) * t), 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM b""")
 def co_layout(spark, sf_dir):
     ids = table(spark, sf_dir, "embeddings").select("vec_id")
-    numbered = ids.withColumn("i", F.row_number().over(Window.orderBy("vec_id")) - 1).join(F.broadcast(ids.agg(F.count("*").alias("n"))))
+    with_checkpoints(spark)
+    numbered = graph.numbered(ids, "vec_id", "i").join(F.broadcast(ids.agg(F.count("*").alias("n"))))
     return graph.spherical_layout(numbered, "i", F.col("n")).select("vec_id", *((F.round(c, 5) + 0.0).alias(c) for c in "xyz"))
 
 

@@ -87,3 +87,11 @@ def test_full_query_joins_hits_with_their_graph(spark, folder):
     assert {r.target for r in got if r.query_id == 200 and r.kind == "edge"} == {"fruit", "pie"}
     fuzzy = {r["rank"]: r.seed for r in got if r.query_id == 100}  # "plum pi" has an empty definition
     assert fuzzy[1] == "plum pi" and fuzzy[2] == "plum pie" and len(fuzzy) == 4 and not any(r.exact_match for r in got if r.query_id == 100)
+
+
+def test_co_layout_numbers_rows_within_partitions(spark):
+    registry.with_checkpoints(spark)
+    ids = spark.createDataFrame([(i * 7 % 101 * 3,) for i in range(101)], "vec_id long").repartition(5)
+    assert rows_of(graph.numbered(ids, "vec_id", "i").select("vec_id", "i")) == [(3 * i, i) for i in range(101)]
+    plan = registry.QUERIES["co_layout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_pid" in plan and "row_number() windowspecdefinition(vec_id" not in plan
