@@ -192,30 +192,29 @@ def _bucket(context: np.ndarray, word: np.ndarray, buckets: int, common: np.ndar
 
 
 def count_words(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Training tokens, cell counts, and frequent words and common contexts (64-bit hashes), from one pass over the texts."""
+    """Training tokens, cell counts, and frequent words and common contexts (64-bit hashes), from two passes over the texts: a
+    frequent word's cell has as many tokens as the word, so only words of such cells are counted, by whole words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, often = np.zeros(CELLS, np.int64), []
+        cells = np.zeros(CELLS, np.int64)
         for _, _, out, _, _, word, doc in _pairs(batches):
-            word = word[~out[doc]]
-            cells += np.bincount((word & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            names, n = np.unique(word, return_counts=True)
-            keep = n > max(2, len(word) * FREQUENT / 4)
-            often.append(np.concatenate([names[keep].astype("<u8"), n[keep].astype("<u8")]).tobytes())
-        rows = _vector_rows("cells", cells) + [("often", i, x) for i, x in enumerate(often)]
+            cells += np.bincount((word[~out[doc]] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        rows = _vector_rows("cells", cells)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "block", "data"])
 
+    cells = _summed(docs.mapInArrow(count, _VECTORS)).get("cells", np.zeros(CELLS, np.int64))
+    total = int(cells.sum())
+    least = max(3, total * FREQUENT)
+    heavy = docs.sparkSession.sparkContext.broadcast(cells >= least)
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("data").to_pylist():
-                names, n = np.frombuffer(x, "<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["word", "n"])
+        for _, _, out, _, _, word, doc in _pairs(batches):
+            word = word[~out[doc]]
+            names, n = np.unique(word[heavy.value[(word & np.uint64(CELLS - 1)).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    rows = written(docs.mapInArrow(count, _VECTORS), "counts")
-    cells = _summed(rows.where("kind = 'cells'")).get("cells", np.zeros(CELLS, np.int64))
-    total = int(cells.sum())
     # Fewer than one in FREQUENT words can have so many tokens: the bound of what comes to the driver.
-    often = rows.where("kind = 'often'").mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, total * FREQUENT)).toPandas()
+    often = docs.mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
     names, n = often["word"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     return total, cells, np.unique(np.append(names, END)), np.unique(np.append(names[n >= total * COMMON], START))
 

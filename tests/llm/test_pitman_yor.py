@@ -52,6 +52,14 @@ def test_predictive_probabilities_sum_to_one():
     assert abs(parent.own.sum() + (parent.cell * (kinds + 1)).sum() - 1) < 1e-9
 
 
+def test_frequent_words_do_not_depend_on_partitions(spark):
+    rows = [(i, f"twice twice once rare{i}", False) for i in range(40)]
+    made = lambda n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string, held_out boolean")
+    one, many = (pitman_yor.count_words(made(n)) for n in (1, 40))
+    assert one[0] == many[0] == 200 and all(np.array_equal(a, b) for a, b in zip(one[1:], many[1:], strict=True))
+    assert len(many[2]) == 3 and len(many[3]) == 4  # twice, once and the end; with the start
+
+
 def test_edges(spark, folder):
     rows = [(i, t) for i, t in enumerate(["", None, "a b a b", "A\tB  c\n", "é É", "x " * 30000, "unseen word"])] + [(2, "a b a b"), (None, "no id")]
     got = pitman_yor.op7(spark, folder(documents=([(*r, 0.0, 0) for r in rows], DOCS))).collect()
