@@ -2,10 +2,11 @@
 
 Documents with equal sets are one class from the start. Which classes can be similar at all is read off parts of their sets:
 for sizes of one range, hashes deal all n-grams into so many parts that two sets at the threshold agree in one whole part at
-least. Classes that share a part meet first in stars around one of them each, and what is linked there needs no more comparing.
-Between what is left apart decides the token-group matrix: similar classes form groups of bounded size, a group stores the
-union of its members' n-grams, a class whose n-grams overlap that union too little can be similar to no member, and only the
-groups that qualify are opened and their members compared. Every link is verified on whole sets of 64-bit n-gram hashes.
+least. Classes that share parts with one class, their centre, form groups of bounded size with it, and are compared within
+their group. Between what is left apart decides the matrix: a group stores the union of its members' n-grams once, a class
+whose n-grams overlap that union too little can be similar to no member, and only the groups that qualify are opened and their
+members compared. Groups meet groups, never classes classes, and a pair of them is one row whatever they share. Every link is
+verified on whole sets of 64-bit n-gram hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from termloom.llm.common import Words, mix, pieces, spread_join, trim, written
 from termloom.llm.components import components
 
-GROUP, QUERIES_AT_ONCE, BUCKET_CHARS, ORDERS = 64, 500, 12_000_000, 2
+#: Classes and n-grams that a group has at most (one class, if that has more), groups that a task compares with one at a time,
+#: n-grams in a slice of the matrix, and characters whose parts meet in one task.
+GROUP, GROUP_GRAMS, AT_ONCE, SLICE, BUCKET_CHARS = 64, 200_000, 32, 1 << 14, 12_000_000
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -199,51 +202,127 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.join(wanted.select("class"), "class").groupBy("class").agg(F.first("set").alias("set"))
 
 
-def verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar."""
+class Members:
+    """Some classes and their sets, packed into a row and back."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(c) for c in ("set_a", "set_b"))
-            keep = [alike(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), num, den) for i in range(len(batch))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda c: whole.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
-
-
-def opened(queries: DataFrame, groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes and members of the groups that the matrix lets through.
-
-    queries: a, its component, and the group that it meets; groups: group, class and component of each member. Groups have a
-    bounded number of members, and a group with many queries is copied for each portion of them."""
-    portions = queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("portions"))
-    asked = spread_join(queries, portions, ["group"], F.col("a"), how="inner").withColumn("portion", F.pmod(F.xxhash64("a"), F.col("portions")).cast("int"))
-    asked = asked.join(whole.withColumnRenamed("class", "a"), "a").select("group", "portion", "a", "component", "set")
-    members = whole.select(F.col("class").alias("member"), F.col("set").alias("its_set"))
-    held = groups.select("group", F.col("class").alias("member"), F.col("component").alias("its_component")).join(portions, "group")
-    held = held.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
-    held = held.join(members, "member").select("group", "portion", "member", "its_component", "its_set")
-
-    def compare(key: tuple, mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(mine) and len(stored):
-            members = [np.frombuffer(x, np.uint64) for x in stored["its_set"]]
-            union, names, components_of = np.unique(np.concatenate(members)), stored["member"].tolist(), stored["its_component"].tolist()
-            for a, component, data in zip(mine["a"], mine["component"], mine["set"], strict=True):
-                own = np.frombuffer(data, np.uint64)
-                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+    COLUMNS = ("names", "sizes", "grams")
+
+    def __init__(self, names: np.ndarray, sets: list[np.ndarray]):
+        self.names, self.sets = names, sets
+
+    @classmethod
+    def of_rows(cls, table: pa.Table) -> Members:
+        """From rows of a class and a set each; the repeated ones are one."""
+        sets = dict(zip(table.column("class").to_pylist(), table.column("set").to_pylist(), strict=True))
+        return cls(np.array(list(sets), np.int64), [np.frombuffer(x, np.uint64) for x in sets.values()])
+
+    @classmethod
+    def unpacked(cls, names: bytes, sizes: bytes, grams: bytes) -> Members:
+        return cls(np.frombuffer(names, np.int64), np.split(np.frombuffer(grams, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1]))
+
+    def packed(self, of: np.ndarray | None = None) -> tuple[bytes, bytes, bytes]:
+        own = [self.sets[i] for i in (range(len(self.sets)) if of is None else of)]
+        return (self.names if of is None else self.names[of]).tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), b"".join(x.tobytes() for x in own)
+
+    def similar(self, other: Members, num: int, den: int) -> np.ndarray:
+        """A matrix of which of these sets have a Jaccard similarity of num/den or more with which of the others."""
+        sizes, theirs = (np.array([len(x) for x in m.sets]) for m in (self, other))
+        grams = np.intersect1d(np.concatenate(self.sets), np.concatenate(other.sets))
+        both = np.zeros((len(sizes), len(theirs)), np.int64)
+        for at in range(0, len(grams), SLICE):
+            part = grams[at : at + SLICE]
+            a, b = (np.stack([_within(part, x) for x in m.sets]).astype(np.float32) for m in (self, other))
+            both += np.rint(a @ b.T).astype(np.int64)
+        return both * den >= (sizes[:, None] + theirs[None, :] - both) * num
+
+
+def _within(some: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of some sorted hashes are in a sorted set."""
+    return own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some if len(own) else np.zeros(len(some), bool)
+
+
+def linked_within(groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect whatever is similar within a group; groups: group and class."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        own = Members.of_rows(table)
+        alike, left, a, b = own.similar(own, num, den), np.ones(len(own.names), bool), [], []
+        for start in range(len(left)):
+            front = np.array([start]) if left[start] else np.zeros(0, int)
+            while len(front):  # all that this one reaches
+                left[front] = False
+                a += [own.names[start]] * len(front)
+                b += own.names[front].tolist()
+                front = np.flatnonzero(alike[front].any(axis=0) & left)
+        found = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return found.filter(pa.array(np.array(a) != np.array(b)))
+
+    return groups.join(whole, "class").groupBy("group").applyInArrow(compare, "a long, b long")
+
+
+def matrix(groups: DataFrame, whole: DataFrame) -> DataFrame:
+    """The token-group matrix: of each group its members' names, set sizes and sets, and the union of the sets, packed."""
+
+    def store(key: tuple, table: pa.Table) -> pa.Table:
+        own = Members.of_rows(table)
+        row = (*own.packed(), np.unique(np.concatenate(own.sets)).tobytes())
+        return pa.table({"group": key[0:1], **{c: pa.array([x], pa.binary()) for c, x in zip((*Members.COLUMNS, "union"), row, strict=True)}})
+
+    return groups.join(whole, "class").groupBy("group").applyInArrow(store, "group long, names binary, sizes binary, grams binary, union binary")
+
+
+def portioned(rows: DataFrame, stored: DataFrame, key: str) -> tuple:
+    """rows and stored (a row for each key), to be grouped together: AT_ONCE rows or so with a copy of their key's."""
+    turn = [c for c in rows.columns if c in ("a", "b")]
+    portions = rows.groupBy(key).agg(F.ceil(F.count("*") / AT_ONCE).cast("int").alias("portions"))
+    dealt = spread_join(rows, portions, [key], F.struct(*turn), how="inner").withColumn("portion", F.pmod(F.xxhash64(*turn), F.col("portions")).cast("int"))
+    copies = stored.join(portions.select(F.col(key).alias("group"), F.col("portions").alias("copies")), "group").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return dealt.groupBy(key, "portion"), copies.groupBy("group", "portion")
+
+
+def qualifying(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b and, packed, those members of group a that overlap the union of group b enough to be similar to one of b's members."""
+
+    def bound(mine: pa.Table, own: pa.Table) -> pa.Table:
+        rows = []
+        if len(mine) and len(own):
+            members = Members.unpacked(*(own.column(c)[0].as_py() for c in Members.COLUMNS))
+            for a, b, union in zip(*(mine.column(c).to_pylist() for c in ("a", "b", "union")), strict=True):
+                union = np.frombuffer(union, np.uint64)
                 # A similar member shares num/den of the query at least, all of it within the union.
-                if int((union[at] == own).sum()) * den < len(own) * num:
-                    continue
-                done = {component}  # one link to a component is as good as all
-                for b, c, x in zip(names, components_of, members, strict=True):
-                    if c not in done and alike(own, x, num, den):
-                        found.append((a, b))
-                        done.add(c)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                of = np.array([i for i, x in enumerate(members.sets) if int(_within(x, union).sum()) * den >= len(x) * num], int)
+                if len(of):
+                    rows.append((a, b, *members.packed(of)))
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(("a", "b", *Members.COLUMNS), (*[pa.int64()] * 2, *[pa.binary()] * 3), strict=True))})
 
-    return asked.groupBy("group", "portion").cogroup(held.groupBy("group", "portion")).applyInPandas(compare, "a long, b long")
+    unions = stored.select(F.col("group").alias("b"), "union")
+    asked, held = portioned(pairs.join(unions, "b").select("a", "b", "union"), stored.drop("union"), "a")
+    return asked.cogroup(held).applyInArrow(bound, "a long, b long, names binary, sizes binary, grams binary")
+
+
+def opened(queries: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the queries' classes and members of the groups that the bound lets through."""
+
+    def compare(mine: pa.Table, own: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(mine) and len(own):
+            members = Members.unpacked(*(own.column(c)[0].as_py() for c in Members.COLUMNS))
+            for row in zip(*(mine.column(c).to_pylist() for c in Members.COLUMNS), strict=True):
+                asked = Members.unpacked(*row)
+                x, y = np.nonzero(asked.similar(members, num, den))
+                a += asked.names[x].tolist()
+                b += members.names[y].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    asked, held = portioned(queries, stored.drop("union"), "b")
+    return asked.cogroup(held).applyInArrow(compare, "a long, b long")
+
+
+def chunked(classes: DataFrame, by: str) -> DataFrame:
+    """classes (class, n_shingles, and what it groups by), with group: chunks of bounded size of those with equal `by`."""
+    size = classes.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / GROUP_GRAMS)).cast("int").alias("_chunks"))
+    dealt = spread_join(classes, size, [by], F.col("class"), how="inner")
+    return dealt.withColumn("group", F.xxhash64(by, F.pmod(F.xxhash64("class", F.lit(1)), F.col("_chunks")))).drop("_chunks")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -252,42 +331,48 @@ def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den:
     # A class that shares fewer parts than it needs with all others together is similar to none.
     enough = parts.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
     parts = written(spread_join(parts, enough, ["class", "range"], F.col("part"), how="inner"), "parts")
-    wanted = parts.select("class").distinct().join(classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
+    about = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    wanted = written(parts.select("class").distinct().join(about, "class"), "wanted")
     whole = written(whole_sets(docs, wanted, n), "sets")
-    # Stars: the classes of a part around one of them, by several orders. Of the centres with which it shares as many parts
-    # as it needs, a class takes the first one, so that classes with much in common meet at few.
-    order = [F.xxhash64("class", F.lit(k)) for k in range(ORDERS)]
-    centre = parts.groupBy("part").agg(F.array(*(F.min(F.struct(o.alias("turn"), F.lit(k).alias("order"), F.col("class").alias("centre"))) for k, o in enumerate(order))).alias("c"))
-    around = spread_join(parts, centre, ["part"], F.col("class"), how="inner").select("class", "range", "need", F.explode("c").alias("c")).where("class <> c.centre")
+    # The centre of a part is one of its classes. Of the centres with which it shares as many parts as it needs, a class takes
+    # the first one by hash, so that classes with much in common meet at few.
+    centre = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("class").alias("turn"), F.col("class").alias("centre"))).alias("c"))
+    around = spread_join(parts, centre, ["part"], F.col("class"), how="inner").where("class <> c.centre")
     around = around.groupBy("class", "c", "range").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    first = F.min(F.struct((F.col("n") < F.col("need")).alias("few"), "c.turn", "c.centre")).alias("f")
-    chosen = written(around.groupBy(F.col("class").alias("a"), "c.order").agg(first).select("a", "order", "f.few", F.col("f.centre").alias("b")), "stars")
-    pairs = chosen.where("NOT few").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(verified(pairs, whole, num, den), "links")
-    centre = chosen.where("order = 0").select(F.col("a").alias("class"), "b")
+    first = around.groupBy("class").agg(F.min(F.struct((F.col("n") < F.col("need")).alias("few"), "c.turn", "c.centre")).alias("f")).select("class", F.col("f.centre").alias("near"))
+    grouped = written(chunked(wanted.join(first, "class", "left").withColumn("near", F.coalesce("near", "class")), "near"), "groups")
+    # Every group of a centre has the centre too, which so links all of them.
+    members = grouped.select("group", "class").unionByName(grouped.select("group", F.col("near").alias("class"))).distinct()
+    several = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    links = written(linked_within(members.join(several, "group"), whole, num, den), "links")
     joined = components(links).withColumnRenamed("node", "class")
-    asked, groups = apart(parts, wanted.join(joined, "class", "left").join(centre, "class", "left"))
-    return components(links.unionByName(written(opened(asked, groups, whole, num, den), "links")))
+    pairs, groups = apart(parts, grouped.join(joined, "class", "left"))
+    pairs, stored = written(pairs, "pairs"), written(matrix(groups, whole), "matrix")
+    queries = written(qualifying(pairs, stored, num, den), "queries")
+    return components(links.unionByName(written(opened(queries, stored, num, den), "links")))
 
 
 def apart(parts: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries, groups) of the classes that share parts with other components: about has class, root (null: its own) and b,
-    the class around which it groups while it has no other component."""
-    about = about.select("class", F.coalesce("root", "class").alias("component"), F.coalesce("root", "b", "class").alias("near"))
+    """(pairs, groups): pairs (a, b) of groups that share parts enough to have similar members of different components, and the
+    classes of these groups. about: class, n_shingles, root (null: its own) and the group that it was compared in.
+
+    Classes of one component form groups; those that have no other stay in the group that they were compared in, so that no
+    group has to be compared with itself."""
+    about = about.select("class", "n_shingles", F.col("group").alias("before"), F.coalesce("root", "class").alias("component"), F.col("root").isNull().alias("alone"))
     of_part = spread_join(parts, about, ["class"], F.col("part"), how="inner")
     mixed = of_part.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("part")
     of_part = spread_join(of_part, mixed, ["part"], F.col("class"), how="inner")
     enough = of_part.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
     of_part = written(spread_join(of_part, enough, ["class", "range"], F.col("part"), how="inner"), "apart")
-    # Groups: of one component, or around one class; chunks of them by hash, about GROUP classes each.
-    size = of_part.select("class", "near").distinct().groupBy("near").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
-    named = spread_join(of_part, size, ["near"], F.struct("class", "part"), how="inner").withColumn("group", F.xxhash64("near", F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks"))))
-    groups = named.select("group", "class", "component").distinct()
-    met = named.groupBy("part", "group").agg(F.max("component").alias("y"))
-    # The matrix over parts bounds first: a class meets the groups whose members have as many of its parts as it needs.
-    asked = named.select("part", "range", "need", F.col("class").alias("a"), "component").join(met, "part").where("component < y")  # of two components, one's classes ask
-    asked = asked.groupBy("a", "component", "group", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
-    return asked.select("a", "component", "group").distinct(), groups
+    classes = of_part.select("class", "n_shingles", "before", "component", "alone").distinct()
+    groups = chunked(classes, "component").select("class", F.when(F.col("alone"), F.col("before")).otherwise(F.col("group")).alias("group"))
+    groups = written(groups, "groups")
+    met = spread_join(of_part, groups, ["class"], F.col("part"), how="inner").groupBy("part", "range", "group")
+    met = met.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("need"))
+    a, b = (met.select("part", *(F.col(c).alias(f"{c}_{x}") for c in ("range", "group", "low", "high", "need"))) for x in "ab")
+    both = a.join(b, "part").where("group_a < group_b AND range_a = range_b AND NOT (low_a = high_b AND high_a = low_b)")
+    pairs = both.groupBy("group_a", "group_b", "range_a").agg(F.count("*").alias("n"), F.greatest(F.min("need_a"), F.min("need_b")).alias("need")).where("n >= need")
+    return pairs.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct(), groups
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
