@@ -86,6 +86,14 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[start:end]; equal bytes have equal hashes."""
+    powers, inverses = _power_tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverses[start])
+
+
 class Words:
     """The words of some texts, as arrays: doc[i] is word i's text, hash[i] its 64-bit hash (equal words have equal hashes)."""
 
@@ -98,10 +106,7 @@ class Words:
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
         self.start, self.end = edge[0::2], edge[1::2]
         self.doc = np.searchsorted(self.doc_start, self.start, "right") - 1
-        powers, inverses = _power_tables(len(self.bytes) + 1)
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers[: len(self.bytes)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverses[self.start])
+        self.hash = span_hashes(self.bytes, self.start, self.end)
         self.first = np.searchsorted(self.doc, np.arange(self.n + 1))  # text k's words are first[k]:first[k + 1]
 
 

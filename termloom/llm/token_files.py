@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -17,19 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import simple8b
-from termloom.llm.common import ordered, save, scratch, written
+from termloom.llm.common import mix, ordered, pieces, save, scratch, span_hashes, written
 
 #: About so many ids go into a file: some 9 MB, which one task holds when it reads the file.
 FILE_IDS = 4_000_000
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 class ChunkEncoder:
-    """What tokenizers' Tokenizer gives for whole texts, with each word encoded once.
+    """What tokenizers' Tokenizer gives for whole texts, with each word encoded once or so.
 
-    Byte-level BPE never merges over the start of a word with its one space before, nor between the words that its pattern
-    finds, so a text is the sum of its chunks between spaces, and a chunk that of its words. The former doesn't hold beside a
-    space that has white space on both sides, or ends the text after white space; such texts, and those that hold a special
-    token's string, go to the library whole.
+    Byte-level BPE never merges over the start of a word with its one space before, so a text is the sum of its chunks between
+    spaces. That doesn't hold beside a space that has white space on both sides, or ends the text after white space; such
+    texts, and those that hold a special token's string, go to the library whole. Chunks are found by their hashes in a table
+    of a fixed size, where a new one takes the place of an old one; those that aren't there are encoded together, each after a
+    space, and told apart by the pieces that start with it.
     """
 
     UNSURE = re.compile(r"\s \s|\s \Z")
@@ -37,52 +41,56 @@ class ChunkEncoder:
     DOUBTS = tuple(f"{c} " for c in " \n\t\r\x0b\x0c")
     SEPARATORS = "\x1c\x1d\x1e\x1f"
     RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+    ODD_SPACE = re.compile(r"[^\S ]")
+    #: Slots of the table, ids that it may point at, and chunks that the library takes as one text.
+    SLOTS, MOST_IDS, TOGETHER = 1 << 22, 1 << 23, 512
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.chunks, self.words = Tokenizer.from_file(path), most, {}, {}
-        self.find = regex.compile(pattern).findall
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the former counts no offsets
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
-
-    def _plain(self, words: list[str], together: int = 256) -> Iterator[bytes]:
-        """The ids of words of letters alone, each after a space: many in a text, which falls apart into just these words."""
-        joined = ["".join(words[i : i + together]) for i in range(0, len(words), together)]
-        for e in self.tokenizer.encode_batch(joined, add_special_tokens=False):
-            data, word = array("I", e.ids).tobytes(), np.array(e.word_ids)
-            cut = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), len(data)]
-            yield from (data[x:y] for x, y in pairwise(cut))
-
-    def _learn(self, new: list[str]) -> None:
-        """Finds the ids of chunks. The one without a space before it is marked by a zero."""
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        words, chunks = self.words, self.chunks
-        parts = []
-        for c in new:
-            if c[:1] == "\0":
-                parts.append(self.find(c[1:]))
-            elif c.isalpha():
-                parts.append([" " + c])
-            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
-                parts.append([" " + c[:-1], c[-1]])
-            else:
-                parts.append(self.find(" " + c))
-        more = {w for own in parts for w in own if w not in words}
-        plain = [w for w in more if w[0] == " " and w[1:].isalpha()]
-        words.update(zip(plain, self._plain(plain), strict=True))
-        other = list(more.difference(plain))
-        words.update(zip(other, self._whole(other), strict=True))
-        for c, own in zip(new, parts, strict=True):
-            chunks[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        n = self.tokenizer.get_vocab_size()
+        self.starts_word = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
+        self.marks = np.zeros(256, np.int64)  # the ids of punctuation marks
+        for m in ".,;:!?":
+            ids = self.tokenizer.encode(m, add_special_tokens=False).ids
+            self.marks[ord(m)] = ids[0] if len(ids) == 1 else 0
+        self.key, self.at, self.length = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.ids, self.used = np.zeros(self.MOST_IDS, "<u4"), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.batch(texts, add_special_tokens=False)]
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks raw[start:end], each after a space, save those that are the first of their texts: those of all
+        together, and how many each has."""
+        odd = np.concatenate([[0], np.cumsum(_ODD[raw])])
+        alone = first | (start == end) | (odd[end] > odd[start])
+        plain = np.flatnonzero(~alone)
+        size = end[plain] - start[plain] + 1  # with the space before
+        where = np.repeat(start[plain] - 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        joined, edge = raw[where].tobytes(), np.append((np.cumsum(size) - size)[:: self.TOGETHER], size.sum())
+        texts = [joined[x:y].decode("utf-8") for x, y in pairwise(edge.tolist())] if len(plain) else []
+        parts, places, sizes = [], [], []
+        for k, (t, ids) in enumerate(zip(texts, self._whole(texts), strict=True)):
+            own = plain[k * self.TOGETHER : (k + 1) * self.TOGETHER]
+            new = np.flatnonzero(self.starts_word[ids])
+            if len(new) == len(own) and (t.isascii() or not self.ODD_SPACE.search(t)):
+                parts.append(ids)
+                places.append(own)
+                sizes.append(np.diff(new, append=len(ids)))
+            else:  # a rare white space may have met the next chunk's
+                alone[own] = True
+        rest = np.flatnonzero(alone)
+        found = self._whole([" " * (not first[i]) + raw[start[i] : end[i]].tobytes().decode("utf-8") for i in rest])
+        places, sizes = np.concatenate([*places, rest]), np.concatenate([*sizes, [len(x) for x in found]]).astype(np.int64)
+        ids, begin = np.concatenate([*parts, *found, np.zeros(0, "<u4")]), np.cumsum(sizes) - sizes
+        order = np.argsort(places)
+        begin, sizes = begin[order], sizes[order]
+        return ids[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
 
     def _sure(self, t: str) -> bool:
         if any(x in t for x in self.special) or any(x in t for x in self.SEPARATORS):
@@ -91,36 +99,66 @@ class ChunkEncoder:
             return not self.UNSURE.search(t)
         return True
 
+    def _chunked(self, texts: list[str]) -> list[np.ndarray]:
+        raw = np.frombuffer("".join([" " + t for t in texts]).encode("utf-8") + b" ", np.uint8)
+        space = np.flatnonzero(raw == 0x20)
+        start, end = space[:-1] + 1, space[1:]
+        own = np.array([t.count(" ") + 1 for t in texts])
+        first = np.zeros(len(start), bool)
+        first[np.cumsum(own) - own] = True
+        mark = raw[end - 1]
+        marked = (end - start > 1) & (self.marks[mark] > 0) & _LETTER[raw[end - 2]]  # a mark after a letter is a word of its own
+        end = end - marked
+        hashed = span_hashes(raw, start, end)
+        hashed = np.where(first, mix(hashed ^ np.uint64(0xF1)), hashed) | np.uint64(1)  # never an empty slot's zero
+        slot = (hashed >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+        ids, at, length = self.ids, self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
+        lacking = np.flatnonzero(self.key[slot] != hashed)
+        if len(lacking):
+            names, one, of = np.unique(hashed[lacking], return_index=True, return_inverse=True)
+            one = lacking[one]
+            new, size = self._learn(raw, start[one], end[one], first[one])
+            begin = np.cumsum(size) - size
+            if self.used + len(new) < len(self.ids):
+                begin += self.used
+            else:  # the table starts again; these texts still read what was known
+                ids, self.ids = np.concatenate([ids, new]), np.zeros(max(self.MOST_IDS, len(new) + 1), "<u4")
+                self.key[:], self.used = 0, 0
+            at[lacking], length[lacking] = (begin + (len(ids) - len(new) if ids is not self.ids else 0))[of], size[of]
+            self.ids[self.used : self.used + len(new)] = new
+            self.used += len(new)
+            to = (names >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
+            self.key[to], self.at[to], self.length[to] = names, begin, size
+        length += marked
+        upto = np.cumsum(length)
+        out = ids.take(np.repeat(at - (upto - length), length) + np.arange(upto[-1]), mode="clip")
+        out[upto[marked] - 1] = self.marks[mark[marked]]
+        edge = [0, *upto[np.cumsum(own) - 1].tolist()]
+        return [out[x:y] for x, y in pairwise(edge)]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         sure = [self._sure(t) for t in texts]
         whole = iter(self._whole([t for t, ok in zip(texts, sure, strict=True) if not ok]))
-        get = self.chunks.get
-        split = [("\0" + t).split(" ") if ok else None for t, ok in zip(texts, sure, strict=True)]
-        found = [list(map(get, own)) if own is not None else [next(whole)] for own in split]
-        lacking = [i for i, own in enumerate(found) if None in own]
-        if lacking:
-            new = list({c for i in lacking for c, ids in zip(split[i], found[i], strict=True) if ids is None})
-            self._learn(new)
-            for i in lacking:
-                found[i] = [get(c) if ids is None else ids for c, ids in zip(split[i], found[i], strict=True)]
-        return [np.frombuffer(b"".join(own), "<u4") for own in found]
+        plain = [t for t, ok in zip(texts, sure, strict=True) if ok]
+        chunked = iter([x for at in pieces(plain, 1 << 20) for x in self._chunked(plain[at])])
+        return [next(chunked if ok else whole) for ok in sure]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> ChunkEncoder:
+def encoder(path: str) -> ChunkEncoder:
     """An encoder that a Python worker keeps for all its tasks."""
-    return ChunkEncoder(path, pattern)
+    return ChunkEncoder(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int = 0) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Writes the ids of docs (doc_id, text) to files in ascending doc_id (null first, then by text); returns a row per file.
 
-    tokenizer: a byte-level BPE file; pattern: the one by which it finds words. Each text's ids are followed by end_id; a null text is empty. Range partitions are sorted and written file by file; a file
-    has a fixed name for its place, so a task that runs again replaces what it wrote.
+    tokenizer: a byte-level BPE file. Each text's ids are followed by end_id; a null text is empty. Range partitions are sorted
+    and written file by file; a file has a fixed name for its place, so a task that runs again replaces what it wrote.
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, seq = encoder(tokenizer, pattern), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4")
         doc_ids, ids, size = [], [], 0
 
@@ -177,7 +215,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = scratch(spark, "tokens")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    files = write_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, folder)
+    files = write_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     before = ordered(files, [F.col("part"), F.col("seq")], "n_ids").select("part", "seq", "_before")
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
