@@ -24,7 +24,7 @@ from termloom.llm.components import components
 
 #: Classes and n-grams that a group has at most (one class, if that has more), groups that a task compares with one at a time,
 #: n-grams in a slice of the matrix, and characters whose parts meet in one task.
-GROUP, GROUP_GRAMS, AT_ONCE, SLICE, BUCKET_CHARS = 64, 200_000, 32, 1 << 14, 12_000_000
+GROUP, GROUP_GRAMS, AT_ONCE, SLICE, BUCKET_CHARS = 128, 200_000, 32, 1 << 14, 12_000_000
 _ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -353,24 +353,23 @@ def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den:
 
 
 def apart(parts: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, groups): pairs (a, b) of groups that share parts enough to have similar members of different components, and the
-    classes of these groups. about: class, n_shingles, root (null: its own) and the group that it was compared in.
+    """(pairs, groups): pairs (a, b) of groups, some of them with themselves, that share parts enough to have similar members of
+    different components, and the classes of these groups. about: class, n_shingles and root (null: its own component).
 
-    Classes of one component form groups; those that have no other stay in the group that they were compared in, so that no
-    group has to be compared with itself."""
-    about = about.select("class", "n_shingles", F.col("group").alias("before"), F.coalesce("root", "class").alias("component"), F.col("root").isNull().alias("alone"))
+    Classes of one component form groups, and so do those without another that share parts with one component."""
+    about = about.select("class", "n_shingles", F.coalesce("root", "class").alias("component"), F.col("root").isNull().alias("alone"))
     of_part = spread_join(parts, about, ["class"], F.col("part"), how="inner")
-    mixed = of_part.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("part")
+    mixed = of_part.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("part", "x")
     of_part = spread_join(of_part, mixed, ["part"], F.col("class"), how="inner")
     enough = of_part.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
     of_part = written(spread_join(of_part, enough, ["class", "range"], F.col("part"), how="inner"), "apart")
-    classes = of_part.select("class", "n_shingles", "before", "component", "alone").distinct()
-    groups = chunked(classes, "component").select("class", F.when(F.col("alone"), F.col("before")).otherwise(F.col("group")).alias("group"))
-    groups = written(groups, "groups")
+    classes = of_part.groupBy("class", "n_shingles", "component", "alone").agg(F.min("x").alias("beside"))
+    classes = classes.withColumn("of", F.xxhash64("alone", F.when(F.col("alone"), F.col("beside")).otherwise(F.col("component"))))
+    groups = written(chunked(classes, "of").select("class", "group"), "groups")
     met = spread_join(of_part, groups, ["class"], F.col("part"), how="inner").groupBy("part", "range", "group")
     met = met.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("need"))
     a, b = (met.select("part", *(F.col(c).alias(f"{c}_{x}") for c in ("range", "group", "low", "high", "need"))) for x in "ab")
-    both = a.join(b, "part").where("group_a < group_b AND range_a = range_b AND NOT (low_a = high_b AND high_a = low_b)")
+    both = a.join(b, "part").where("group_a <= group_b AND range_a = range_b AND NOT (low_a = high_b AND high_a = low_b)")
     pairs = both.groupBy("group_a", "group_b", "range_a").agg(F.count("*").alias("n"), F.greatest(F.min("need_a"), F.min("need_b")).alias("need")).where("n >= need")
     return pairs.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct(), groups
 
