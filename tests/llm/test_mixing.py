@@ -51,6 +51,18 @@ def test_positions_follow_the_schedule(spark):
     assert early.count("a") > 2 * early.count("b")  # 1.5 against 0.5 at the start
 
 
+def test_the_schedule_decides(spark):
+    rows = [(i, "abc"[i % 3], 1 + i % 5) for i in range(300)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    found = [sorted(map(tuple, mixing.scheduled(mixing.mixture(sizes, ramps=r)).collect())) for r in (mixing.RAMPS, (0.9, -0.9, 0.3))]
+    assert [r[:5] for r in found[0]] == [r[:5] for r in found[1]] and sum(a != b for a, b in zip(*found, strict=True)) > 150
+    got = mixing.scheduled(mixing.mixture(sizes)).collect()
+    assert sorted(r.first_place for r in got if r.passes == 2)[0] >= 0 and sum(r.passes for r in got) > max(r.first_place or 0 for r in got)
+    early = lambda s: sum(r.taken for r in got if "abc"[r.doc_id % 3] == s and r.first_position is not None and r.first_position < 0.2)
+    whole = lambda s: sum(r.taken for r in got if "abc"[r.doc_id % 3] == s)
+    assert early("a") / whole("a") > early("b") / whole("b") > early("c") / whole("c")  # falling, level and rising shares
+
+
 def test_edges(spark, folder):
     none = folder(documents=([], DOCS))
     assert mixing.op8(spark, none).count() == 0
