@@ -59,7 +59,7 @@ def position(demand: Column, ramp: Column) -> Column:
 
     The integral of the schedule is x + ramp * (x * x - x); this is its inverse."""
     root = F.sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * demand)
-    return F.when(F.abs(ramp) < 1e-9, demand).otherwise((root - (1 - ramp)) / (2 * ramp))
+    return F.when(F.abs(ramp) < 1e-9, demand).otherwise((root - (1 - ramp)) / (2 * ramp)) + 0.0  # no negative zero
 
 
 def mixture(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, share: float = 1.5, most: int = 2, least: float = 0.0) -> DataFrame:
@@ -135,7 +135,7 @@ q AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.exact, [-0.5
 e AS (SELECT *, before + source_size * pass AS x, greatest(0, least(size, goal - before - source_size * pass)) AS words FROM q, (SELECT unnest([0, 1])::BIGINT AS pass)),
 -- The share of a source at time y is 1 - ramp + 2 * ramp * y of its mean; its integral, inverted.
 p AS (SELECT *, x / exact AS d FROM e WHERE words > 0),
-y AS (SELECT *, CASE WHEN abs(ramp) < 1e-9 THEN d ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * d) - (1 - ramp)) / (2 * ramp) END AS position FROM p),
+y AS (SELECT *, CASE WHEN abs(ramp) < 1e-9 THEN d ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * d) - (1 - ramp)) / (2 * ramp) END + 0.0::DOUBLE AS position FROM p),
 n AS (SELECT *, row_number() OVER (ORDER BY position, doc_id NULLS FIRST, pass, size, encode(source) NULLS FIRST) - 1 AS place FROM y),
 g AS (SELECT r, sum(words)::BIGINT AS taken, count(*) AS passes, round(min(position), 9) AS first_position, round(max(position), 9) AS last_position, min(place) AS first_place FROM n GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(passes, 0)::BIGINT AS passes, first_position, last_position, first_place FROM q LEFT JOIN g USING (r)
