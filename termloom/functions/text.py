@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 #: White space, as Java's regular expressions take it: what str.split() and str.strip() take in Python.
 SPACE = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Marks that normalisation deletes: fixed values.
-MARKS = "[•\\-–—*_#]"
+MARKS = "•-–—*_#"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def split_words(c: Column) -> Column:
@@ -21,17 +22,17 @@ def split_words(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.size(split_words(c))
+    return F.regexp_count(c, F.lit(SPACE.replace("[", "[^", 1) + "+"))
 
 
 def squeeze(c: Column) -> Column:
     """Lower case, white space as single blanks, none at the ends."""
-    return F.lower(strip(F.regexp_replace(c, f"{SPACE}+", " ")))
+    return F.lower(F.btrim(F.regexp_replace(c, f"{SPACE}+", " ")))
 
 
 def normalize(c: Column) -> Column:
     """squeeze(), and then without bullets, dashes and emphasis marks: a blank beside a deleted mark stays."""
-    return F.regexp_replace(squeeze(c), MARKS, "")
+    return F.translate(squeeze(c), MARKS, "")
 
 
 def first_line_title(c: Column) -> Column:
@@ -50,6 +51,13 @@ def strip_fence(c: Column) -> Column:
     return F.when(t.startswith("```"), strip(F.regexp_extract(t, r"(?s)^```(?:json)?(.*?)(?:```|$)", 1))).otherwise(t)
 
 
+def repaired(c: Column) -> Column:
+    """A reply's JSON object as a reader takes it: without a fence and what stands before and after the outermost braces, without
+    commas before a closing bracket; null if there are no braces."""
+    own = F.regexp_extract(strip_fence(c), r"(?s)\{.*\}", 0)
+    return F.when(own != "", F.regexp_replace(own, rf",{SPACE}*([}}\]])", "$1"))
+
+
 def is_table_line(c: Column) -> Column:
     t = strip(c)
     return t.startswith("|") & t.endswith("|") & (F.regexp_count(t, F.lit(r"\|")) >= 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ def _starts(n: Column, step: int) -> Column:
     return F.sequence(F.lit(0), n - 1, F.lit(step))
 
 
+def _windows(df: DataFrame, n: Column, step: int, window: Callable[[Column], Column], of: str) -> DataFrame:
+    """df without the column `of`, a row for each window. Windows are cut within their row: what is dealt out as rows holds
+    its own window alone, not all tokens."""
+    kept = [c for c in df.columns if c != of]
+    return df.where(n > 0).select(*kept, F.inline(F.transform(_starts(n, step), window)))
+
+
 def token_windows(df: DataFrame, tokens: str, size: int, overlap: int, joiner: str = " ") -> DataFrame:
     """chunk_id, start_token, end_token and text of windows of `size` tokens that share `overlap` with the one before.
 
@@ -18,9 +27,8 @@ def token_windows(df: DataFrame, tokens: str, size: int, overlap: int, joiner: s
     if size - overlap <= 0:
         raise ValueError("windows must advance: overlap has to be less than size")
     step, n = size - overlap, F.size(tokens)
-    rows = df.where(n > 0).withColumn("start_token", F.explode(_starts(n, step)))
-    own = F.slice(tokens, F.col("start_token") + 1, size)
-    return rows.withColumns({"chunk_id": (F.col("start_token") / step).cast("int"), "end_token": F.col("start_token") + F.size(own), "text": F.array_join(own, joiner)}).drop(tokens)
+    window = lambda s: F.struct(s.alias("start_token"), (s / step).cast("int").alias("chunk_id"), F.least(s + size, n).alias("end_token"), F.array_join(F.slice(tokens, s + 1, size), joiner).alias("text"))
+    return _windows(df, n, step, window, tokens)
 
 
 def capped_windows(df: DataFrame, tokens: str, size: int, overlap: int, most: int, joiner: str = " ") -> DataFrame:
@@ -29,9 +37,9 @@ def capped_windows(df: DataFrame, tokens: str, size: int, overlap: int, most: in
     step = width - overlap + (overlap <= 0)
     if width <= 0 or step <= 0:
         raise ValueError("windows must advance: overlap has to be less than their width")
-    rows = df.where(F.size(tokens) > 0).withColumn("start_token", F.explode(_starts(F.size(tokens), step)))
-    own = F.slice(tokens, F.col("start_token") + 1, width)
-    return rows.withColumns({"chunk_id": (F.col("start_token") / step).cast("int"), "n_tokens": F.size(own), "text": F.array_join(own, joiner)}).drop(tokens)
+    n = F.size(tokens)
+    window = lambda s: F.struct(s.alias("start_token"), (s / step).cast("int").alias("chunk_id"), F.least(F.lit(width), n - s).alias("n_tokens"), F.array_join(F.slice(tokens, s + 1, width), joiner).alias("text"))
+    return _windows(df, n, step, window, tokens)
 
 
 def char_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
@@ -39,8 +47,8 @@ def char_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame
     if size - overlap <= 0:
         raise ValueError("windows must advance: overlap has to be less than size")
     step = size - overlap
-    rows = df.where(F.length(text) > 0).withColumn("_start", F.explode(_starts(F.length(text), step)))
-    return rows.withColumns({"chunk_id": (F.col("_start") / step).cast("int"), "chunk": F.substring(F.col(text), F.col("_start") + 1, F.lit(size))}).drop("_start", text)
+    window = lambda s: F.struct((s / step).cast("int").alias("chunk_id"), F.substring(F.col(text), s + 1, F.lit(size)).alias("chunk"))
+    return _windows(df, F.length(text), step, window, text)
 
 
 def trim_tokens(tokens: Column, n: int, joiner: str = " ") -> Column:

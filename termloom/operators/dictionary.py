@@ -20,6 +20,7 @@ def replace_lists(rows: DataFrame, surface: str, compound: str, *order: str) ->
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "term") -> DataFrame:
+    """old with the rows of new in place of those of the same key. new has a key once, as merge_last leaves it."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.similarity import dot
-from termloom.functions.text import pair_key, strip
+from termloom.functions.text import pair_key, repaired, strip
+from termloom.operators.contain import containing
 
 #: Patterns whose capture names a category, and the edge types: fixed values.
 CATEGORY_PATTERNS = ("(.+?)の一種", "(.+?)に属する", "(.+?)系")
@@ -69,27 +70,36 @@ def similar_edges(pairs: DataFrame) -> DataFrame:
 
 
 def parent_edges(nodes: DataFrame) -> DataFrame:
-    """An edge from each term to every other term that its lower-cased definition holds. Terms are compared as they are, so one
-    with a capital is nobody's parent. The terms' side is broadcast by Spark if it is small enough."""
-    d = nodes.select("term", F.lower("definition").alias("d"))
-    other = nodes.select(F.col("term").alias("other")).where("other <> '' AND other = lower(other)")
-    return d.join(other, F.col("d").contains(F.col("other")) & (F.col("term") != F.col("other"))).select(*_edge("term", "other", PARENT_TERM))
+    """An edge from each term to every other term that its lower-cased definition holds, once for each node of that name. Terms
+    are compared as they are, so one with a capital is nobody's parent."""
+    d = nodes.select("term", F.lower("definition").alias("text"))
+    other = nodes.select(F.col("term").alias("needle")).where("needle <> '' AND needle = lower(needle)")
+    held = containing(d.select("text"), [], other)
+    return d.join(held, "text").join(other, "needle").where("term <> needle").select(*_edge("term", "needle", PARENT_TERM))
+
+
+def captures(text: Column, marker: str) -> Column:
+    """What "(.+?)marker" captures, match after match, in the lines of a text. A line is read up to its last marker, so that every
+    place where a match can begin has one, and time grows with the text's length alone."""
+    upto = lambda line: F.substring(line, F.lit(1), F.length(line) - F.length(F.substring_index(line, marker, -1)))
+    own = lambda line: F.regexp_extract_all(upto(line), F.lit(rf"(?d)(.+?)\Q{marker}\E"), F.lit(1))
+    return F.flatten(F.transform(F.split(text, "\n"), own))
 
 
 def category_edges(nodes: DataFrame, patterns: tuple[str, ...] = CATEGORY_PATTERNS) -> DataFrame:
     """An edge from each term to every capture of a pattern in its definition that is a node, once for each match.
 
     A capture begins where its line or the match before ends, so it takes the whole prefix; it may be the term itself."""
-    found = [F.regexp_extract_all("definition", F.lit(f"(?d){p}"), F.lit(1)) for p in patterns]
+    found = [captures(F.col("definition"), p.removeprefix("(.+?)")) for p in patterns]
     captured = nodes.select("term", F.explode(F.concat(*found)).alias("c")).select("term", strip(F.col("c")).alias("category"))
     return captured.join(nodes.select(F.col("term").alias("category")), "category", "left_semi").select(*_edge("term", "category", CATEGORY))
 
 
 def cooccurrence(contexts: DataFrame, terms: DataFrame) -> DataFrame:
     """a, b (a < b), once each: a term, and another that one of its contexts (term, context) holds in any case."""
-    lowered = terms.select(F.col("term").alias("other"), F.lower("term").alias("t")).where("t <> ''")
-    held = contexts.select("term", F.lower("context").alias("c")).repartition(contexts.sparkSession.sparkContext.defaultParallelism)
-    met = held.join(lowered, F.col("c").contains(F.col("t")) & (F.col("term") != F.col("other")))
+    lowered = terms.select(F.col("term").alias("other"), F.lower("term").alias("needle")).where("needle <> ''")
+    own = contexts.select("term", F.lower("context").alias("text")).distinct()
+    met = own.join(containing(own.select("text"), [], lowered), "text").join(lowered, "needle").where("term <> other")
     a, b = pair_key(F.col("term"), F.col("other"))
     return met.select(a.alias("a"), b.alias("b")).distinct()
 
@@ -179,6 +189,48 @@ def merge_entities(rows: DataFrame, separator: str = "<SEP>") -> DataFrame:
     return joined.join(best, "entity").select("entity", "entity_type", "description", "source_id")
 
 
+def merge_edges(rows: DataFrame, separator: str = "<SEP>") -> DataFrame:
+    """rows (source, target, weight, description, source_id, order): one row a pair of entities, whichever comes first, with the
+    sum of weights, the least order, and distinct descriptions and sources, sorted and joined."""
+    a, b = pair_key(F.col("source"), F.col("target"))
+    joined = (F.array_join(F.sort_array(F.collect_set(c)), separator).alias(c) for c in ("description", "source_id"))
+    return rows.groupBy(a.alias("source"), b.alias("target")).agg(F.sum("weight").alias("weight"), F.min("order").alias("order"), *joined)
+
+
+NODES_JSON = "nodes array<struct<id string, label string, properties struct<name string, definition string>>>"
+EDGES_JSON = "relationships array<struct<type string, start_node_id string, end_node_id string>>"
+
+
+def extracted(replies: DataFrame, keys: list[str], types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a model's replies (keys, reply), JSON objects with nodes and relationships: keys, id, label, name and
+    definition; keys, source, target (names) and type.
+
+    Ids count within their reply; of an id given twice the last node counts. A reply that can't be read has no rows, nor has a
+    relationship whose ends aren't both nodes of its reply, or whose type isn't among `types`."""
+    own = replies.select(*keys, F.from_json(repaired(F.col("reply")), f"{NODES_JSON}, {EDGES_JSON}").alias("r"))
+    each = own.select(*keys, F.posexplode("r.nodes").alias("at", "n")).where("n.id IS NOT NULL")
+    last = each.groupBy(*keys, F.col("n.id").alias("id")).agg(F.max_by("n", "at").alias("n"))
+    nodes = last.select(*keys, "id", "n.label", "n.properties.name", "n.properties.definition")
+    edges = own.select(*keys, F.explode("r.relationships").alias("e")).select(*keys, "e.*")
+    if types is not None:
+        edges = edges.where(F.col("type").isin(*types))
+    end = lambda c, name: nodes.select(*keys, F.col("id").alias(c), F.col("name").alias(name))
+    met = edges.join(end("start_node_id", "source"), [*keys, "start_node_id"]).join(end("end_node_id", "target"), [*keys, "end_node_id"])
+    return nodes, met.select(*keys, "source", "target", "type")
+
+
+def in_order(compounds: DataFrame, similar: DataFrame, parents: DataFrame, categories: DataFrame) -> DataFrame:
+    """All edges of a graph with seq, the order in which they are added: compounds, then by kind, source and target."""
+    kinds = [x.withColumn("stage", F.lit(k)) for k, x in enumerate((compounds, similar, parents, categories))]
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+    return numbered(every, ["stage", "source", "target"], "seq").drop("stage")
+
+
+def unembedded(nodes: DataFrame) -> DataFrame:
+    """The nodes (term, definition, embedding) that lack an embedding: term, and the text to embed."""
+    return nodes.where("embedding IS NULL").select("term", F.coalesce("definition", F.lit("")).alias("definition"))
+
+
 def spherical_layout(df: DataFrame, index: str, n: Column) -> DataFrame:
     """x, y, z of the index-th of n points on a spiral around the unit sphere; one point alone is a pole."""
     z = F.when(n > 1, 2.0 * F.col(index) / (n - 1) - 1.0).otherwise(-1.0)
@@ -187,26 +239,37 @@ def spherical_layout(df: DataFrame, index: str, n: Column) -> DataFrame:
     return df.withColumns({"x": F.sin(theta) * F.cos(phi), "y": F.sin(theta) * F.sin(phi), "z": z})
 
 
-def numbered(df: DataFrame, order: str, place: str) -> DataFrame:
+def numbered(df: DataFrame, order: str | list[str], place: str) -> DataFrame:
     """df with a row's place (from 0) by `order`: range partitions are counted, and each is numbered from where the one before
     ends, so that only a row for each partition meets in one task. Needs a checkpoint folder, which keeps the partitions."""
-    df = df.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    order = [order] if isinstance(order, str) else order
+    df = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = df.groupBy("_pid").agg(F.count("*").alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
     return df.withColumn("_row", inside).join(F.broadcast(parts), "_pid").withColumn(place, F.col("_before") + F.col("_row") - 1).drop("_pid", "_row", "_before")
 
 
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node and component (the least node) of undirected edges (a, b): labels spread until none changes, cut by checkpoints."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("c"))
-        new = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
-        hop = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = new.join(hop, "component").select("node", F.least("component", "next").alias("component"), "moved").checkpoint()
-        labels = new.select("node", "component")
-        if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError("labels still change")
+def _to_least(links: DataFrame, upwards: bool) -> DataFrame:
+    """Of every node, its greater neighbours (upwards) or its smaller ones and itself, linked to the least of all of them."""
+    pairs = links.select(F.col("high").alias("node"), F.col("low").alias("other"))
+    if upwards:
+        pairs = pairs.unionByName(links.select(F.col("low").alias("node"), F.col("high").alias("other")))
+    least = pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    met = pairs.join(least, "node")
+    ends = met.where("other > node").select(F.col("other").alias("high"), F.col("m").alias("low")) if upwards else met.select(F.explode(F.array("node", "other")).alias("high"), F.col("m").alias("low"))
+    return ends.where("high <> low").distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and component (the least node) of undirected edges (a, b).
+
+    Each round links neighbourhoods to their least node, first those above a node and then those below; the rounds grow as the
+    logarithm of the longest way, and each is cut by a checkpoint. A hub's links are split by AQE's join for skewed keys."""
+    own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct().checkpoint()
+    before = None
+    while (now := links.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()) != before:
+        before, links = now, _to_least(_to_least(links, True), False).checkpoint()
+    roots = links.select(F.col("high").alias("node"), F.col("low").alias("component"))
+    return own.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -49,6 +49,19 @@ def common_footer(footers: DataFrame, least: float = 0.5) -> DataFrame:
     return best.where(F.col("x.n") >= least * F.col("all")).select("x.footer", "x.n")
 
 
+def common_footer_each(footers: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc and footer: common_footer of each document's footers (doc, footer, pos)."""
+    counts = footers.where("footer <> ''").groupBy("doc", "footer").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    best = counts.groupBy("doc").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("first")).alias("first"), "footer")).alias("x"))
+    return best.where(F.col("x.n") >= least * F.col("all")).select("doc", "x.footer")
+
+
+def between_footers(lines: DataFrame, footers: DataFrame) -> DataFrame:
+    """lines (doc, pos, content) with page, without those that hold their document's common footer (doc, footer), which part pages."""
+    own = lines.join(footers, "doc", "left").withColumn("is_footer", F.coalesce(F.col("content").contains(F.col("footer")), F.lit(False)))
+    return footer_pages(own.drop("footer")).where("NOT is_footer").drop("is_footer")
+
+
 def on_page(norm: Column, page_norm: Column, least: float = OVERLAP) -> Column:
     """Whether a page holds an item: its text, or enough of its distinct words. An item without text is on every page."""
     words, shared = F.array_distinct(split_words(norm)), F.array_intersect(split_words(norm), split_words(page_norm))
@@ -57,14 +70,15 @@ def on_page(norm: Column, page_norm: Column, least: float = OVERLAP) -> Column:
 
 
 def align(doc_items: DataFrame, pages: DataFrame) -> DataFrame:
-    """items with page: pages (doc, page, text) searched from the last hit on, round to it; then never back.
+    """items with page: pages (doc, page, text) searched from the last hit on, round to it; then never back. Before the first hit
+    it is the document's first page.
 
     Which pages hold an item is a join; the walk from hit to hit, which depends on what came before, is a fold over one
     document's numbers. Documents with items and without pages are an error."""
     norm = pages.select("doc", "page", normalize(F.col("text")).alias("page_norm"))
     found = doc_items.select("doc", "pos", normalize(F.col("text")).alias("norm")).join(norm, "doc", "left")
     found = found.withColumn("hit", F.when(on_page(F.col("norm"), F.col("page_norm")), F.col("page")))
-    hits = found.groupBy("doc", "pos").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.count("page").alias("n_pages"))
+    hits = found.groupBy("doc", "pos").agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.count("page").alias("n_pages"), F.min("page").alias("least"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
@@ -74,7 +88,7 @@ def align(doc_items: DataFrame, pages: DataFrame) -> DataFrame:
         for own in rows["hits"]:
             if len(own):
                 at = min(own, key=lambda p: (p < at, p))  # the first at or after the last hit, else the first of all
-            out.append(max(at, 1))
+            out.append(at or int(rows["least"].min()))
         return rows.assign(found=out)[["doc", "pos", "found"]]
 
     kind = doc_items.schema["doc"].dataType.simpleString()
@@ -200,6 +214,11 @@ def render_all(rows: DataFrame) -> DataFrame:
     return out
 
 
+def extract(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The blocks of documents (doc, markdown) whose pages (doc, page, text) are known: items, their pages, and runs of them."""
+    return blocks(align(items(docs), pages))
+
+
 def page_distribution(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page").agg(F.count("*").alias("n_blocks")).orderBy("page")
 

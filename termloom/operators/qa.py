@@ -26,8 +26,9 @@ def gated_chunks(articles: DataFrame) -> DataFrame:
     return found.where(F.col("n_tokens") >= CHUNK_WORDS).select("title", F.col("chunk_id").alias("chunk_index"), F.col("text").alias("chunk"))
 
 
-def within_budget(prompt: Column, most: int = PROMPT_MOST) -> Column:
-    return n_words(prompt) <= most
+def within_budget(prompt: Column, most: int = PROMPT_MOST, system: str = "", count: Callable[[Column], Column] = n_words) -> Column:
+    """Whether a system prompt and a prompt together have `most` tokens at most, as `count` counts them."""
+    return count(F.concat(F.lit(system), prompt)) <= most
 
 
 def questions(reply: Column) -> Column:
@@ -45,15 +46,21 @@ def answer(reply: Column) -> Column:
 def qa_rows(articles: DataFrame, factory: Callable[[], LanguageModel] = Extractive) -> DataFrame:
     """source_article, chunk_index, question, answer, context. Replies that can't be read drop their row.
 
-    The first pass is stored before the second reads it, so that no prompt is asked twice."""
+    The first pass is stored before the second reads it, so that no prompt is asked twice, even if executors are lost. Needs a
+    checkpoint folder."""
     first = gated_chunks(articles).withColumn("prompt", F.concat(F.lit("task: questions\n---\n"), F.col("chunk")))
     asked = complete(first.where(within_budget(F.col("prompt"))), "prompt", "reply", factory)
-    each = asked.select("title", "chunk_index", "chunk", F.explode(questions(F.col("reply"))).alias("question")).persist()
+    each = asked.select("title", "chunk_index", "chunk", F.explode(questions(F.col("reply"))).alias("question")).checkpoint()
     second = each.withColumn("prompt", F.concat(F.lit("task: answer\nquestion: "), F.col("question"), F.lit("\n---\n"), F.col("chunk")))
     told = complete(second.where(within_budget(F.col("prompt"))), "prompt", "reply", factory).withColumn("a", answer(F.col("reply")))
     return told.where("a IS NOT NULL").select(F.col("title").alias("source_article"), "chunk_index", "a.question", "a.answer", snippet(F.col("chunk")).alias("context"))
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """n_rows and n_articles of question and answer rows."""
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("source_article").alias("n_articles"))
+
+
 def throughput(rows: DataFrame, seconds: float) -> DataFrame:
     """requests and tokens of rows (prompt, reply), and how many a second."""
     return rows.agg(F.count("*").alias("requests"), F.sum(n_words(F.col("prompt")) + n_words(F.col("reply"))).alias("tokens")).withColumns({"requests_per_s": F.col("requests") / seconds, "tokens_per_s": F.col("tokens") / seconds})

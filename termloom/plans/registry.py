@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 from termloom.functions.similarity import dot
 from termloom.operators import chunk, dictionary, graph, layout, match, qa
+from termloom.operators.contain import containing
 from termloom.operators.models import Extractive, complete, define_prompt, filter_prompt, parsed_definition, parsed_terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,10 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
+    """Sets a checkpoint folder that driver and executors share: that of the setting, else one in the warehouse."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        spark.sparkContext.setCheckpointDir(shared)
 
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,43 +94,44 @@ def first_line_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_line_title(text).alias("title"), F.md5(T.after_first_line(text)).alias("rest"))
 
 
-# Terms: words of documents that are neither common nor rare.
-TERMS_SQL = """
-tok AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS surface FROM documents),
-df AS (SELECT surface AS word, count(*) AS n FROM tok WHERE length(surface) >= 6 GROUP BY 1 HAVING count(*) BETWEEN 5 AND 40),
-terms AS (SELECT word FROM df ORDER BY n DESC, word LIMIT 200)"""
+# Terms: words of letters that five documents or more have.
+LETTERS = r"\p{L}+"
+TERMS_SQL = rf"""
+tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{LETTERS}')) AS surface FROM documents),
+terms AS (SELECT surface AS word FROM tok WHERE length(surface) >= 6 GROUP BY 1 HAVING count(*) >= 5)"""
 
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("surface")).distinct()
-
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("surface")).distinct()
 
-def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surfaces(spark, sf_dir).where(F.length("surface") >= 6).groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("n"))
 
+def all_terms(tokens: DataFrame) -> DataFrame:
+    """The whole list of terms of distinct (doc_id, surface)."""
+    return tokens.where(F.length("surface") >= 6).groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("n")).where("n >= 5").select("word")
 
-def derived_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The short list of TERMS_SQL: 200 words at most, whatever the input. The queries named _all take all_terms instead."""
-    return term_counts(spark, sf_dir).where("n BETWEEN 5 AND 40").orderBy(F.desc("n"), "word").limit(200).select("word")
 
-
-def all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of five documents or more: a list without a cap, as the reference's is."""
-    return term_counts(spark, sf_dir).where("n >= 5").select("word")
+def also(name: str, of: str) -> None:
+    """Another name of a query."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLES:
+        ORACLES[name] = ORACLES[of]
 
 
 @query("term_full_match", f"WITH {TERMS_SQL} SELECT doc_id, surface FROM tok WHERE surface IN (SELECT word FROM terms)")
 def term_full_match(spark, sf_dir):
-    return match.full_matches(surfaces(spark, sf_dir), derived_terms(spark, sf_dir), ["doc_id"]).select("doc_id", "surface")
+    tokens = surfaces(spark, sf_dir)
+    return match.full_matches(tokens, all_terms(tokens), ["doc_id"]).select("doc_id", "surface")
 
 
 PARTIAL_SQL = f"""{TERMS_SQL},
-part AS (SELECT doc_id, surface, word AS compound FROM tok, terms
-  WHERE length(surface) >= 4 AND surface NOT IN (SELECT word FROM terms) AND contains(word, surface) AND word <> surface)"""
+open AS (SELECT DISTINCT surface FROM tok WHERE length(surface) >= 4 AND surface NOT IN (SELECT word FROM terms)),
+held AS (SELECT surface, word AS compound FROM open, terms WHERE contains(word, surface) AND word <> surface),
+part AS (SELECT doc_id, surface, compound FROM tok JOIN held USING (surface))"""
 
 
 def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.partial_matches(surfaces(spark, sf_dir).where(F.length("surface") >= 4), derived_terms(spark, sf_dir), ["doc_id"])
+    tokens = surfaces(spark, sf_dir)
+    return match.partial_matches(tokens.where(F.length("surface") >= 4), all_terms(tokens), ["doc_id"])
 
 
 @query("term_partial_match", f"WITH {PARTIAL_SQL} SELECT doc_id, surface, compound FROM part")
@@ -141,49 +143,31 @@ def term_partial_match(spark, sf_dir):
 WITH {PARTIAL_SQL}, l AS (SELECT surface, doc_id, string_agg(compound, ',' ORDER BY compound) AS compounds FROM part GROUP BY 1, 2)
 SELECT surface, arg_max(compounds, doc_id) AS compounds FROM l GROUP BY 1""")
 def partial_lists_last(spark, sf_dir):
-    return dictionary.replace_lists(partials(spark, sf_dir), "surface", "compound", "doc_id").withColumn("compounds", F.array_join("compounds", ","))
+    """A surface's list is the same in every document, so its last document alone is matched."""
+    tokens = surfaces(spark, sf_dir)
+    last = tokens.where(F.length("surface") >= 4).groupBy("surface").agg(F.max("doc_id").alias("doc_id"))
+    found = match.partial_matches(last, all_terms(tokens), ["doc_id"])
+    return dictionary.replace_lists(found, "surface", "compound", "doc_id").withColumn("compounds", F.array_join("compounds", ","))
 
 
 @query("compound_edges", f"""
-WITH {PARTIAL_SQL} SELECT compound AS source, surface AS target, 'COMPOUND_OF' AS type, 1.0::DOUBLE AS weight FROM (SELECT DISTINCT surface, compound FROM part)""")
+WITH {PARTIAL_SQL} SELECT compound AS source, surface AS target, 'COMPOUND_OF' AS type, 1.0::DOUBLE AS weight FROM held""")
 def compound_edges(spark, sf_dir):
-    nodes = derived_terms(spark, sf_dir).select(F.col("word").alias("term"))
-    return graph.compound_edges(partials(spark, sf_dir).select("surface", "compound").distinct(), nodes)
-
-
-# The same over the whole term list. Those of parts have no SQL: it would compare every surface with every term.
-@query("term_full_match_all", """
-WITH tok AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS surface FROM documents)
-SELECT doc_id, surface FROM tok WHERE surface IN (SELECT surface FROM tok WHERE length(surface) >= 6 GROUP BY 1 HAVING count(*) >= 5)""")
-def term_full_match_all(spark, sf_dir):
-    return match.full_matches(surfaces(spark, sf_dir), all_terms(spark, sf_dir), ["doc_id"]).select("doc_id", "surface")
-
-
-@query("term_partial_match_all")
-def term_partial_match_all(spark, sf_dir):
-    return match.partial_matches(surfaces(spark, sf_dir).where(F.length("surface") >= 4), all_terms(spark, sf_dir), ["doc_id"]).select("doc_id", "surface", "compound")
-
-
-@query("partial_lists_last_all")
-def partial_lists_last_all(spark, sf_dir):
-    """A surface's list is the same in every document, so its last document alone is matched."""
-    last = surfaces(spark, sf_dir).where(F.length("surface") >= 4).groupBy("surface").agg(F.max("doc_id").alias("doc_id"))
-    found = match.partial_matches(last, all_terms(spark, sf_dir), ["doc_id"])
-    return dictionary.replace_lists(found, "surface", "compound", "doc_id").withColumn("compounds", F.array_join("compounds", ","))
+    tokens = surfaces(spark, sf_dir)
+    terms = all_terms(tokens)
+    found = match.partial_matches(tokens.where(F.length("surface") >= 4).select("surface").distinct(), terms, [])
+    return graph.compound_edges(found, terms.select(F.col("word").alias("term")))
 
 
-@query("compound_edges_all")
-def compound_edges_all(spark, sf_dir):
-    terms = all_terms(spark, sf_dir)
-    found = match.partial_matches(surfaces(spark, sf_dir).where(F.length("surface") >= 4), terms, [])
-    return graph.compound_edges(found, terms.select(F.col("word").alias("term")))
+for _name in ("term_full_match", "term_partial_match", "partial_lists_last", "compound_edges"):
+    also(f"{_name}_all", _name)
 
 
 @query("passage_cooccurrence", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
 def passage_cooccurrence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("c")).repartition(spark.sparkContext.defaultParallelism)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t"))
-    return docs.join(items, F.col("c").contains(F.col("t"))).select("doc_id", "item_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
+    return containing(docs, ["doc_id"], items).join(items, "needle").select("doc_id", "item_id")
 
 
 # Nodes with definitions: the parts' names, each with the last of its types.
@@ -214,17 +198,6 @@ def ordered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_nodes(spark, sf_dir).withColumn("ord", F.xxhash64("term"))
 
 
-@query("dict_lookup_exact", f"WITH {NODES_SQL}, q AS (SELECT min(term) AS t FROM nodes) SELECT true AS exact_match, 1 AS rank, term, definition, 1.0::DOUBLE AS similarity FROM nodes, q WHERE term = lower(t) AND definition <> ''")
-def dict_lookup_exact(spark, sf_dir):
-    nodes = ordered_nodes(spark, sf_dir)
-    return dictionary.dict_lookup(nodes, nodes.agg(F.min("term")).first()[0] or "").where("exact_match")
-
-
-@query("fuzzy_lookup")
-def fuzzy_lookup(spark, sf_dir):
-    return dictionary.dict_lookup(ordered_nodes(spark, sf_dir), "almond antique stel", 10)
-
-
 @query("parent_edges", f"""
 WITH {NODES_SQL}, w AS (SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) AS term FROM part),
 n AS (SELECT term, definition FROM nodes UNION ALL SELECT term, '' FROM w)
@@ -239,7 +212,7 @@ def parent_edges(spark, sf_dir):
 WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(.+?)tion', 1)) AS capture FROM documents)
 SELECT doc_id, regexp_replace(capture, '^{WS}+|{WS}+$', '', 'g') AS category, count(*) AS n FROM c GROUP BY 1, 2""")
 def category_extract(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?d)(.+?)tion"), F.lit(1))).alias("c"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(graph.captures(F.col("text"), "tion")).alias("c"))
     return found.groupBy("doc_id", T.strip(F.col("c")).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -281,14 +254,6 @@ def similar_edges(spark, sf_dir):
     return graph.similar_edges(graph.similar_pairs(vectors(spark, sf_dir), 0.35)).withColumn("weight", F.round("weight", 5))
 
 
-@query("vector_topk", f"""
-WITH s AS (SELECT b.vec_id AS id, {DOT_SQL} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0)
-SELECT row_number() OVER (ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 3""")
-def vector_topk(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return graph.top_k(v, v.where("id = 0"), 3).withColumn("score", F.round("score", 6))
-
-
 EDGES_SQL = f"""
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.35),
 e AS (SELECT a AS source, b AS target FROM p UNION ALL SELECT b, a FROM p)"""
@@ -302,7 +267,7 @@ SELECT seed, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
 def bfs_2hop(spark, sf_dir):
     v = vectors(spark, sf_dir)
     seeds = v.where("id % 100 = 0").select(F.col("id").alias("seed"))
-    edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).persist()
+    edges = graph.similar_edges(graph.similar_pairs(v, 0.35))
     return graph.bfs(edges, seeds, 2)
 
 
@@ -501,6 +466,7 @@ WITH {WORDS_SQL}, w AS (SELECT *, unnest(range(0, len(tok), 400)) AS st FROM t W
 SELECT 'd' || doc_id AS source_article, (st // 400)::INT AS chunk_index, 'What is said about ' || own[1] || '?' AS question, array_to_string(own[1:20], ' ') AS answer,
   left(array_to_string(own, ' '), 200) || '...' AS context FROM c WHERE len(own) >= 50""")
 def qa_rows(spark, sf_dir):
+    with_checkpoints(spark)
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
     return qa.qa_rows(docs)
 
@@ -511,8 +477,8 @@ def term_definitions(spark, sf_dir):
     by document and chunk. An empty definition is taken only where no chunk gives another."""
     chunks = chunk.token_windows(doc_words(spark, sf_dir), "tokens", 1000, 200).select("doc_id", "chunk_id", "text")
     keys = ["doc_id", "chunk_id"]
-    held = chunks.select(*keys, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("surface"))
-    found = match.full_matches(held, all_terms(spark, sf_dir), keys).groupBy(*keys).agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
+    held = chunks.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("surface"))
+    found = match.full_matches(held, all_terms(surfaces(spark, sf_dir)), keys).groupBy(*keys).agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
     asked = complete(chunks.join(found, keys).withColumn("prompt", filter_prompt(F.col("candidates"), F.col("text"))).select(*keys, "text", "prompt"), "prompt", "reply", Extractive)
     each = asked.select(*keys, "text", F.explode(parsed_terms(F.col("reply"))).alias("term"))
     told = complete(each.withColumn("prompt", define_prompt(F.col("term"), F.lower("text"))).select(*keys, "prompt"), "prompt", "reply", Extractive)
@@ -520,39 +486,164 @@ def term_definitions(spark, sf_dir):
     return dictionary.merge_last(rows.withColumn("says", F.col("definition") != ""), "term", "definition", "says", *keys)
 
 
-@query("nearest_products", f"""
-WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings))
-SELECT a.label, count(*) AS n, round(max(list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[])), 5) AS best FROM embeddings a, q GROUP BY 1""")
-def nearest_products(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    last = v.agg(F.max_by("embedding", "vec_id").alias("q"))
-    return v.join(F.broadcast(last)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
-
-
 # Searches for every row whose id is divisible by 100, against all rows.
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).where("id % 100 = 0").withColumnRenamed("id", "query")
 
 
-@query("vector_topk_all", f"""
+@query("vector_topk", f"""
 WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, {DOT_SQL} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
 r AS (SELECT query, (row_number() OVER (PARTITION BY query ORDER BY score DESC, id))::INT AS rank, id, round(score, 6) AS score FROM s)
 SELECT * FROM r WHERE rank <= 3""")
-def vector_topk_all(spark, sf_dir):
+def vector_topk(spark, sf_dir):
     return graph.top_k_each(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
 
 
-@query("vector_retrieval")
+@query("footer_blocks", """
+WITH c AS (SELECT conv_id AS doc, role AS footer, count(*) AS n, min(turn) AS f FROM conversations WHERE role <> '' GROUP BY 1, 2),
+b AS (SELECT *, sum(n) OVER (PARTITION BY doc) AS total, row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) AS k FROM c),
+l AS (SELECT conv_id AS doc, turn AS pos, role || ': ' || text AS content, coalesce(contains(role || ': ' || text, footer), false) AS is_footer
+      FROM conversations LEFT JOIN (SELECT doc AS conv_id, footer FROM b WHERE k = 1 AND n >= 0.5 * total) USING (conv_id)),
+p AS (SELECT *, (1 + sum(is_footer::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT AS page FROM l)
+SELECT doc, page, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content FROM p WHERE NOT is_footer GROUP BY 1, 2""")
+def footer_blocks(spark, sf_dir):
+    """Turns in pages, which the turns of the conversation's commonest role, if it has half of them, part."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("pos"), "role", F.concat("role", F.lit(": "), "text").alias("content"))
+    footers = layout.common_footer_each(turns.withColumnRenamed("role", "footer"))
+    paged = layout.between_footers(turns.drop("role"), footers)
+    plain = paged.withColumns({"type": F.lit("text"), "level": F.lit(None).cast("int"), "section": F.lit(0), "section_name": F.lit(""), "subsection": F.lit(0), "subsection_name": F.lit("")})
+    return layout.blocks(plain).select("doc", "page", "content")
+
+
+@query("extract_document")
+def extract_document(spark, sf_dir):
+    """Each conversation as a document whose pages hold four turns each."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), (1 + F.floor(F.col("turn") / 4)).cast("int").alias("page"), "turn", "text")
+    pages = turns.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("doc", "page", F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("text"))
+    return layout.extract(marked_down(spark, sf_dir), pages)
+
+
+EXTRACT_SQL = """
+w AS (SELECT p_partkey AS doc, string_split(p_name, ' ') AS w, p_type FROM part WHERE p_name IS NOT NULL),
+n AS (SELECT doc, i, w[i] AS name, p_type || ' ' || i AS definition FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i))"""
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that name each word of a part's name and lead from one to the next, some in a fence, some with words around them
+    and commas too many, some cut off."""
+    words = F.split("p_name", " ")
+    node = lambda w, i: F.struct(F.concat(F.lit("n"), i.cast("string")).alias("id"), F.lit("Term").alias("label"), F.struct(w.alias("name"), F.concat("p_type", F.lit(" "), (i + 1).cast("string")).alias("definition")).alias("properties"))
+    edge = lambda w, i: F.struct(F.when(i % 2 == 0, "RELATED_TO").otherwise("PREREQUISITE_OF").alias("type"), F.concat(F.lit("n"), i.cast("string")).alias("start_node_id"), F.concat(F.lit("n"), (i + 1).cast("string")).alias("end_node_id"))
+    own = F.to_json(F.struct(F.transform(words, node).alias("nodes"), F.transform(words, edge).alias("relationships")))  # the last edge has no end
+    turn, cut = F.col("p_partkey") % 4, F.expr("left(x, length(x) - 1)")
+    shown = F.when(turn == 0, F.concat(F.lit("```json\n"), F.col("x"), F.lit("\n```"))).when(turn == 1, F.concat(F.lit("Here: "), cut, F.lit(" ,} done"))).when(turn == 2, cut).otherwise(F.col("x"))
+    return table(spark, sf_dir, "part").where("p_name IS NOT NULL").withColumn("x", own).select(F.col("p_partkey").alias("doc"), shown.alias("reply"))
+
+
+@query("extracted_nodes", f"WITH {EXTRACT_SQL} SELECT doc, 'n' || (i - 1) AS id, 'Term' AS label, name, definition FROM n WHERE doc % 4 <> 2")
+def extracted_nodes(spark, sf_dir):
+    return graph.extracted(replies(spark, sf_dir), ["doc"])[0]
+
+
+@query("extracted_edges", f"""
+WITH {EXTRACT_SQL} SELECT a.doc, a.name AS source, b.name AS target, CASE WHEN a.i % 2 = 1 THEN 'RELATED_TO' ELSE 'PREREQUISITE_OF' END AS type
+FROM n a JOIN n b ON a.doc = b.doc AND b.i = a.i + 1 WHERE a.doc % 4 <> 2""")
+def extracted_edges(spark, sf_dir):
+    return graph.extracted(replies(spark, sf_dir), ["doc"], ("PREREQUISITE_OF", "RELATED_TO", "SIMILAR_TO"))[1]
+
+
+@query("edge_merge", """
+SELECT least(source, target) AS source, greatest(source, target) AS target, round(sum(weight), 2) AS weight, min(ord) AS "order",
+  string_agg(DISTINCT description, '<SEP>' ORDER BY description) AS description, string_agg(DISTINCT source_id, '<SEP>' ORDER BY source_id) AS source_id
+FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'c' || o_custkey END AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_custkey ELSE o_orderpriority END AS target,
+  o_totalprice AS weight, o_orderkey AS ord, o_orderstatus AS description, 'o' || (o_orderkey % 50) AS source_id FROM orders) GROUP BY 1, 2""")
+def edge_merge(spark, sf_dir):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    own, other, even = text("c", F.col("o_custkey")), F.col("o_orderpriority"), F.col("o_orderkey") % 2 == 0
+    rows = table(spark, sf_dir, "orders").select(F.when(even, other).otherwise(own).alias("source"), F.when(even, own).otherwise(other).alias("target"), F.col("o_totalprice").alias("weight"), F.col("o_orderstatus").alias("description"), text("o", F.col("o_orderkey") % 50).alias("source_id"), F.col("o_orderkey").alias("order"))
+    return graph.merge_edges(rows).withColumn("weight", F.round("weight", 2))
+
+
+@query("edges_in_order", """
+WITH names AS (SELECT DISTINCT p_name AS term FROM part), heads AS (SELECT DISTINCT string_split(term, ' ')[1] AS term FROM names),
+n AS (SELECT term, lower(term) AS definition FROM names UNION ALL SELECT term, '' FROM heads WHERE term NOT IN (SELECT term FROM names)),
+e AS (SELECT 0 AS stage, term AS source, string_split(term, ' ')[1] AS target, 'COMPOUND_OF' AS type FROM names WHERE term <> string_split(term, ' ')[1]
+  UNION ALL SELECT 2, a.term, b.term, 'PARENT_TERM' FROM n a, n b WHERE contains(a.definition, b.term) AND a.term <> b.term AND b.term <> ''
+  UNION ALL SELECT 3, a.term, c, 'CATEGORY' FROM (SELECT term, unnest(regexp_extract_all(definition, '(.+?) ', 1)) AS c FROM n) a WHERE c IN (SELECT term FROM n)),
+r AS (SELECT *, row_number() OVER (ORDER BY stage, source, target) - 1 AS seq FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seq) AS n FROM r)
+SELECT source, target, type, 1.0::DOUBLE AS weight, seq, n <= 5 AS shown FROM k""")
+def edges_in_order(spark, sf_dir):
+    """The edges of a graph of part names and their first words, as a graph is built, and whether each is among the first five of its type."""
+    with_checkpoints(spark)
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct()
+    first = F.element_at(F.split("term", " "), 1)
+    heads = names.select(first.alias("term")).distinct().join(names, "term", "left_anti")
+    nodes = names.withColumn("definition", F.lower("term")).unionByName(heads.withColumn("definition", F.lit("")))
+    parts = names.select(first.alias("surface"), F.col("term").alias("compound")).where("surface <> compound")
+    none = spark.createDataFrame([], "source string, target string, type string, weight double")
+    every = graph.in_order(graph.compound_edges(parts, nodes), none, graph.parent_edges(nodes), graph.category_edges(nodes, ("(.+?) ",)))
+    shown = graph.first_of_type(every, "seq", 5).select("seq", F.lit(True).alias("shown"))
+    return every.join(shown, "seq", "left").select("source", "target", "type", "weight", "seq", F.coalesce("shown", F.lit(False)).alias("shown"))
+
+
+@query("chunk_candidates", f"""
+WITH {TERMS_SQL}, {WORDS_SQL}, w AS (SELECT *, unnest(range(0, len(tok), 800)) AS st FROM t),
+s AS (SELECT DISTINCT doc_id, (st // 800)::INT AS chunk_id, unnest(regexp_extract_all(lower(array_to_string(tok[st + 1:st + 1000], ' ')), '{LETTERS}')) AS surface FROM w),
+o AS (SELECT DISTINCT surface FROM s WHERE surface NOT IN (SELECT word FROM terms)), h AS (SELECT surface FROM o WHERE EXISTS (SELECT 1 FROM terms WHERE contains(word, surface)))
+SELECT w.doc_id, (st // 800)::INT AS chunk_id, (SELECT count(*) FROM s WHERE s.doc_id = w.doc_id AND s.chunk_id = st // 800 AND surface IN (SELECT word FROM terms)) AS n_full,
+  (SELECT count(*) FROM s WHERE s.doc_id = w.doc_id AND s.chunk_id = st // 800 AND surface IN (SELECT surface FROM h)) AS n_partial FROM w""")
+def chunk_candidates(spark, sf_dir):
+    """How many terms, and parts of terms, each chunk of 1000 tokens has: chunks without any too."""
+    chunks = chunk.token_windows(doc_words(spark, sf_dir), "tokens", 1000, 200).select("doc_id", "chunk_id", "text")
+    keys = ["doc_id", "chunk_id"]
+    tokens = chunks.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("surface"))
+    found = match.candidates(chunks, tokens, all_terms(surfaces(spark, sf_dir)), keys)
+    return found.select(*keys, *(F.size(c).cast("long").alias(f"n_{c}") for c in ("full", "partial")))
+
+
+@query("json_repair", "SELECT event_id, props::JSON->>'k' AS k FROM events WHERE json_valid(props)")
+def json_repair(spark, sf_dir):
+    """What is read from replies in fences, with words around them or commas too many, is what the objects hold."""
+    turn, own = F.col("event_id") % 3, F.col("props")
+    cut = F.expr("left(props, length(props) - 1)")
+    reply = F.when(turn == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(turn == 1, F.concat(F.lit("Sure: "), cut, F.lit(", } That is all."))).otherwise(own)
+    found = F.from_json(T.repaired(F.col("reply")), "k string")["k"]
+    valid = F.get_json_object("props", "$").isNotNull()
+    return table(spark, sf_dir, "events").where(valid).withColumn("reply", reply).select("event_id", found.alias("k"))
+
+
+@query("qa_summary", f"""
+WITH {WORDS_SQL}, w AS (SELECT *, unnest(range(0, len(tok), 400)) AS st FROM t WHERE len(tok) >= 100) SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_articles FROM w WHERE least(500, len(tok) - st) >= 50""")
+def qa_summary(spark, sf_dir):
+    return qa.summary(qa_rows(spark, sf_dir))
+
+
+@query("unembedded_terms", "SELECT p_name AS term, coalesce(p_type, '') AS definition FROM part WHERE p_partkey % 3 = 0 OR p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
+def unembedded_terms(spark, sf_dir):
+    """Parts without a vector of their number; every third one is taken to lack it."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term"), F.col("p_type").alias("definition"))
+    return graph.unembedded(part.join(vectors(spark, sf_dir).where("id % 3 <> 0"), "id", "left").select("term", "definition", "embedding"))
+
+
+@query("vector_retrieval", f"""
+WITH {EDGES_SQL}, s AS (SELECT a.vec_id AS query, b.vec_id AS id, {DOT_SQL} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+r AS (SELECT query, (row_number() OVER (PARTITION BY query ORDER BY score DESC, id))::INT AS rank, id, score FROM s),
+up AS (SELECT target AS id, string_agg(source::VARCHAR, ',' ORDER BY source) AS before FROM (SELECT DISTINCT source, target FROM e WHERE source < target) GROUP BY 1),
+down AS (SELECT source AS id, string_agg(target::VARCHAR, ',' ORDER BY target) AS related FROM (SELECT DISTINCT source, target FROM e WHERE source < target) GROUP BY 1)
+SELECT query, rank, id, round(score, 6) AS score, 'label ' || label AS definition, coalesce(before, '') AS before, coalesce(related, '') AS related
+FROM r JOIN embeddings ON vec_id = id LEFT JOIN up USING (id) LEFT JOIN down USING (id) WHERE rank <= 3""")
 def vector_retrieval(spark, sf_dir):
     """The nearest vectors of each query, each with the sources of edges that lead up to it and the targets of those that lead up from it."""
     v = vectors(spark, sf_dir)
     edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
-    return graph.neighbours(graph.top_k_each(v, vector_queries(spark, sf_dir), 3), edges, "UP", "UP")
+    named = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("definition"))
+    found = graph.neighbours(graph.top_k_each(v, vector_queries(spark, sf_dir), 3).join(named, "id"), edges, "UP", "UP")
+    return found.select("query", "rank", "id", F.round("score", 6).alias("score"), "definition", *(F.array_join(c, ",").alias(c) for c in ("before", "related")))
 
 
-@query("nearest_products_all", f"""
+@query("nearest_products", f"""
 SELECT a.vec_id AS query, b.label, count(*) AS n, round(max({DOT_SQL}), 5) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 GROUP BY 1, 2""")
-def nearest_products_all(spark, sf_dir):
+def nearest_products(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
     met = v.crossJoin(vector_queries(spark, sf_dir).select("query", F.col("embedding").alias("q")))
     return met.groupBy("query", "label").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
@@ -565,15 +656,15 @@ def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 200 == 0, F.col("p_name")).otherwise(short).alias("query"))
 
 
-@query("dict_lookup_exact_all", f"""
+@query("dict_lookup_exact", f"""
 WITH {NODES_SQL}, q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 200 = 0 THEN p_name ELSE left(p_name, length(p_name) - 1) END AS t FROM part WHERE p_partkey % 100 = 0)
 SELECT query_id, true AS exact_match, 1 AS rank, term, definition, 1.0::DOUBLE AS similarity FROM nodes, q WHERE term = lower(t) AND definition <> ''""")
-def dict_lookup_exact_all(spark, sf_dir):
+def dict_lookup_exact(spark, sf_dir):
     return dictionary.exact_each(part_nodes(spark, sf_dir), name_queries(spark, sf_dir))
 
 
-@query("fuzzy_lookup_all")
-def fuzzy_lookup_all(spark, sf_dir):
+@query("fuzzy_lookup")
+def fuzzy_lookup(spark, sf_dir):
     return dictionary.dict_lookup_each(ordered_nodes(spark, sf_dir), name_queries(spark, sf_dir))
 
 
@@ -591,3 +682,7 @@ def full_query(spark, sf_dir):
     reached, edges = graph.subgraph(nodes, graph.parent_edges(nodes), hits.select("seed").distinct())
     of_nodes = hits.join(reached, "seed", "left").select(*hits.columns, F.lit("node").alias("kind"), "term", "depth", "definition")
     return of_nodes.unionByName(hits.join(edges, "seed").select(*hits.columns, F.lit("edge").alias("kind"), F.col("source").alias("term"), "target", "type", "weight"), allowMissingColumns=True)
+
+
+for _name in ("vector_topk", "nearest_products", "dict_lookup_exact", "fuzzy_lookup"):
+    also(f"{_name}_all", _name)

@@ -50,6 +50,11 @@ def graph(spark: SparkSession, nodes: str, edges: str | None = None) -> tuple[Da
     return n, out.select("source", F.explode("out").alias("e")).select("source", "e.*")
 
 
+def embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """term and embedding of a file that maps each term to its vector."""
+    return string_map(spark, path, "term", "embedding", "array<double>")
+
+
 def contexts(spark: SparkSession, path: str) -> DataFrame:
     """term and context of a file that maps each term to a list."""
     return string_map(spark, path, "term", "all", "array<string>").select("term", F.explode("all").alias("context"))

@@ -18,9 +18,11 @@ def graph(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None, path
         embeddings.write.mode("overwrite").parquet(f"{path}/embeddings")
 
 
-def metadata(dictionary_df: DataFrame, tokenizer: str, technical_terms: DataFrame, path: str) -> None:
-    """A row with the tokenizer and the numbers of terms, as JSON."""
+def metadata(dictionary_df: DataFrame, tokenizer: str, technical_terms: DataFrame, path: str, **others: DataFrame) -> None:
+    """A row with the tokenizer and the numbers of terms, and of nodes, edges, matches or whatever else is given, as JSON."""
     counts = dictionary_df.agg(F.count("*").alias("total_terms")).join(F.broadcast(technical_terms.agg(F.count("*").alias("technical_terms_loaded"))))
+    for name, df in others.items():
+        counts = counts.join(F.broadcast(df.agg(F.count("*").alias(f"total_{name}"))))
     counts.select(F.lit(tokenizer).alias("tokenizer"), "*").write.mode("overwrite").json(path)
 
 
@@ -39,8 +41,8 @@ def terms_json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, path: str) -> None:
-    """Rendered documents (doc, markdown), a folder for each."""
-    df.select("doc", "markdown").write.mode("overwrite").partitionBy("doc").text(path)
+    """Rendered documents (doc, markdown), as lines of JSON in files that hold many of them."""
+    df.select("doc", "markdown").write.mode("overwrite").json(path)
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:

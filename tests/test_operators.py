@@ -23,15 +23,13 @@ def test_windows(spark):
             bad()
 
 
-def test_matching(spark, monkeypatch):
+def test_matching(spark):
     tokens = spark.createDataFrame([(1, "送電", "名詞"), (1, "送電線", "名詞"), (1, "線", "助詞"), (2, "線", "普通名詞"), (2, "送電", "名詞")], "chunk int, surface string, pos string")
     terms = spark.createDataFrame([("送電線",), ("電線",), ("送電線",), ("",)], "word string")
     assert rows(match.full_matches(tokens, terms, ["chunk"]), "chunk", "surface") == [(1, "送電線")]
     want = [(1, "送電", "送電線"), (2, "線", "送電線"), (2, "線", "電線"), (2, "送電", "送電線")]
     assert rows(match.partial_matches(tokens, terms, ["chunk"], "pos"), "chunk", "surface", "compound") == want
-    monkeypatch.setattr(match, "SMALL_LIST", 0)
     found = match.partial_matches(tokens, terms, ["chunk"], "pos")
-    assert rows(found, "chunk", "surface", "compound") == want
     kept = spark.createDataFrame([(2, "線")], "chunk int, term string")
     assert len(rows(match.restrict(found, kept, ["chunk"]), "chunk", "surface")) == 2
 
