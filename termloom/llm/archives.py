@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import save, scratch, spread_join, written
+from termloom.llm.common import load, save, scratch, spread_join, written
 
-FILE_BYTES = 8 << 20
+FILE_BYTES, FILES_AT_ONCE = 8 << 20, 16
 #: Payloads under so many bytes are never revisits.
 LEAST_REVISIT = 100
 #: The fields of an ARC header line by version: fixed values of the format.
@@ -159,9 +159,9 @@ def write_arcs(pages: DataFrame, folder: str, date: str = "20200101000000") -> D
     return written(pages.select("page_id", "url", "html").mapInPandas(write, "name string, records int"), "arcs")
 
 
-def _files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+def _files(spark: SparkSession, folder: str, kind: str, of: str = "content") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}.gz").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), of)
 
 
 def arc_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,13 +195,14 @@ def revisits(index: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 def convert(spark: SparkSession, arcs: str, warcs: str, least: int = LEAST_REVISIT) -> DataFrame:
     """Writes a WARC file for each ARC file, with a warcinfo record and one response or revisit per record; returns a row per file.
 
-    Only the compressed files and short lists of their revisits move between tasks."""
+    Only names of files and short lists of their revisits move between tasks; each task opens its files itself."""
     of = revisits(written(arc_index(spark, arcs), "index"), least)
     of = of.groupBy("name").agg(F.collect_list(F.struct("no", "to.*")).alias("to"))  # as many as a file has records
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, data, to in zip(frame["name"], frame["content"], frame["to"], strict=True):
+            for path, name, to in zip(frame["path"], frame["name"], frame["to"], strict=True):
+                data = load(path)
                 known = {x["no"]: x for x in (to if to is not None else [])}
                 info = f"software: termloom\r\nformat: WARC File Format 1.1\r\nconverted-from: {name}\r\n".encode()
                 out = [warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], info)]
@@ -220,7 +221,9 @@ def convert(spark: SparkSession, arcs: str, warcs: str, least: int = LEAST_REVIS
                 save(warcs, name.replace(".arc", ".warc"), b"".join(out))
                 yield pd.DataFrame({"name": [name], "records": [len(out) - 1]})
 
-    return written(_files(spark, arcs, "arc").join(of, "name", "left").mapInPandas(write, "name string, records int"), "warcs")
+    files = _files(spark, arcs, "arc", "path").join(of, "name", "left").select("path", "name", "to")
+    tasks = max(spark.sparkContext.defaultParallelism, files.count() // FILES_AT_ONCE)
+    return written(files.repartition(tasks, "name").mapInPandas(write, "name string, records int"), "warcs")
 
 
 def warc_index(spark: SparkSession, folder: str) -> DataFrame:

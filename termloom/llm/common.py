@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +17,24 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _path(spark: SparkSession, at: str):
+    """A Hadoop path with its scheme, and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.makeQualified(store.getUri(), store.getWorkingDirectory()), store
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of its own where that is unset."""
+    """The folder that driver and executors share, with its scheme: spark.checkpoint.dir. Where that is unset, one in the
+    warehouse; on a single machine one in /tmp."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
-        at = at.rpartition("/")[0] if at else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        local = spark.sparkContext.master.startswith("local")
+        at = at.rpartition("/")[0] if at else tempfile.mkdtemp(prefix="spark-", dir="/tmp") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
-    return at
+    return _path(spark, at)[0].toString()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -38,6 +48,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, at: str) -> None:
+    """Removes a table in the shared folder that nothing reads any more."""
+    path, store = _path(spark, at)
+    store.delete(path, True)
+
+
 def ordered(df: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
     """df with _rn, a row's place (from 0) in the whole order, and _before, the sum of `value` over all rows before it.
 
@@ -68,7 +84,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """The first n powers of the hash's base and of its inverse, modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 5 << 19)
+        size = max(n, 5 << 18)
         _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_PRIME, _INVERSE)]
     return _powers
 
@@ -118,7 +134,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def pieces(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some rows, so that few texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def pieces(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
     """Slices of texts of about `most` characters together (one text at least), so that arrays over them stay small."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -130,6 +153,15 @@ def pieces(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def load(path: str) -> bytes:
+    """A file's bytes; path: a path or a URI that pyarrow knows."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with store.open_input_stream(at) as f:
+        return f.read()
+
+
 def save(folder: str, name: str, data: bytes) -> None:
     """Writes a file whole or not at all, so that a repeated task leaves one copy. folder: a path or a URI that pyarrow knows."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import spread_join, written
+from termloom.llm.common import discard, scratch, spread_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,11 +27,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b): for each node in them, node and root, the least node that it is connected with.
 
-    Each round is written to the shared folder; the rounds grow as the logarithm of the longest way."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    Each round is written to the shared folder and takes the place of the one before; the rounds grow as the logarithm of the
+    longest way."""
+    spark = links.sparkSession
+    links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().write.parquet(at := scratch(spark, "links"))
     seen = None
     while True:
-        edges = written(_star(_star(edges, large=True), large=False), "links")
+        edges, last = _star(_star(spark.read.parquet(at), large=True), large=False), at
+        edges.write.parquet(at := scratch(spark, "links"))
+        edges = spark.read.parquet(at)
+        discard(spark, last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

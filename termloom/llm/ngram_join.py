@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Words, mix, pieces, spread_join, trim, written
+from termloom.llm.common import Words, mix, pieces, small, spread_join, trim, written
 from termloom.llm.components import components
 
 #: Classes and n-grams that a group has at most (one class, if that has more), groups that a task compares with one at a time,
@@ -122,7 +122,7 @@ def document_classes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and class of every row of docs (doc_id, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for at in pieces(texts):
                 own = sets(texts[at], n)
@@ -142,7 +142,7 @@ def shared_parts(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     buckets = max(12, chars // BUCKET_CHARS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for at in pieces(texts):
                 own = sets(texts[at], n)
@@ -189,7 +189,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """class and set (packed sorted hashes) of the wanted classes (class, doc_id, of one row that has it)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for at in pieces(texts):
                 own = sets(texts[at], n)
@@ -392,6 +392,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFram
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's component by 4-word shingles at a Jaccard similarity of 0.85."""
+    """Every document's component by 4-word shingles at a Jaccard similarity of 0.85. Null and empty texts have no shingles and
+    are their own components; repeated rows come as often as they do, equal sets being linked; of a component without any doc_id
+    the component_id is null."""
     found = similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100)
     return found.select("doc_id", "n_shingles", "component_id")

@@ -140,19 +140,20 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     return fit(rows, got["quality"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score: its columns and `quality_score`, which must not be one of them."""
+def scored(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """docs with a score: its columns and `name`, in whose place the score comes if it is one of them."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that parameters fix
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # the other columns pass as they are
             texts = batch.column("text").to_pylist()
             found = [shared.value.score(texts[at]) for at in pieces(texts)]
-            yield batch.append_column("quality_score", pa.array(np.concatenate(found) if found else [], pa.float64()))
+            yield batch.append_column(name, pa.array(np.concatenate(found) if found else [], pa.float64()))
             trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{schema}, quality_score double")
+    return docs.mapInArrow(score, f"{schema}, `{name}` double")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
