@@ -13,11 +13,19 @@ from termloom.llm import mixing, ngram_join, quality, sentencepieces
 from termloom.llm.common import written
 
 
+def free(name: str, docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, learnt from the labels of these documents, predicts to be good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.learn(docs.select("doc_id", "text"), labels)
-    return quality.scored(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    name = free("quality_score", docs)
+    return quality.scored(docs, model, name).where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +34,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Documents without words all stay. Rows with equal doc_id and text are one; without a doc_id, all stay whose group has none."""
     found = ngram_join.similar(docs, 5, 4, 5)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id")
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     repeated = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
 
@@ -38,9 +46,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(written(sizes, "sizes"), least=1.0)
     again = F.element_at("taken_by_pass", 2) * 2 > F.col("size")
     places = F.when(again, F.col("positions")).otherwise(F.slice("positions", 1, 1))
-    of = mixed.groupBy("doc_id").agg(F.max_by(places, F.col("taken")).alias("places")).withColumnRenamed("doc_id", "_id")
-    taken = docs.join(of, docs["doc_id"].eqNullSafe(of["_id"])).withColumn("_at", F.explode("places")).withColumn("_at", F.coalesce("_at", F.lit(0.0)))
-    return taken.repartitionByRange("_at", "doc_id").sortWithinPartitions("_at", "doc_id").select(*docs.columns)
+    own, all_, at = free("of", docs), free("places", docs), free("at", docs)
+    of = mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max_by(places, F.col("taken")).alias(all_))
+    taken = docs.join(of, docs["doc_id"].eqNullSafe(of[own])).withColumn(at, F.explode(all_)).withColumn(at, F.coalesce(at, F.lit(0.0)))
+    return taken.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
