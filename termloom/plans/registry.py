@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder that driver and executors share: that of the setting, else one in the warehouse."""
+    """Sets a checkpoint folder that driver and executors share: that of the setting, else one in the warehouse, or on a single
+    machine in /tmp."""
     if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        spark.sparkContext.setCheckpointDir(shared)
+        local = spark.sparkContext.master.startswith("local")
+        own = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
 
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
