@@ -1,15 +1,17 @@
 """A quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are pairs of neighbouring character classes over all of it (which tell prose from shouting, markup, lists and
-junk in any language) and the buckets of some figures of its words. Weighted by how rare they are and reduced by a singular
-value decomposition, both fitted on labelled rows, they are a vector for each text. Every document is compared with every
-labelled vector in blocks, and the labels of its nearest ones vote by similarity.
+A text's terms are its words, hashed, and pairs of neighbouring character classes over all of it (which tell prose from
+shouting, markup, lists and junk in any language) with the buckets of some figures of its words. Either kind is weighted by how
+rare its terms are and reduced by a singular value decomposition, a randomised one for the words, all fitted on labelled rows;
+both together are a vector for each text. Every document is compared with every labelled vector in blocks, and the labels of
+its nearest ones vote by similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from termloom.llm.common import Words, pieces, trim
 
 #: Labelled rows used at most, about, dimensions kept, neighbours that vote, and the score from which a document is predicted good.
 LABELLED, DIMENSIONS, NEIGHBOURS, THRESHOLD = 6000, 48, 25, 0.3
+#: Buckets of words' hashes, dimensions kept of them, and the part of a cosine that is the words'.
+WORD_BUCKETS, WORD_DIMENSIONS, WORD_PART = 1 << 16, 24, 0.1
 _CLASSES = 32
 _class_of = np.full(256, 31, np.uint16)
 for _k, _chars in enumerate(("abcdfghjklmnpqrstvwxyz", "eiou", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "!", "?", "|", "%", "#", "*", "$", "&", "'\"`", "()[]", "{}<>", "-_", "=+~^", ":;", "/\\", "@")):
@@ -69,30 +73,93 @@ def terms(texts: list[str]) -> np.ndarray:
     return out
 
 
+@dataclass
+class WordCounts:
+    """The words of some texts, sparse and by text: starts of the texts, buckets, and how often each stands there."""
+
+    start: np.ndarray
+    bucket: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> WordCounts:
+        words = Words(texts)
+        key = words.doc * WORD_BUCKETS + (words.hash >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
+        key, n = np.unique(key, return_counts=True)
+        return cls(np.searchsorted(key, np.arange(len(texts) + 1) * WORD_BUCKETS), key % WORD_BUCKETS, n.astype(np.float32))
+
+    def weighted(self, rarity: np.ndarray) -> np.ndarray:
+        """Weights of the entries: one plus the logarithm of the count, times the rarity, every text's of length one."""
+        x = (1 + np.log(self.n)) * rarity[self.bucket]
+        size = np.sqrt(np.bincount(self.text(), x * x, len(self.start) - 1))
+        return (x / np.maximum(size, 1e-9)[self.text()]).astype(np.float32)
+
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+
+    def times(self, x: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """The product of the matrix with these entries x and one with a row for each bucket."""
+        out = np.zeros((len(self.start) - 1, into.shape[1]), np.float32)
+        some = np.flatnonzero(np.diff(self.start))
+        for k in range(0, len(some), 256):
+            part = some[k : k + 256]
+            low, high = self.start[part[0]], self.start[part[-1] + 1]
+            out[part] = np.add.reduceat(into[self.bucket[low:high]] * x[low:high, None], self.start[part] - low)
+        return out
+
+    def transposed_times(self, x: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The product of the transposed matrix and one with a row for each text."""
+        out, of = np.zeros((WORD_BUCKETS, left.shape[1]), np.float32), self.text()
+        for d in range(left.shape[1]):
+            out[:, d] = np.bincount(self.bucket, x * left[of, d], WORD_BUCKETS)
+        return out
+
+
+def word_axes(counts: WordCounts, dimensions: int = WORD_DIMENSIONS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Rarity of the buckets and the right singular vectors of the weighted counts, by power steps on a random start."""
+    n = len(counts.start) - 1
+    rarity = (np.log((1 + n) / (1 + np.bincount(counts.bucket, minlength=WORD_BUCKETS))) + 0.5).astype(np.float32)
+    x, k = counts.weighted(rarity), min(dimensions + 8, n)
+    left = np.random.default_rng(seed).normal(size=(n, k)).astype(np.float32)
+    for _ in range(3):
+        left = np.linalg.qr(left)[0]
+        right = np.linalg.qr(counts.transposed_times(x, left))[0]
+        left = counts.times(x, right)
+    axes = np.linalg.svd(left, full_matrices=False)[2]
+    return rarity, (right @ axes[:dimensions].T).astype(np.float32)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass
 class Model:
-    """What scoring takes: weights by rarity, the projection, and the labelled vectors with their labels."""
+    """What scoring takes: weights by rarity and the projection, of either kind of terms, and the labelled vectors with their
+    labels, in order of doc_id."""
 
     rarity: np.ndarray
     into: np.ndarray
+    word_rarity: np.ndarray
+    word_into: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
-    def vector(self, rows: np.ndarray) -> np.ndarray:
-        x = rows * self.rarity
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) @ self.into
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    def vector(self, rows: np.ndarray, counts: WordCounts) -> np.ndarray:
+        shape = _unit(_unit(rows * self.rarity) @ self.into)
+        words = _unit(counts.times(counts.weighted(self.word_rarity), self.word_into))
+        return np.concatenate([shape * np.float32((1 - WORD_PART) ** 0.5), words * np.float32(WORD_PART**0.5)], axis=1)
 
     def score(self, texts: list[str], neighbours: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
         """The label expected of each text, 0 to 1; of texts without words, the labels' mean; 0.5 if there are no labels."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
         out = np.full(len(texts), self.labels.mean())
-        x = self.vector(terms(texts))
+        x = self.vector(terms(texts), WordCounts.of(texts))
         k = min(neighbours, len(self.labels))
         for at in range(0, len(x), block):
             like = x[at : at + block] @ self.vectors.T
-            near = np.argpartition(-like, k - 1, axis=1)[:, :k]
+            near = nearest(like, k)
             weight = np.maximum(np.take_along_axis(like, near, 1), 0).astype(np.float64) ** 4 + 1e-12
             vote = (weight * self.labels[near]).sum(1) / weight.sum(1)
             seen = np.abs(x[at : at + block]).sum(1) > 0
@@ -100,15 +167,23 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+def nearest(like: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, of equal ones the first."""
+    least = np.partition(like, like.shape[1] - k, axis=1)[:, like.shape[1] - k, None]
+    above, at = like > least, like == least
+    room = k - above.sum(1, keepdims=True)
+    return np.nonzero(above | at & (np.cumsum(at, axis=1) <= room))[1].reshape(-1, k)
+
+
+def fit(rows: np.ndarray, counts: WordCounts, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
     if not len(rows):
-        return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.ones(WORD_BUCKETS, np.float32), np.zeros((WORD_BUCKETS, 1), np.float32), np.zeros((0, 2), np.float32), np.zeros(0))
     rarity = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 0.5).astype(np.float32)
     x = rows * rarity
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))  # the right singular vectors
-    model = Model(rarity, axes[:, ::-1][:, : min(dimensions, len(rows))].astype(np.float32), np.zeros(0), labels.astype(np.float64))
-    model.vectors = model.vector(rows)
+    model = Model(rarity, axes[:, ::-1][:, : min(dimensions, len(rows))].astype(np.float32), *word_axes(counts), np.zeros(0), labels.astype(np.float64))
+    model.vectors = model.vector(rows, counts)
     return model
 
 
@@ -132,12 +207,15 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
         for frame in frames:
             texts = frame["text"].tolist()
             for at in pieces(texts):
-                rows = terms(texts[at])
-                yield pd.DataFrame({"doc_id": frame["doc_id"][at], "quality": frame["quality"][at], "terms": [x.tobytes() for x in rows]})
+                rows, counts = terms(texts[at]), WordCounts.of(texts[at])
+                held = [(counts.bucket[x:y].astype("<i4").tobytes(), counts.n[x:y].tobytes()) for x, y in pairwise(counts.start.tolist())]
+                yield pd.DataFrame({"doc_id": frame["doc_id"][at], "quality": frame["quality"][at], "terms": [x.tobytes() for x in rows], "words": [b for b, _ in held], "counts": [n for _, n in held]})
 
-    got = sample.mapInPandas(weigh, "doc_id long, quality int, terms binary").toPandas().sort_values("doc_id")
+    got = sample.mapInPandas(weigh, "doc_id long, quality int, terms binary, words binary, counts binary").toPandas().sort_values("doc_id")
     rows = np.frombuffer(b"".join(got["terms"]), np.float32).reshape(-1, N_TERMS)
-    return fit(rows, got["quality"].to_numpy())
+    start = np.cumsum([0, *(len(x) // 4 for x in got["words"])])
+    counts = WordCounts(start, np.frombuffer(b"".join(got["words"]), "<i4"), np.frombuffer(b"".join(got["counts"]), np.float32))
+    return fit(rows, counts, got["quality"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
@@ -157,7 +235,8 @@ def scored(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFr
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score. Texts that are null, empty or without words score the mean of the labels."""
+    """Every document's score. Texts that are null, empty or without words score the mean of the labels; rows that repeat score
+    alike; of equally near labelled texts those with the smaller doc_ids vote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     found = scored(docs, model)

@@ -26,8 +26,9 @@ def test_blocks_give_the_votes_of_all_neighbours():
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abcde ,.!|ABC12"), size=rng.integers(30, 200))) for _ in range(120)]
     labels = (np.arange(120) % 3 > 0).astype(int)
-    model = quality.fit(quality.terms(texts), labels)
-    x = model.vector(quality.terms(texts))
+    counts = quality.WordCounts.of(texts)
+    model = quality.fit(quality.terms(texts), counts, labels)
+    x = model.vector(quality.terms(texts), counts)
     for i, got in enumerate(model.score(texts, neighbours=7, block=16)):
         like = x[i] @ model.vectors.T
         near = np.argsort(-like)[:7]
@@ -46,4 +47,31 @@ def test_edges(spark, folder):
 def test_no_labels_and_no_rows(spark, folder):
     sf = folder(documents=([(1, "text", 0, 0.0)], DOCS), labels=([], LABELS))
     assert [(r.score, r.predicted) for r in quality.op9(spark, sf).collect()] == [(0.5, 1)]
-    assert quality.scored(spark.createDataFrame([], DOCS), quality.fit(np.zeros((0, quality.N_TERMS)), np.zeros(0))).count() == 0
+    assert quality.scored(spark.createDataFrame([], DOCS), quality.fit(np.zeros((0, quality.N_TERMS)), quality.WordCounts.of([]), np.zeros(0))).count() == 0
+
+
+def test_words_make_a_latent_space():
+    a, b = "apple pear plum fig cherry".split(), "bolt nut screw nail hammer".split()
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(x, 4)) for x in (a, b) * 30]
+    counts = quality.WordCounts.of(texts)
+    rarity, into = quality.word_axes(counts, 2)
+    x = quality._unit(counts.times(counts.weighted(rarity), into))
+    like = x @ x.T
+    assert like[0, 2::2].min() > 0.9 and abs(like[0, 1::2]).max() < 0.2
+    dense = np.zeros((len(texts), quality.WORD_BUCKETS), np.float32)
+    dense[counts.text(), counts.bucket] = counts.weighted(rarity)
+    assert np.allclose(counts.times(counts.weighted(rarity), into), dense @ into, atol=1e-5)
+    assert np.allclose(abs(np.linalg.svd(dense, full_matrices=False)[2][:2] @ into), np.eye(2), atol=1e-2)
+
+
+def test_ties_go_to_the_first():
+    like = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [3.0, 1.0, 1.0, 1.0, 1.0]])
+    assert quality.nearest(like, 2).tolist() == [[1, 2], [0, 1]]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 7.0)], "doc_id long, text string, quality_score double")
+    model = quality.fit(np.zeros((0, quality.N_TERMS)), quality.WordCounts.of([]), np.zeros(0))
+    assert [tuple(r) for r in quality.scored(docs, model).collect()] == [(1, "a b", 0.5)]
+    assert quality.scored(docs, model, "other").columns == [*docs.columns, "other"]
