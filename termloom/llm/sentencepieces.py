@@ -25,6 +25,8 @@ SPACE_MARK = "▁"
 #: Types of a piece and the penalty of an uncovered character under the least score: fixed values of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+#: Characters of a unit from which it is searched alone, and of which substrings are looked up at a time.
+LONG = 4096
 _BASE, _SKETCH = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 19) - 1)
 
 
@@ -140,6 +142,42 @@ class Pieces:
         held = table != np.iinfo(np.int64).min
         return table[held], held.sum(1)
 
+    def search_long(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of one long unit, as search() gives them: its substrings are looked up some thousand places at a time, those
+        that are pieces alone are kept, and what stays of a place is the length and the id of its last piece."""
+        size, back = len(codes), self.longest
+        length, last = np.ones(size + 1, np.int16), np.zeros(size + 1, np.int64)
+        last[1:] = -1 - codes.astype(np.int64)
+        best = [-np.inf] * (back - 1) + [0.0]  # of the last `back` places
+        for begin in range(0, size, LONG):
+            low, high = max(0, begin - back + 1), min(size, begin + LONG)
+            sums = self._sums(codes[low:high, None].astype(np.uint64))[:, 0]
+            ends: list[list[tuple[int, float, int]]] = [[] for _ in range(high - begin)]
+            for k in range(min(back, high - low), 0, -1):
+                key = mix(sums[k:] - sums[:-k] * self._power(k) + np.uint64(k))[max(0, begin - low - k + 1) :]
+                some = np.flatnonzero(self.sketch[key & _SKETCH])
+                at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+                hit = self.keys[at] == key[some]
+                first = max(0, k - 1 - (begin - low))  # the first end that has k characters before it here
+                for end, score, i in zip((some[hit] + first).tolist(), self.scores[at[hit]].tolist(), self.ids[at[hit]].tolist(), strict=True):
+                    ends[end].append((k, score, i))
+            for j, found in enumerate(ends, begin + 1):
+                most, alone = -np.inf, True
+                for k, score, i in found:  # the longest first, which ties go to
+                    own = best[-k] + score
+                    alone = alone and k > 1
+                    if own > most:
+                        most, length[j], last[j] = own, k, i
+                if alone and best[-1] + self.unknown > most:
+                    most, length[j], last[j] = best[-1] + self.unknown, 1, -1 - int(codes[j - 1])
+                best.append(most)
+                del best[0]
+        out, at = [], size
+        while at:
+            out.append(last[at])
+            at -= int(length[at])
+        return np.array(out[::-1], np.int64)
+
     def _covered(self, ids: np.ndarray) -> bytes:
         """Packed ids, with byte pieces in the place of uncovered characters."""
         out = []
@@ -157,6 +195,11 @@ class Pieces:
         by_length, out = sorted(units, key=len), {}
         for size, own in groupby(by_length, len):
             own = list(own)
+            if size > LONG:
+                for unit in own:
+                    ids = self.search_long(np.frombuffer(unit.encode("utf-32-le"), np.uint32))
+                    out[unit] = self._covered(ids) if (ids < 0).any() else ids.astype("<i4").tobytes()
+                continue
             for at in range(0, len(own), max(1, 200_000 // size)):
                 part = own[at : at + max(1, 200_000 // size)]
                 ids, n = self.search(np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), size))

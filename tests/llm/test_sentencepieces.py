@@ -1,6 +1,9 @@
 import hashlib
+import random
 import struct
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -71,3 +74,22 @@ def test_query(spark, folder):
 
 def test_no_rows(spark, folder):
     assert sentencepieces.op3(spark, folder(documents=([], DOCS))).count() == 0
+
+
+def test_long_units_are_searched_alike(monkeypatch):
+    own = sentencepieces.Pieces(PATH)
+    rng = random.Random(5)
+    for size, alphabet in ((1, "a"), (7, "ab"), (900, "the\U0001f600 日e"), (1200, "aaaaab"), (700, "ionatdx.é")):
+        codes = np.frombuffer("".join(rng.choice(alphabet) for _ in range(size)).encode("utf-32-le"), np.uint32)
+        want = own.search(codes[None, :])[0].tolist()
+        for block in (1, 16, 37, 5000):
+            monkeypatch.setattr(sentencepieces, "LONG", block)
+            assert own.search_long(codes).tolist() == want
+
+
+def test_a_very_long_text_without_spaces():
+    own = sentencepieces.Pieces(PATH)
+    text = "abcdéf日" * 40_000
+    began = time.process_time()
+    ids = own.encode([text])[0]
+    assert own.decode(ids) == text and time.process_time() - began < 60
