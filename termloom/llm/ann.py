@@ -20,8 +20,8 @@ from termloom.llm.common import ordered, written
 
 #: Codebooks, codewords in each, beam width, rows that the codebooks are fitted on at most, and length of a query's shortlist.
 BOOKS, WORDS, BEAM, FIT_ROWS, SHORTLIST = 24, 256, 4, 20_000, 150
-#: Queries handled together, rows in a stored block of codes, and rows that one group of blocks has.
-QUERY_BLOCK, CODE_BLOCK, GROUP_ROWS = 256, 8192, 1 << 20
+#: Queries handled together, at least and at most, rows in a stored block of codes, and rows that one group of blocks has.
+FEWEST_QUERIES, MOST_QUERIES, CODE_BLOCK, GROUP_ROWS = 256, 2048, 8192, 1 << 20
 
 
 @dataclass
@@ -134,22 +134,26 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
 def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: int = SHORTLIST, by: str = "dot") -> DataFrame:
     """query_id and vec_id of the `size` stored vectors with the best scores for each query, itself aside; ties to smaller ids.
 
-    queries (vec_id, embedding) go in blocks of 256, and the stored codes in groups of a million or so: a task holds one
-    block of queries, its tables and one group. by: "dot", or "l2" for the least distance, which takes the stored norms.
+    queries (vec_id, embedding) go in blocks, the larger the more there are up to 2048, and the stored codes in groups of a
+    million or so: a task holds one block of queries, its tables and one group, and the groups' shortlists are merged by score.
+    by: "dot", or "l2" for the least distance, which takes the stored norms. Every block of queries meets all codes: among
+    vectors of all directions alike no part of them can be left out.
     """
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(books)
-    numbered = ordered(queries.select("vec_id", "embedding"), [F.col("vec_id")]).withColumn("block", F.floor(F.col("_rn") / QUERY_BLOCK).cast("int"))
-    n_queries, n_rows = queries.count(), blocks.agg(F.sum("n")).first()[0] or 0
+    n_queries = queries.count()
+    together = min(MOST_QUERIES, max(FEWEST_QUERIES, n_queries // (2 * spark.sparkContext.defaultParallelism)))
+    numbered = ordered(queries.select("vec_id", "embedding"), [F.col("vec_id")]).withColumn("block", F.floor(F.col("_rn") / together).cast("int"))
+    n_rows = blocks.agg(F.sum("n")).first()[0] or 0
     groups = -(-n_rows // GROUP_ROWS) or 1
     asked = numbered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "group", "vec_id", "embedding")
     dealt = blocks.withColumn("group", F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_queries // QUERY_BLOCK) - 1)))))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_queries // together) - 1)))))
 
     def scan(key: tuple, mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        own, names = shared.value, ["query_id", "vec_id"]
+        own = shared.value
         if not len(mine) or not len(stored):
-            return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
         ask = mine["vec_id"].to_numpy(np.int64)
         table = own.table(np.stack(mine["embedding"].to_numpy()).astype(np.float32))
         kept = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(ask)
@@ -172,9 +176,13 @@ def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: in
                         both, names_of = np.concatenate([had, score[q][more]]), np.concatenate([had_ids, near[more]])
                         top = best(both, names_of, size)
                         kept[q] = both[top], names_of[top]
-        return pd.DataFrame({"query_id": np.repeat(ask, [len(x) for x, _ in kept]), "vec_id": np.concatenate([x for _, x in kept])})
+        return pd.DataFrame({"query_id": np.repeat(ask, [len(x) for x, _ in kept]), "vec_id": np.concatenate([x for _, x in kept]), "near": np.concatenate([x for x, _ in kept])})
 
-    return asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(scan, "query_id long, vec_id long")
+    found = asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(scan, "query_id long, vec_id long, near float")
+    if groups > 1:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
+        found = found.withColumn("_place", place).where(F.col("_place") <= size)
+    return found.select("query_id", "vec_id")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SHORTLIST, books: Codebooks | None = None) -> DataFrame:
@@ -193,11 +201,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shortlist: int =
                 yield pd.DataFrame({"query_id": frame["query_id"], "vec_id": frame["vec_id"], "score": (a * b).sum(1)})
 
     exact = pairs.mapInPandas(score, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a group has the shortlist's length, times the groups of codes
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a group has the shortlist's length
     return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest of every vector whose vec_id is divisible by 20 among all others."""
+    """The 20 nearest of every vector whose vec_id is divisible by 20 among all others, ties to the smaller vec_id. Which vectors
+    take part, and which of repeated vec_ids, says usable()."""
     vectors = written(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
     return search(vectors, vectors.where("vec_id % 20 = 0"))

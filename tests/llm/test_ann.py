@@ -59,3 +59,14 @@ def test_edges(spark, folder):
 
 def test_no_rows(spark, folder):
     assert ann.op1(spark, folder(embeddings=([], SCHEMA))).count() == 0
+
+
+def test_groups_of_codes_merge(spark, monkeypatch):
+    v = ann.usable(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+    books = ann.codebooks(v)
+    found = []
+    for rows in (1 << 20, 20):
+        monkeypatch.setattr(ann, "GROUP_ROWS", rows)
+        monkeypatch.setattr(ann, "CODE_BLOCK", 16)
+        found.append(sorted(map(tuple, ann.search(v, v.where("vec_id % 20 = 0"), 5, 12, books).select("query_id", "rank", "vec_id").collect())))
+    assert found[0] == found[1] and len(found[0]) == 5 * len({q for q, _, _ in found[0]})
