@@ -9,7 +9,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
