@@ -241,19 +241,27 @@ def _within(some: np.ndarray, own: np.ndarray) -> np.ndarray:
     return own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some if len(own) else np.zeros(len(some), bool)
 
 
+def spanning(alike: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that connect what the ones of a matrix connect, one at most for each row and column: from each part's first row."""
+    left, open_, a, b = alike.any(axis=1), np.ones(len(columns), bool), [], []
+    for start in np.flatnonzero(left):
+        front = np.array([start]) if left[start] else np.zeros(0, int)
+        while len(front):  # rows reached anew, and what they reach
+            left[front] = False
+            met = np.flatnonzero(alike[front].any(axis=0) & open_)
+            open_[met] = False
+            a += [rows[start]] * (len(front) + len(met))
+            b += [*rows[front].tolist(), *columns[met].tolist()]
+            front = np.flatnonzero(alike[:, met].any(axis=1) & left)
+    return a, b
+
+
 def linked_within(groups: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect whatever is similar within a group; groups: group and class."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         own = Members.of_rows(table)
-        alike, left, a, b = own.similar(own, num, den), np.ones(len(own.names), bool), [], []
-        for start in range(len(left)):
-            front = np.array([start]) if left[start] else np.zeros(0, int)
-            while len(front):  # all that this one reaches
-                left[front] = False
-                a += [own.names[start]] * len(front)
-                b += own.names[front].tolist()
-                front = np.flatnonzero(alike[front].any(axis=0) & left)
+        a, b = spanning(own.similar(own, num, den), own.names, own.names)
         found = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
         return found.filter(pa.array(np.array(a) != np.array(b)))
 
@@ -301,7 +309,8 @@ def qualifying(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataF
 
 
 def opened(queries: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the queries' classes and members of the groups that the bound lets through."""
+    """Links (a, b) that connect the queries' classes with the members that they are similar to, of the groups that the bound
+    lets through."""
 
     def compare(mine: pa.Table, own: pa.Table) -> pa.Table:
         a, b = [], []
@@ -309,9 +318,8 @@ def opened(queries: DataFrame, stored: DataFrame, num: int, den: int) -> DataFra
             members = Members.unpacked(*(own.column(c)[0].as_py() for c in Members.COLUMNS))
             for row in zip(*(mine.column(c).to_pylist() for c in Members.COLUMNS), strict=True):
                 asked = Members.unpacked(*row)
-                x, y = np.nonzero(asked.similar(members, num, den))
-                a += asked.names[x].tolist()
-                b += members.names[y].tolist()
+                for out, own_links in zip((a, b), spanning(asked.similar(members, num, den), asked.names, members.names), strict=True):
+                    out += own_links
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     asked, held = portioned(queries, stored.drop("union"), "b")

@@ -89,3 +89,40 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 300) if i % 100 != 99] + [(500, k) for k in range(501, 560)] + [(7, 7), (0, 1)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: i // 100 * 100 for i in range(300)} | {i: 500 for i in range(500, 560)}
+
+
+def test_spanning_links_connect_what_the_matrix_does():
+    rng = np.random.default_rng(2)
+    for part in (0.02, 0.1, 0.5):
+        alike = rng.random((40, 30)) < part
+        rows, columns = np.arange(40), 100 + np.arange(30)
+        a, b = ngram_join.spanning(alike, rows, columns)
+        assert len(a) == len(b) <= 70
+
+        def parts(links):
+            up = {x: x for x in [*rows.tolist(), *columns.tolist()]}
+
+            def find(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for x, y in links:
+                up[find(x)] = find(y)
+            return {frozenset(y for y in up if find(y) == find(x)) for x in up}
+
+        assert parts(zip(a, b, strict=True)) == parts([(int(x), 100 + int(y)) for x, y in zip(*np.nonzero(alike), strict=True)])
+
+
+def test_groups_under_the_bound_are_not_fetched(spark):
+    sets = {1: range(0, 100), 2: range(0, 95), 3: range(1000, 1100), 4: range(20, 120), 5: range(0, 50)}
+    hashed = {k: np.sort(np.array([x * 7919 for x in v], np.uint64)) for k, v in sets.items()}
+    whole = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in hashed.items()], "class long, set binary")
+    groups = spark.createDataFrame([(10, 1), (10, 3), (20, 2), (30, 4), (30, 5)], "group long, class long")
+    stored = ngram_join.matrix(groups, whole).persist()
+    pairs = spark.createDataFrame([(10, 20), (10, 30)], "a long, b long")
+    found = {(r.a, r.b): np.frombuffer(r.names, np.int64).tolist() for r in ngram_join.qualifying(pairs, stored, 85, 100).collect()}
+    # Class 1 has 95 of 100 with group 20's union, and all with that of 30, none of whose members is similar; class 3 has none.
+    assert found == {(10, 20): [1], (10, 30): [1]}
+    queries = ngram_join.qualifying(pairs.where("b = 20"), stored, 85, 100)
+    assert sorted(map(tuple, ngram_join.opened(queries, stored, 85, 100).collect())) in ([(1, 1), (1, 2)], [(1, 2)])
