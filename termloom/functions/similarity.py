@@ -23,6 +23,14 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
 
 
+def letters_bound(a: Column, b: Column) -> Column:
+    """What the ratio can't exceed, by how often each character is in both."""
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * shared / both)
+
+
 def dot(a: Column, b: Column) -> Column:
     """The inner product in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.similarity import gestalt_ratio
+from termloom.functions.similarity import gestalt_ratio, letters_bound
 
 
 def merge_last(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
@@ -55,10 +55,15 @@ def exact_each(dictionary: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def fuzzy_each(dictionary: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    """lookup_fuzzy for every row of queries (query_id, query). Every query meets every term; n rows a task and query are merged."""
+    """lookup_fuzzy for every row of queries (query_id, query). Every query meets every term, but only by a bound on the ratio: the
+    n terms with the largest bounds tell a ratio that n terms have, and those whose bound reaches it alone are compared."""
     spread = dictionary.repartition(dictionary.sparkSession.sparkContext.defaultParallelism)
-    scored = spread.crossJoin(queries).withColumn("similarity", gestalt_ratio(F.lower("query"), F.col("term")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ord"))
+    met = spread.crossJoin(queries).withColumn("_bound", letters_bound(F.lower("query"), F.col("term")))
+    ratio, best = gestalt_ratio(F.lower("query"), F.col("term")), lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    few = met.withColumn("_n", best(F.desc("_bound"), "ord")).where(F.col("_n") <= n)
+    least = few.withColumn("_ratio", ratio).groupBy("query_id").agg(F.min("_ratio").alias("_least"))
+    scored = met.join(least, "query_id").where(F.col("_bound") >= F.col("_least") - 1e-9).withColumn("similarity", ratio)
+    place = best(F.desc("similarity"), "ord")
     return scored.withColumn("rank", place).where(F.col("rank") <= n).select("query_id", F.lit(False).alias("exact_match"), "rank", "term", "definition", "similarity")
 
 

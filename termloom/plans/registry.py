@@ -105,7 +105,10 @@ terms AS (SELECT surface AS word FROM tok WHERE length(surface) >= 6 GROUP BY 1
 
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("surface")).distinct()
+    """The distinct words of letters of each document, stored, since terms, matches and parts all read them."""
+    with_checkpoints(spark)
+    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("surface"))
+    return own.distinct().checkpoint()
 
 
 def all_terms(tokens: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 import random
 import re
 
-from termloom.operators import graph, layout
+from pyspark.sql import functions as F
+
+from termloom.functions.similarity import gestalt_ratio, letters_bound
+from termloom.operators import dictionary, graph, layout
 from termloom.operators.contain import containing
 
 
@@ -33,3 +36,16 @@ def test_items_before_the_first_hit_lie_on_the_first_page(spark):
     pages = spark.createDataFrame([("d", 2, "some other thing"), ("d", 3, "the words of page three are these")], "doc string, page int, text string")
     assert [r.page for r in layout.align(layout.items(docs), pages).orderBy("pos").collect()] == [2, 3, 3]
     assert [(r.page, r.content) for r in layout.extract(docs, pages).orderBy("block").collect()][0] == (2, "nowhere at all to be found here")
+
+
+def test_fuzzy_search_leaves_nothing_out(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcd é") for _ in range(rng.randrange(0, 9)))
+    terms = sorted({word() for _ in range(150)})
+    d = spark.createDataFrame([(t, t.upper(), i) for i, t in enumerate(terms)], "term string, definition string, ord int")
+    q = spark.createDataFrame([(i, word().upper()) for i in range(12)], "query_id int, query string")
+    pairs = d.crossJoin(q).select("query_id", "ord", gestalt_ratio(F.lower("query"), "term").alias("ratio"), letters_bound(F.lower("query"), F.col("term")).alias("bound")).collect()
+    assert all(r.ratio <= r.bound + 1e-9 for r in pairs)
+    want = [(i, k + 1, r.ord) for i in range(12) for k, r in enumerate(sorted((r for r in pairs if r.query_id == i), key=lambda r: (-r.ratio, r.ord))[:4])]
+    got = dictionary.fuzzy_each(d, q, 4).join(d.select("term", "ord"), "term").select("query_id", "rank", "ord").collect()
+    assert sorted(map(tuple, got)) == want
