@@ -18,7 +18,8 @@ def strip(c: Column) -> Column:
 
 def split_words(c: Column) -> Column:
     """The words between white space; none for a blank text."""
-    return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
+    own = strip(c)
+    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, f"{SPACE}+"))
 
 
 def n_words(c: Column) -> Column:

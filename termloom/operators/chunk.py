@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 
 def _starts(n: Column, step: int) -> Column:
-    """0, step, 2 * step, ... below n. sequence() refuses an empty range, so rows with n = 0 must be filtered first."""
-    return F.sequence(F.lit(0), n - 1, F.lit(step))
+    """0, step, 2 * step, ... below n; none for n = 0, as sequence() would refuse."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
 def _windows(df: DataFrame, n: Column, step: int, window: Callable[[Column], Column], of: str) -> DataFrame:
     """df without the column `of`, a row for each window. Windows are cut within their row: what is dealt out as rows holds
     its own window alone, not all tokens."""
     kept = [c for c in df.columns if c != of]
-    return df.where(n > 0).select(*kept, F.inline(F.transform(_starts(n, step), window)))
+    return df.select(*kept, F.inline(F.transform(_starts(n, step), window)))
 
 
 def token_windows(df: DataFrame, tokens: str, size: int, overlap: int, joiner: str = " ") -> DataFrame:
