@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,23 @@ def discard(spark: SparkSession, at: str) -> None:
     store.delete(path, True)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like written(), whose tables are removed at the end: what is left by then must not read them."""
+    held: list[str] = []
+
+    def write(df: DataFrame, what: str) -> DataFrame:
+        held.append(scratch(spark, what))
+        df.write.parquet(held[-1])
+        return spark.read.parquet(held[-1])
+
+    try:
+        yield write
+    finally:
+        for at in held:
+            discard(spark, at)
+
+
 def ordered(df: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
     """df with _rn, a row's place (from 0) in the whole order, and _before, the sum of `value` over all rows before it.
 

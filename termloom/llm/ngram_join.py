@@ -11,7 +11,7 @@ verified on whole sets of 64-bit n-gram hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Words, mix, pieces, small, spread_join, trim, written
+from termloom.llm.common import Words, mix, pieces, small, spread_join, temporary, trim, written
 from termloom.llm.components import components
 
 #: Classes and n-grams that a group has at most (one class, if that has more), groups that a task compares with one at a time,
@@ -335,34 +335,35 @@ def chunked(classes: DataFrame, by: str) -> DataFrame:
 
 def class_components(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node (a class) and root (its component), for the classes with links to others."""
-    parts = written(shared_parts(docs, n, num, den).distinct(), "parts")
-    # A class that shares fewer parts than it needs with all others together is similar to none.
-    enough = parts.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
-    parts = written(spread_join(parts, enough, ["class", "range"], F.col("part"), how="inner"), "parts")
-    about = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    wanted = written(parts.select("class").distinct().join(about, "class"), "wanted")
-    whole = written(whole_sets(docs, wanted, n), "sets")
-    # The centre of a part is one of its classes. Of the centres with which it shares as many parts as it needs, a class takes
-    # the first one by hash, so that classes with much in common meet at few.
-    centre = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("class").alias("turn"), F.col("class").alias("centre"))).alias("c"))
-    around = spread_join(parts, centre, ["part"], F.col("class"), how="inner").where("class <> c.centre")
-    around = around.groupBy("class", "c", "range").agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    first = around.groupBy("class").agg(F.min(F.struct((F.col("n") < F.col("need")).alias("few"), "c.turn", "c.centre")).alias("f")).select("class", F.col("f.centre").alias("near"))
-    grouped = written(chunked(wanted.join(first, "class", "left").withColumn("near", F.coalesce("near", "class")), "near"), "groups")
-    # Every group of a centre has the centre too, which so links all of them.
-    members = grouped.select("group", "class").unionByName(grouped.select("group", F.col("near").alias("class"))).distinct()
-    several = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    links = written(linked_within(members.join(several, "group"), whole, num, den), "links")
-    joined = components(links).withColumnRenamed("node", "class")
-    pairs, groups = apart(parts, grouped.join(joined, "class", "left"))
-    pairs, stored = written(pairs, "pairs"), written(matrix(groups, whole), "matrix")
-    queries = written(qualifying(pairs, stored, num, den), "queries")
-    return components(links.unionByName(written(opened(queries, stored, num, den), "links")))
-
-
-def apart(parts: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
+    with temporary(docs.sparkSession) as keep:
+        parts = keep(shared_parts(docs, n, num, den).distinct(), "parts")
+        # A class that shares fewer parts than it needs with all others together is similar to none.
+        enough = parts.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
+        parts = keep(spread_join(parts, enough, ["class", "range"], F.col("part"), how="inner"), "parts")
+        about = classes.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+        wanted = keep(parts.select("class").distinct().join(about, "class"), "wanted")
+        whole = keep(whole_sets(docs, wanted, n), "sets")
+        # The centre of a part is one of its classes. Of the centres with which it shares as many parts as it needs, a class takes
+        # the first one by hash, so that classes with much in common meet at few.
+        centre = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("class").alias("turn"), F.col("class").alias("centre"))).alias("c"))
+        around = spread_join(parts, centre, ["part"], F.col("class"), how="inner").where("class <> c.centre")
+        around = around.groupBy("class", "c", "range").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+        first = around.groupBy("class").agg(F.min(F.struct((F.col("n") < F.col("need")).alias("few"), "c.turn", "c.centre")).alias("f")).select("class", F.col("f.centre").alias("near"))
+        grouped = keep(chunked(wanted.join(first, "class", "left").withColumn("near", F.coalesce("near", "class")), "near"), "groups")
+        # Every group of a centre has the centre too, which so links all of them.
+        members = grouped.select("group", "class").unionByName(grouped.select("group", F.col("near").alias("class"))).distinct()
+        several = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+        links = keep(linked_within(members.join(several, "group"), whole, num, den), "links")
+        joined = components(links).withColumnRenamed("node", "class")
+        pairs, groups = apart(keep, parts, grouped.join(joined, "class", "left"))
+        pairs, stored = keep(pairs, "pairs"), keep(matrix(groups, whole), "matrix")
+        queries = keep(qualifying(pairs, stored, num, den), "queries")
+        return components(links.unionByName(keep(opened(queries, stored, num, den), "links")))
+
+
+def apart(keep: Callable[[DataFrame, str], DataFrame], parts: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, groups): pairs (a, b) of groups, some of them with themselves, that share parts enough to have similar members of
-    different components, and the classes of these groups. about: class, n_shingles and root (null: its own component).
+    different components, and the classes of these groups. about: class, n_shingles and root (null: its own component); keep stores tables.
 
     Classes of one component form groups, and so do those without another that share parts with one component."""
     about = about.select("class", "n_shingles", F.coalesce("root", "class").alias("component"), F.col("root").isNull().alias("alone"))
@@ -370,10 +371,10 @@ def apart(parts: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = of_part.groupBy("part").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("part", "x")
     of_part = spread_join(of_part, mixed, ["part"], F.col("class"), how="inner")
     enough = of_part.groupBy("class", "range").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("class", "range")
-    of_part = written(spread_join(of_part, enough, ["class", "range"], F.col("part"), how="inner"), "apart")
+    of_part = keep(spread_join(of_part, enough, ["class", "range"], F.col("part"), how="inner"), "apart")
     classes = of_part.groupBy("class", "n_shingles", "component", "alone").agg(F.min("x").alias("beside"))
     classes = classes.withColumn("of", F.xxhash64("alone", F.when(F.col("alone"), F.col("beside")).otherwise(F.col("component"))))
-    groups = written(chunked(classes, "of").select("class", "group"), "groups")
+    groups = keep(chunked(classes, "of").select("class", "group"), "groups")
     met = spread_join(of_part, groups, ["class"], F.col("part"), how="inner").groupBy("part", "range", "group")
     met = met.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("need").alias("need"))
     a, b = (met.select("part", *(F.col(c).alias(f"{c}_{x}") for c in ("range", "group", "low", "high", "need"))) for x in "ab")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import Words, mix, pieces, trim, written
+from termloom.llm.common import Words, mix, pieces, temporary, trim, written
 
 CELLS, BLOCKS = 1 << 20, 64
 #: A word is frequent from this part of all tokens on, a pair hot, and a context common: so many of them there can be at most.
@@ -363,7 +363,7 @@ def seat_contexts(docs: DataFrame, known: Known, buckets: int, word_buckets: int
         return pa.Table.from_batches([_rows(schema, rows)])
 
     packed = docs.mapInArrow(pack, _PACKED_DDL)
-    return written(packed.groupBy("bucket").applyInArrow(seated, _SEATED), "seated")
+    return packed.groupBy("bucket").applyInArrow(seated, _SEATED)
 
 
 _ANSWER = "bucket long, low binary, high binary, customers binary, tables binary, n long, sums array<long>"
@@ -527,7 +527,13 @@ def model(docs: DataFrame, buckets: int) -> tuple[Known, DataFrame, int, int]:
     rng = np.random.default_rng(5)
     total, words, counts, common = count_words(docs)
     known = Known(total, words, counts, common)
-    seated = seat_contexts(docs, known, buckets, max(12, buckets // PER_WORDS))
+    with temporary(docs.sparkSession) as keep:
+        return _sampled(keep(seat_contexts(docs, known, buckets, max(12, buckets // PER_WORDS)), "seated"), known, rng)
+
+
+def _sampled(seated: DataFrame, known: Known, rng: np.random.Generator) -> tuple[Known, DataFrame, int, int]:
+    """model(), once the contexts are seated."""
+    words, counts, common = known.words, known.counts, known.common
     vectors = ["tables", "customers", "seats"]
     sums = _summed(seated.where(F.col("kind").isin(vectors)).select("kind", "block", "places", "counts"), dict(zip(vectors, (len(words), len(common), len(common)), strict=True)))
     once, twice, kinds = (x or 0 for x in seated.agg(F.sum("once"), F.sum("twice"), F.sum("kinds")).first())
