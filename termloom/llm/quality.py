@@ -182,6 +182,7 @@ def fit(rows: np.ndarray, counts: WordCounts, labels: np.ndarray, dimensions: in
     x = rows * rarity
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     values, axes = np.linalg.eigh((x.T @ x).astype(np.float64))  # the right singular vectors
+    del x
     model = Model(rarity, axes[:, ::-1][:, : min(dimensions, len(rows))].astype(np.float32), *word_axes(counts), np.zeros(0), labels.astype(np.float64))
     model.vectors = model.vector(rows, counts)
     return model
@@ -192,6 +193,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _arrays(table: pa.Table, name: str, kind: str | type, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and numbers of the packed arrays in a column, in some order of rows, with no copy of them row by row."""
+    if not len(order):
+        return np.zeros(1, np.int64), np.zeros(0, kind)
+    own = pa.concat_arrays(table[name].chunks).cast(pa.large_binary())
+    at = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, 8 * own.offset) // 4
+    data, size = np.frombuffer(own.buffers()[2], kind, at[-1]), np.diff(at)[order]
+    start = np.concatenate([[0], np.cumsum(size)])
+    return start, data[np.repeat(at[:-1][order] - start[:-1], size) + np.arange(start[-1])]
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """A model of about `most` labelled documents at most (those with the least hashes of doc_id), without held-out ones.
 
@@ -211,11 +223,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
                 held = [(counts.bucket[x:y].astype("<i4").tobytes(), counts.n[x:y].tobytes()) for x, y in pairwise(counts.start.tolist())]
                 yield pd.DataFrame({"doc_id": frame["doc_id"][at], "quality": frame["quality"][at], "terms": [x.tobytes() for x in rows], "words": [b for b, _ in held], "counts": [n for _, n in held]})
 
-    got = sample.mapInPandas(weigh, "doc_id long, quality int, terms binary, words binary, counts binary").toPandas().sort_values("doc_id")
-    rows = np.frombuffer(b"".join(got["terms"]), np.float32).reshape(-1, N_TERMS)
-    start = np.cumsum([0, *(len(x) // 4 for x in got["words"])])
-    counts = WordCounts(start, np.frombuffer(b"".join(got["words"]), "<i4"), np.frombuffer(b"".join(got["counts"]), np.float32))
-    return fit(rows, counts, got["quality"].to_numpy())
+    got = sample.mapInPandas(weigh, "doc_id long, quality int, terms binary, words binary, counts binary").toArrow()
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    labels_ = got["quality"].to_numpy()[order]
+    (_, rows), (start, words), (_, n) = _arrays(got, "terms", np.float32, order), _arrays(got, "words", "<i4", order), _arrays(got, "counts", np.float32, order)
+    del got
+    model = fit(rows.reshape(-1, N_TERMS), WordCounts(start, words, n), labels_)
+    trim()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
