@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -119,12 +120,21 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end]; equal bytes have equal hashes."""
+#: Spans of so many bytes or more are hashed one by one: modulo 2 ** 64 the polynomial fails for long spans of a regular build.
+LONG_SPAN = 256
+#: The numbers that stand for the bytes, for a hash and another that is independent of it.
+_BYTES = (np.arange(1, 257, dtype=np.uint64), mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1))
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of raw[start:end]; equal bytes have equal hashes. second: of another kind, to tell apart what the first don't."""
     powers, inverses = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverses[start])
+    np.cumsum(_BYTES[second][raw] * powers[: len(raw)], out=sums[1:])
+    out = mix((sums[end] - sums[start]) * inverses[start])
+    for i in np.flatnonzero(end - start >= LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=b"second" * second).digest(), "little")
+    return out
 
 
 class Words:

@@ -33,7 +33,7 @@ class ChunkEncoder:
     spaces. That doesn't hold beside a space that has white space on both sides, or ends the text after white space; such
     texts, and those that hold a special token's string, go to the library whole. Chunks are found by their hashes in a table
     of a fixed size, where a new one takes the place of an old one; those that aren't there are encoded together, each after a
-    space, and told apart by the pieces that start with it.
+    space, and told apart by the pieces that start with it. A chunk is known by two independent hashes of 64 bits.
     """
 
     UNSURE = re.compile(r"\s \s|\s \Z")
@@ -58,7 +58,8 @@ class ChunkEncoder:
         for m in ".,;:!?":
             ids = self.tokenizer.encode(m, add_special_tokens=False).ids
             self.marks[ord(m)] = ids[0] if len(ids) == 1 else 0
-        self.key, self.at, self.length = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.key, self.check = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.at, self.length = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
         self.ids, self.used = np.zeros(self.MOST_IDS, "<u4"), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -111,11 +112,12 @@ class ChunkEncoder:
         end = end - marked
         hashed = span_hashes(raw, start, end)
         hashed = np.where(first, mix(hashed ^ np.uint64(0xF1)), hashed) | np.uint64(1)  # never an empty slot's zero
+        check = span_hashes(raw, start, end, second=True)
         slot = (hashed >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
         ids, at, length = self.ids, self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
-        lacking = np.flatnonzero(self.key[slot] != hashed)
+        lacking = np.flatnonzero((self.key[slot] != hashed) | (self.check[slot] != check))
         if len(lacking):
-            names, one, of = np.unique(hashed[lacking], return_index=True, return_inverse=True)
+            _, one, of = np.unique(mix(hashed[lacking]) + check[lacking], return_index=True, return_inverse=True)
             one = lacking[one]
             new, size = self._learn(raw, start[one], end[one], first[one])
             begin = np.cumsum(size) - size
@@ -127,8 +129,8 @@ class ChunkEncoder:
             at[lacking], length[lacking] = (begin + (len(ids) - len(new) if ids is not self.ids else 0))[of], size[of]
             self.ids[self.used : self.used + len(new)] = new
             self.used += len(new)
-            to = (names >> np.uint64(20)).astype(np.int64) & (self.SLOTS - 1)
-            self.key[to], self.at[to], self.length[to] = names, begin, size
+            to = slot[one]
+            self.key[to], self.check[to], self.at[to], self.length[to] = hashed[one], check[one], begin, size
         length += marked
         upto = np.cumsum(length)
         out = ids.take(np.repeat(at - (upto - length), length) + np.arange(upto[-1]), mode="clip")
