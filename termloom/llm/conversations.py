@@ -437,3 +437,33 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults and cheapest repair. Rows with a null conv_id are one conversation; rows of one turn are ordered by
     role and text; rows that repeat are duplicates; an empty or long text is a text as any; other columns play no part."""
     return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, d: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+_BLANK = "[\\x20\\x09-\\x0D]"
+_INSERTED = "list_reduce([{0}, {0}, {0}, {0}], lambda u, v: list_transform([1, 2, 3, 4], lambda q: list_min([u[q], {{'c': u[[3, 3, 4, 3][q]].c + 5, 'a': 'I' || u[[3, 3, 4, 3][q]].a}}])))"
+#: Goes through the rows from the last one on, with the least (cost, audit) from each state. Rows of one turn are in the order of
+#: their whole texts, this module's by 64 characters and a hash: the same where a turn comes once.
+ORACLE = f"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER w AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, regexp_replace(text, '{_BLANK}+$', '') AS core FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, core = '' AS blank, core <> '' AND seen > 1 AS duplicate, core <> '' AND seen = 1 AND right(core, 1) NOT IN ('.', '!', '?') AS truncated,
+  place > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY place), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM n),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal,
+  list({{'role': role, 'text': text}} ORDER BY place) AS rows,
+  list({{'f': CASE WHEN blank OR duplicate THEN 1 WHEN truncated THEN 2 ELSE 0 END, 'r': CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 4 END, 's': NULL::STRUCT(c BIGINT, a VARCHAR)[]}} ORDER BY place DESC) AS codes FROM f GROUP BY conv_id),
+b AS (SELECT *, list_reduce(list_prepend({{'f': 0, 'r': 0, 's': {_INSERTED.format("[{'c': 0::BIGINT, 'a': ''}, {'c': 1000000000000, 'a': ''}, {'c': 1000000000000, 'a': ''}, {'c': 0, 'a': ''}]")}}}, codes),
+  lambda x, y: {{'f': 0, 'r': 0, 's': list_reduce([list_transform([1, 2, 3, 4], lambda q: list_min(list_filter([
+    {{'c': x.s[q].c + 2, 'a': 'D' || x.s[q].a}},
+    CASE WHEN y.f <> 1 THEN {{'c': x.s[[3, 3, 4, 3][q]].c + 1 + 5 * (y.f // 2), 'a': 'R' || x.s[[3, 3, 4, 3][q]].a}} END,
+    CASE WHEN y.f <> 1 AND [[2, 0, 0, 0], [3, 3, 0, 3], [0, 0, 4, 0], [0, 0, 0, 0]][y.r][q] > 0 THEN {{'c': x.s[[[2, 0, 0, 0], [3, 3, 0, 3], [0, 0, 4, 0], [0, 0, 0, 0]][y.r][q]].c + 5 * (y.f // 2), 'a': 'K' || x.s[[[2, 0, 0, 0], [3, 3, 0, 3], [0, 0, 4, 0], [0, 0, 0, 0]][y.r][q]].a}} END], lambda z: z IS NOT NULL)))] || [NULL, NULL, NULL],
+    lambda u, v: list_transform([1, 2, 3, 4], lambda q: list_min([u[q], {{'c': u[[3, 3, 4, 3][q]].c + 5, 'a': 'I' || u[[3, 3, 4, 3][q]].a}}])))}}).s[1] AS best FROM g),
+r AS (SELECT *, list_reduce(list_prepend({{'x': '', 'i': 1::BIGINT, 'q': '', 'out': NULL::VARCHAR}}, list_transform(string_split(best.a, ''), lambda z: {{'x': z, 'i': 0::BIGINT, 'q': '', 'out': NULL::VARCHAR}})),
+  lambda a, z: CASE z.x WHEN 'D' THEN {{'x': '', 'i': a.i + 1, 'q': a.q, 'out': a.out}}
+    WHEN 'K' THEN {{'x': '', 'i': a.i + 1, 'q': left(rows[a.i].role, 1), 'out': concat_ws(chr(10), a.out, rows[a.i].role || ':' || rows[a.i].text)}}
+    WHEN 'R' THEN {{'x': '', 'i': a.i + 1, 'q': CASE a.q WHEN 'u' THEN 'a' ELSE 'u' END, 'out': concat_ws(chr(10), a.out, CASE a.q WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || rows[a.i].text)}}
+    WHEN 'I' THEN {{'x': '', 'i': a.i, 'q': CASE a.q WHEN 'u' THEN 'a' ELSE 'u' END, 'out': concat_ws(chr(10), a.out, CASE a.q WHEN 'u' THEN 'assistant' ELSE 'user' END || ':')}} ELSE a END).out AS repaired FROM b),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM c LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id"""

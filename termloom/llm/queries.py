@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_archives": archives.ORACLE, "op8_mixing": mixing.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
+    return {"op5_archives": archives.ORACLE, "op8_mixing": mixing.ORACLE, "op12_fill_middle": fill_middle.ORACLE, "op13_conversations": conversations.ORACLE}
