@@ -31,6 +31,11 @@ def squeeze(c: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(c, f"{SPACE}+", " ")))
 
 
+def unspaced(c: Column) -> Column:
+    """Lower case without any white space."""
+    return F.regexp_replace(F.lower(c), f"{SPACE}+", "")
+
+
 def normalize(c: Column) -> Column:
     """squeeze(), and then without bullets, dashes and emphasis marks: a blank beside a deleted mark stays."""
     return F.translate(squeeze(c), MARKS, "")

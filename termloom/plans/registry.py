@@ -116,22 +116,16 @@ def all_terms(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.length("surface") >= 6).groupBy(F.col("surface").alias("word")).agg(F.count("*").alias("n")).where("n >= 5").select("word")
 
 
-def also(name: str, of: str) -> None:
-    """Another name of a query."""
-    QUERIES[name] = QUERIES[of]
-    if of in ORACLES:
-        ORACLES[name] = ORACLES[of]
-
-
 @query("term_full_match", f"WITH {TERMS_SQL} SELECT doc_id, surface FROM tok WHERE surface IN (SELECT word FROM terms)")
 def term_full_match(spark, sf_dir):
     tokens = surfaces(spark, sf_dir)
     return match.full_matches(tokens, all_terms(tokens), ["doc_id"]).select("doc_id", "surface")
 
 
-PARTIAL_SQL = f"""{TERMS_SQL},
-open AS (SELECT DISTINCT surface FROM tok WHERE length(surface) >= 4 AND surface NOT IN (SELECT word FROM terms)),
-held AS (SELECT surface, word AS compound FROM open, terms WHERE contains(word, surface) AND word <> surface),
+OPEN_SQL = f"""{TERMS_SQL},
+open AS (SELECT DISTINCT surface FROM tok WHERE surface NOT IN (SELECT word FROM terms)),
+held AS (SELECT surface, word AS compound FROM open, terms WHERE contains(word, surface) AND word <> surface)"""
+PARTIAL_SQL = f"""{OPEN_SQL.replace("WHERE surface NOT IN", "WHERE length(surface) >= 4 AND surface NOT IN")},
 part AS (SELECT doc_id, surface, compound FROM tok JOIN held USING (surface))"""
 
 
@@ -142,38 +136,63 @@ def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_partial_match", f"WITH {PARTIAL_SQL} SELECT doc_id, surface, compound FROM part")
 def term_partial_match(spark, sf_dir):
+    """Surfaces of four letters or more, one row for each compound; partial_lists has those of any length."""
     return partials(spark, sf_dir).select("doc_id", "surface", "compound")
 
 
-@query("partial_lists_last", f"""
-WITH {PARTIAL_SQL}, l AS (SELECT surface, doc_id, string_agg(compound, ',' ORDER BY compound) AS compounds FROM part GROUP BY 1, 2)
-SELECT surface, arg_max(compounds, doc_id) AS compounds FROM l GROUP BY 1""")
+LISTS_SQL = f"{OPEN_SQL}, l AS (SELECT surface, count(*)::INT AS n, string_agg(compound, ',' ORDER BY compound) AS compounds FROM held GROUP BY 1)"
+
+
+@query("partial_lists", f"WITH {LISTS_SQL} SELECT doc_id, surface, n, md5(compounds) AS digest FROM tok JOIN l USING (surface)")
+def partial_lists(spark, sf_dir):
+    """Of every document and each of its surfaces that is a part of terms, those terms, by number and digest."""
+    tokens = surfaces(spark, sf_dir)
+    found = match.partial_lists(tokens, all_terms(tokens), ["doc_id"])
+    return found.select("doc_id", "surface", F.size("compounds").alias("n"), F.md5(F.array_join("compounds", ",")).alias("digest"))
+
+
+@query("partial_lists_last", f"WITH {LISTS_SQL} SELECT surface, compounds FROM l")
 def partial_lists_last(spark, sf_dir):
     """A surface's list is the same in every document, so its last document alone is matched."""
     tokens = surfaces(spark, sf_dir)
-    last = tokens.where(F.length("surface") >= 4).groupBy("surface").agg(F.max("doc_id").alias("doc_id"))
+    last = tokens.groupBy("surface").agg(F.max("doc_id").alias("doc_id"))
     found = match.partial_matches(last, all_terms(tokens), ["doc_id"])
     return dictionary.replace_lists(found, "surface", "compound", "doc_id").withColumn("compounds", F.array_join("compounds", ","))
 
 
 @query("compound_edges", f"""
-WITH {PARTIAL_SQL} SELECT compound AS source, surface AS target, 'COMPOUND_OF' AS type, 1.0::DOUBLE AS weight FROM held""")
+WITH {OPEN_SQL} SELECT compound AS source, surface AS target, 'COMPOUND_OF' AS type, 1.0::DOUBLE AS weight FROM held""")
 def compound_edges(spark, sf_dir):
     tokens = surfaces(spark, sf_dir)
     terms = all_terms(tokens)
-    found = match.partial_matches(tokens.where(F.length("surface") >= 4).select("surface").distinct(), terms, [])
+    found = match.partial_matches(tokens.select("surface").distinct(), terms, [])
     return graph.compound_edges(found, terms.select(F.col("word").alias("term")))
 
 
-for _name in ("term_full_match", "term_partial_match", "partial_lists_last", "compound_edges"):
-    also(f"{_name}_all", _name)
-
-
 @query("passage_cooccurrence", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
 def passage_cooccurrence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    return containing(docs, ["doc_id"], items).join(items, "needle").select("doc_id", "item_id")
+    return containing(docs, ["doc_id"], items, with_text=False).join(items, "needle").select("doc_id", "item_id")
+
+
+@query("unspaced_passages", f"SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(regexp_replace(lower(d.text), '{WS}+', '', 'g'), regexp_replace(lower(b.text), '{WS}+', '', 'g'))")
+def unspaced_passages(spark, sf_dir):
+    """Passages that a document has, however either is spaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.unspaced(F.col("text")).alias("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.unspaced(F.col("text")).alias("needle"))
+    return containing(docs, ["doc_id"], items, with_text=False).join(items, "needle").select("doc_id", "item_id")
+
+
+@query("unspaced_terms", f"""
+WITH {TERMS_SQL}, u AS (SELECT doc_id, regexp_replace(lower(text), '{WS}+', '', 'g') AS text FROM documents)
+SELECT doc_id, count(*) AS n, md5(string_agg(word, ',' ORDER BY word)) AS digest FROM u, terms WHERE contains(text, word) GROUP BY doc_id""")
+def unspaced_terms(spark, sf_dir):
+    """The terms of the whole list that every document has without its white space, as a text of a language that has none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.unspaced(F.col("text")).alias("text"))
+    terms = all_terms(surfaces(spark, sf_dir)).withColumnRenamed("word", "needle")
+    found = containing(docs, ["doc_id"], terms, with_text=False).groupBy("doc_id").agg(F.sort_array(F.collect_list("needle")).alias("words"))
+    return found.select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", ",")).alias("digest"))
 
 
 # Nodes with definitions: the parts' names, each with the last of its types.
@@ -688,7 +707,3 @@ def full_query(spark, sf_dir):
     reached, edges = graph.subgraph(nodes, graph.parent_edges(nodes), hits.select("seed").distinct())
     of_nodes = hits.join(reached, "seed", "left").select(*hits.columns, F.lit("node").alias("kind"), "term", "depth", "definition")
     return of_nodes.unionByName(hits.join(edges, "seed").select(*hits.columns, F.lit("edge").alias("kind"), F.col("source").alias("term"), "target", "type", "weight"), allowMissingColumns=True)
-
-
-for _name in ("vector_topk", "nearest_products", "dict_lookup_exact", "fuzzy_lookup"):
-    also(f"{_name}_all", _name)

@@ -2,12 +2,63 @@
 
 import random
 import re
+import time
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from termloom.functions.similarity import gestalt_ratio, letters_bound
-from termloom.operators import dictionary, graph, layout
-from termloom.operators.contain import containing
+from termloom.operators import contain, dictionary, graph, layout, match
+from termloom.operators.contain import Automaton, containing
+
+
+WORDS = st.text(alphabet="ab日\U0001f600 ", min_size=1, max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(WORDS, max_size=20), st.lists(st.text(alphabet="ab日\U0001f600 c", max_size=40), max_size=8), st.integers(1, 9))
+def test_automaton_finds_every_pair_once(needles, texts, stretch):
+    contain.STRETCH, whole = stretch, contain.STRETCH
+    try:
+        needles = sorted(needles)
+        text, needle = Automaton(needles).find(texts)
+    finally:
+        contain.STRETCH = whole
+    assert list(zip(text.tolist(), needle.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, n in enumerate(needles) if n in t]
+
+
+def test_long_words_take_time_in_proportion():
+    needles = [*(f"a{'b' * k}" for k in range(200)), "x" * 20_000]
+    automaton, took = Automaton(needles), []
+    for n in (60_000, 240_000):
+        text = "ab" * (n // 2 - 10_000) + "x" * 20_000
+        began = time.perf_counter()
+        _, found = automaton.find([text])
+        took.append(time.perf_counter() - began)
+        assert sorted(needles[k] for k in found) == sorted(n for n in needles if n in text)
+    assert took[1] < 16 * took[0] + 1
+
+
+@pytest.mark.parametrize("shard_chars", [1, 30, 1 << 20])
+def test_unspaced_texts_past_every_shard(spark, shard_chars):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("データ解析の学習") for _ in range(n))
+    texts = [(i, text(rng.randrange(0, 40))) for i in range(40)] + [(40, text(60_000)), (41, None)]
+    needles = sorted({text(k) for k in (1, 2, 3, 4, 5) for _ in range(15)})
+    frame, asked = spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame([(n,) for n in needles] + [(None,), ("",)], "needle string")
+    got = containing(frame, ["id"], asked, with_text=False, shard_chars=shard_chars)
+    assert sorted(map(tuple, got.collect())) == sorted((i, n) for i, t in texts if t for n in needles if n in t)
+
+
+def test_lists_of_parts_are_those_of_the_pairs(spark):
+    tokens = spark.createDataFrame([(1, "a"), (1, "ab"), (2, "a"), (2, "zz"), (2, "abc"), (3, "")], "id int, surface string")
+    terms = spark.createDataFrame([("abc",), ("bab",), ("",), (None,)], "word string")
+    lists = {(r.id, r.surface): r.compounds for r in match.partial_lists(tokens, terms, ["id"]).collect()}
+    assert lists == {(1, "a"): ["abc", "bab"], (1, "ab"): ["abc", "bab"], (2, "a"): ["abc", "bab"]}
+    pairs = {(r.id, r.surface, r.compound) for r in match.partial_matches(tokens, terms, ["id"]).collect()}
+    assert pairs == {(*k, c) for k, cs in lists.items() for c in cs}
 
 
 def test_containing_against_every_pair(spark):

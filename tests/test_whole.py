@@ -39,10 +39,10 @@ def test_all_terms_are_matched(spark, folder):
     part = sorted((d, w, t) for d, s in own.items() for w in s - terms if len(w) >= 4 for t in terms if w in t)
     lists = {w: ",".join(sorted(t for t in terms if w in t)) for _, w, _ in part}
     run = lambda name: registry.QUERIES[name](spark, sf)
-    assert rows_of(run("term_full_match_all")) == full
-    assert rows_of(run("term_partial_match_all")) == part
-    assert rows_of(run("partial_lists_last_all").select("surface", "compounds")) == sorted(lists.items())
-    assert rows_of(run("compound_edges_all").select("target", "source")) == sorted({(w, t) for _, w, t in part})
+    assert rows_of(run("term_full_match")) == full
+    assert rows_of(run("term_partial_match")) == part
+    assert rows_of(run("partial_lists_last").select("surface", "compounds")) == sorted(lists.items())
+    assert rows_of(run("compound_edges").select("target", "source")) == sorted({(w, t) for _, w, t in part})
     assert {r.term for r in run("term_definitions").collect()} == terms
 
 
