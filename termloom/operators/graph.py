@@ -6,22 +6,18 @@ Nodes are (term, definition); edges are (source, target, type, weight), and repe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.similarity import dot
 from termloom.functions.text import pair_key, repaired, strip
 from termloom.operators.contain import containing
+from termloom.operators.nearby import usable
 
 #: Patterns whose capture names a category, and the edge types: fixed values.
 CATEGORY_PATTERNS = ("(.+?)の一種", "(.+?)に属する", "(.+?)系")
 COMPOUND_OF, SIMILAR_MEANING, PARENT_TERM, CATEGORY = "COMPOUND_OF", "SIMILAR_MEANING", "PARENT_TERM", "CATEGORY"
-#: Rows in a block of vectors that are multiplied together.
-BLOCK = 2048
 
 
 def _edge(source: Column | str, target: Column | str, kind: str, weight: Column | float = 1.0) -> list[Column]:
@@ -34,36 +30,6 @@ def compound_edges(partial: DataFrame, nodes: DataFrame) -> DataFrame:
     return partial.join(nodes.select(F.col("term").alias("compound")), "compound", "left_semi").select(*_edge("compound", "surface", COMPOUND_OF))
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity: pairs of ids a < b whose unit vectors have a product of `least` or more.
-
-    Vectors are packed in blocks, and each block is multiplied with the blocks from its own on, as one task for a pair of
-    blocks: a join of few large rows, each pair of vectors once."""
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / BLOCK))
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"block": [key[0]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "data": [x.tobytes()]})
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                ia, ib = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_b, np.int64)
-                a, b = np.frombuffer(r.data).reshape(len(ia), -1), np.frombuffer(r.data_b).reshape(len(ib), -1)
-                score = a @ b.T
-                i, j = np.nonzero(score >= least)
-                low, high = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j])
-                keep = ia[i] < ib[j] if r.block == r.block_b else low < high
-                yield pd.DataFrame({"a": low[keep], "b": high[keep], "similarity": score[i, j][keep]})
-
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, data binary")
-    meets = packed.withColumn("block_b", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
-    other = packed.select(F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
-    return meets.join(other, "block_b").repartition("block", "block_b").mapInPandas(multiply, "a long, b long, similarity double")
-
-
 def similar_edges(pairs: DataFrame) -> DataFrame:
     """pairs (a, b, similarity): an edge each way."""
     return pairs.select(*_edge("a", "b", SIMILAR_MEANING, F.col("similarity"))).unionByName(pairs.select(*_edge("b", "a", SIMILAR_MEANING, F.col("similarity"))))
@@ -130,39 +96,15 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int =
 
 
 def top_k(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """rank, id and score of the k vectors (id, embedding) nearest to the one row of query (embedding), ties to smaller ids."""
-    scored = vectors.join(F.broadcast(query.select(F.col("embedding").alias("_q")))).select("id", dot(F.col("embedding"), F.col("_q")).alias("score"))
+    """rank, id and score of the k vectors (id, embedding) nearest to the one row of query (embedding), ties to smaller ids. Vectors
+    that usable() leaves out take no part."""
+    own, length, _ = usable(vectors)
+    asked = query.where(F.size("embedding") == length).select(F.col("embedding").alias("_q"))
+    scored = own.join(F.broadcast(asked)).select("id", dot(F.col("embedding"), F.col("_q")).alias("score"))
     best = scored.orderBy(F.desc("score"), "id").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "score"))).alias("x"))
     return best.select(F.posexplode("x").alias("p", "r")).select((F.col("p") + 1).alias("rank"), "r.id", "r.score")
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, rank, id and score of the k vectors (id, embedding) nearest to each row of queries (query, embedding), ties to
-    smaller ids.
-
-    Blocks of queries meet blocks of vectors; k rows of each meeting and query are merged."""
-
-    def packed(df: DataFrame, key: str, tail: str) -> DataFrame:
-        def pack(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            return pd.DataFrame({f"ids{tail}": [rows[key].to_numpy(np.int64).tobytes()], f"data{tail}": [x.tobytes()]})
-
-        blocks = max(1, math.ceil(df.count() / BLOCK))
-        return df.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).groupBy("block").applyInPandas(pack, f"ids{tail} binary, data{tail} binary")
-
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                ids, query = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_q, np.int64)
-                score = np.frombuffer(r.data_q).reshape(len(query), -1) @ np.frombuffer(r.data).reshape(len(ids), -1).T
-                best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(query, best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
-
-    met = packed(queries, "query", "_q").crossJoin(packed(vectors, "id", "")).repartition(vectors.sparkSession.sparkContext.defaultParallelism)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return met.mapInPandas(nearest, "query long, id long, score double").withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "id", "score")
-
-
 def neighbours(found: DataFrame, edges: DataFrame, incoming: str, outgoing: str) -> DataFrame:
     """found (id) with two sorted lists: sources of incoming edges of one type, and targets of outgoing ones of another.
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
-from termloom.functions.similarity import dot
-from termloom.operators import chunk, dictionary, graph, layout, match, qa
+from termloom.operators import chunk, dictionary, graph, layout, match, nearby, qa
 from termloom.operators.contain import containing
 from termloom.operators.models import Extractive, complete, define_prompt, filter_prompt, parsed_definition, parsed_terms
 
@@ -269,14 +268,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT_SQL}, 5) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.3")
 def similar_pairs(spark, sf_dir):
-    return graph.similar_pairs(vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 5))
+    return nearby.similar_pairs(vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("similar_edges", f"""
 WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round({DOT_SQL}, 5) AS weight FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.35)
 SELECT a AS source, b AS target, 'SIMILAR_MEANING' AS type, weight FROM p UNION ALL SELECT b, a, 'SIMILAR_MEANING', weight FROM p""")
 def similar_edges(spark, sf_dir):
-    return graph.similar_edges(graph.similar_pairs(vectors(spark, sf_dir), 0.35)).withColumn("weight", F.round("weight", 5))
+    return graph.similar_edges(nearby.similar_pairs(vectors(spark, sf_dir), 0.35)).withColumn("weight", F.round("weight", 5))
 
 
 EDGES_SQL = f"""
@@ -292,7 +291,7 @@ SELECT seed, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
 def bfs_2hop(spark, sf_dir):
     v = vectors(spark, sf_dir)
     seeds = v.where("id % 100 = 0").select(F.col("id").alias("seed"))
-    edges = graph.similar_edges(graph.similar_pairs(v, 0.35))
+    edges = graph.similar_edges(nearby.similar_pairs(v, 0.35))
     return graph.bfs(edges, seeds, 2)
 
 
@@ -301,7 +300,7 @@ WITH RECURSIVE {EDGES_SQL}, r AS (SELECT source AS node, source AS reached FROM
 SELECT node, min(reached) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf_dir):
     with_checkpoints(spark)
-    return graph.connected(graph.similar_pairs(vectors(spark, sf_dir), 0.35))
+    return graph.connected(nearby.similar_pairs(vectors(spark, sf_dir), 0.35))
 
 
 @query("optional_neighbours", f"""
@@ -310,7 +309,7 @@ SELECT vec_id AS id, coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FRO
   coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT DISTINCT target AS x FROM e WHERE source = vec_id AND target > vec_id)), '') AS related FROM embeddings""")
 def optional_neighbours(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
+    edges = graph.similar_edges(nearby.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
     return graph.neighbours(v.select("id"), edges, "UP", "UP").select("id", *(F.array_join(c, ",").alias(c) for c in ("before", "related")))
 
 
@@ -521,7 +520,7 @@ WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, {DOT_SQL} AS score FROM emb
 r AS (SELECT query, (row_number() OVER (PARTITION BY query ORDER BY score DESC, id))::INT AS rank, id, round(score, 6) AS score FROM s)
 SELECT * FROM r WHERE rank <= 3""")
 def vector_topk(spark, sf_dir):
-    return graph.top_k_each(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
+    return nearby.top_k_each(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 3).withColumn("score", F.round("score", 6))
 
 
 @query("footer_blocks", """
@@ -589,26 +588,33 @@ def edge_merge(spark, sf_dir):
     return graph.merge_edges(rows).withColumn("weight", F.round("weight", 2))
 
 
-@query("edges_in_order", """
+@query("edges_in_order", f"""
 WITH names AS (SELECT DISTINCT p_name AS term FROM part), heads AS (SELECT DISTINCT string_split(term, ' ')[1] AS term FROM names),
 n AS (SELECT term, lower(term) AS definition FROM names UNION ALL SELECT term, '' FROM heads WHERE term NOT IN (SELECT term FROM names)),
-e AS (SELECT 0 AS stage, term AS source, string_split(term, ' ')[1] AS target, 'COMPOUND_OF' AS type FROM names WHERE term <> string_split(term, ' ')[1]
-  UNION ALL SELECT 2, a.term, b.term, 'PARENT_TERM' FROM n a, n b WHERE contains(a.definition, b.term) AND a.term <> b.term AND b.term <> ''
-  UNION ALL SELECT 3, a.term, c, 'CATEGORY' FROM (SELECT term, unnest(regexp_extract_all(definition, '(.+?) ', 1)) AS c FROM n) a WHERE c IN (SELECT term FROM n)),
+v AS (SELECT p_name AS term, min(p_partkey) AS vec_id FROM part GROUP BY 1),
+s AS (SELECT x.term AS a, y.term AS b, round({DOT_SQL}, 5) AS weight FROM v x JOIN embeddings a ON a.vec_id = x.vec_id, v y JOIN embeddings b ON b.vec_id = y.vec_id WHERE x.vec_id < y.vec_id AND {DOT_SQL} >= 0.35),
+e AS (SELECT 0 AS stage, term AS source, string_split(term, ' ')[1] AS target, 'COMPOUND_OF' AS type, 1.0::DOUBLE AS weight FROM names WHERE term <> string_split(term, ' ')[1]
+  UNION ALL SELECT 1, p.a, p.b, 'SIMILAR_MEANING', weight FROM s p UNION ALL SELECT 1, p.b, p.a, 'SIMILAR_MEANING', weight FROM s p
+  UNION ALL SELECT 2, a.term, b.term, 'PARENT_TERM', 1.0 FROM n a, n b WHERE contains(a.definition, b.term) AND a.term <> b.term AND b.term <> ''
+  UNION ALL SELECT 3, a.term, c, 'CATEGORY', 1.0 FROM (SELECT term, unnest(regexp_extract_all(definition, '(.+?) ', 1)) AS c FROM n) a WHERE c IN (SELECT term FROM n)),
 r AS (SELECT *, row_number() OVER (ORDER BY stage, source, target) - 1 AS seq FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seq) AS n FROM r)
-SELECT source, target, type, 1.0::DOUBLE AS weight, seq, n <= 5 AS shown FROM k""")
+SELECT source, target, type, weight, seq, n <= 5 AS shown FROM k""")
 def edges_in_order(spark, sf_dir):
-    """The edges of a graph of part names and their first words, as a graph is built, and whether each is among the first five of its type."""
+    """The edges of a graph of part names and their first words, as a graph is built, and whether each is among the first five of
+    its type. A name's vector is that of its first part's number."""
     with_checkpoints(spark)
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct()
     first = F.element_at(F.split("term", " "), 1)
     heads = names.select(first.alias("term")).distinct().join(names, "term", "left_anti")
     nodes = names.withColumn("definition", F.lower("term")).unionByName(heads.withColumn("definition", F.lit("")))
     parts = names.select(first.alias("surface"), F.col("term").alias("compound")).where("surface <> compound")
-    none = spark.createDataFrame([], "source string, target string, type string, weight double")
-    every = graph.in_order(graph.compound_edges(parts, nodes), none, graph.parent_edges(nodes), graph.category_edges(nodes, ("(.+?) ",)))
+    first_of = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("id"))
+    pairs = nearby.similar_pairs(vectors(spark, sf_dir).join(first_of, "id"), 0.35)
+    name = lambda c: first_of.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term"))
+    named = pairs.join(name("a"), "a").join(name("b"), "b").select(F.col("a_term").alias("a"), F.col("b_term").alias("b"), "similarity")
+    every = graph.in_order(graph.compound_edges(parts, nodes), graph.similar_edges(named), graph.parent_edges(nodes), graph.category_edges(nodes, ("(.+?) ",)))
     shown = graph.first_of_type(every, "seq", 5).select("seq", F.lit(True).alias("shown"))
-    return every.join(shown, "seq", "left").select("source", "target", "type", "weight", "seq", F.coalesce("shown", F.lit(False)).alias("shown"))
+    return every.join(shown, "seq", "left").select("source", "target", "type", F.round("weight", 5).alias("weight"), "seq", F.coalesce("shown", F.lit(False)).alias("shown"))
 
 
 @query("chunk_candidates", f"""
@@ -660,18 +666,17 @@ FROM r JOIN embeddings ON vec_id = id LEFT JOIN up USING (id) LEFT JOIN down USI
 def vector_retrieval(spark, sf_dir):
     """The nearest vectors of each query, each with the sources of edges that lead up to it and the targets of those that lead up from it."""
     v = vectors(spark, sf_dir)
-    edges = graph.similar_edges(graph.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
+    edges = graph.similar_edges(nearby.similar_pairs(v, 0.35)).withColumn("type", F.when(F.col("source") < F.col("target"), "UP").otherwise("DOWN"))
     named = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("definition"))
-    found = graph.neighbours(graph.top_k_each(v, vector_queries(spark, sf_dir), 3).join(named, "id"), edges, "UP", "UP")
+    found = graph.neighbours(nearby.top_k_each(v, vector_queries(spark, sf_dir), 3).join(named, "id"), edges, "UP", "UP")
     return found.select("query", "rank", "id", F.round("score", 6).alias("score"), "definition", *(F.array_join(c, ",").alias(c) for c in ("before", "related")))
 
 
 @query("nearest_products", f"""
 SELECT a.vec_id AS query, b.label, count(*) AS n, round(max({DOT_SQL}), 5) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 GROUP BY 1, 2""")
 def nearest_products(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
-    met = v.crossJoin(vector_queries(spark, sf_dir).select("query", F.col("embedding").alias("q")))
-    return met.groupBy("query", "label").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("embedding"), F.col("q"))), 5).alias("best"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return nearby.best_by(v, vector_queries(spark, sf_dir), "label").withColumn("best", F.round("best", 5))
 
 
 def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

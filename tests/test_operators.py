@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import chunk, dictionary, graph, layout, match, models, qa
+from termloom.operators import chunk, dictionary, graph, layout, match, models, nearby, qa
 from termloom.sources import readers, writers
 from termloom.streaming import incremental
 
@@ -53,7 +53,7 @@ def test_edges(spark):
     assert rows(graph.parent_edges(nodes), "source", "target") == [("A", "b"), ("b", "送電線"), ("送電線", "b"), ("送電線", "これは電線")]
     part = spark.createDataFrame([("線", "送電線"), ("線", "none")], "surface string, compound string")
     assert rows(graph.compound_edges(part, nodes), "source", "target", "type", "weight") == [("送電線", "線", "COMPOUND_OF", 1.0)]
-    pairs = graph.similar_pairs(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "id long, embedding array<float>"), 0.75)
+    pairs = nearby.similar_pairs(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "id long, embedding array<float>"), 0.75)
     assert [(a, b, round(s, 4)) for a, b, s in rows(pairs, "a", "b", "similarity")] == [(1, 2, 0.8)]
     assert len(rows(graph.similar_edges(pairs), "source", "target")) == 2
     met = graph.cooccurrence(spark.createDataFrame([("b", "An A here"), ("A", "b")], "term string, context string"), nodes.select("term"))

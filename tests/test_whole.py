@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from termloom.operators import dictionary, graph
+from termloom.operators import dictionary, graph, nearby
 from termloom.plans import registry
 
 DOCS = "doc_id long, text string"
@@ -66,10 +66,10 @@ def test_an_empty_definition_does_not_replace_one(spark, monkeypatch, folder):
 
 
 def test_searches_take_a_table_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(graph, "BLOCK", 16)
+    monkeypatch.setattr(nearby, "BLOCK", 16)
     x = np.random.default_rng(0).normal(size=(60, 4))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
-    got = rows_of(graph.top_k_each(v, v.where("id % 2 = 0").withColumnRenamed("id", "query"), 3).select("query", "rank", "id"))
+    got = rows_of(nearby.top_k_each(v, v.where("id % 2 = 0").withColumnRenamed("id", "query"), 3).select("query", "rank", "id"))
     assert got == [(q, k + 1, int(i)) for q in range(0, 60, 2) for k, i in enumerate(np.argsort(-(x @ x[q]))[:3])]
     d = spark.createDataFrame([(t, t.upper(), i) for i, t in enumerate(["alpha", "alpine", "beta", "bet", "gamma"])], "term string, definition string, ord int")
     q = spark.createDataFrame([(1, "Beta"), (2, "alpin"), (3, "betta")], "query_id int, query string")
