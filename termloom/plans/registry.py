@@ -219,7 +219,9 @@ def dictionary_upsert(spark, sf_dir):
 
 
 def ordered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_nodes(spark, sf_dir).withColumn("ord", F.xxhash64("term"))
+    """part_nodes() in the order in which the parts' names first come."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), F.col("p_type").alias("definition"), "p_partkey")
+    return dictionary.merge_ordered(rows, "term", "definition", "p_partkey")
 
 
 @query("parent_edges", f"""

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from termloom.functions.similarity import gestalt_ratio, letters_bound
 from termloom.operators import contain, dictionary, graph, layout, match
 from termloom.operators.contain import Automaton, containing
+from termloom.plans import registry
 
 
 WORDS = st.text(alphabet="ab日\U0001f600 ", min_size=1, max_size=6)
@@ -100,3 +102,42 @@ def test_fuzzy_search_leaves_nothing_out(spark):
     want = [(i, k + 1, r.ord) for i in range(12) for k, r in enumerate(sorted((r for r in pairs if r.query_id == i), key=lambda r: (-r.ratio, r.ord))[:4])]
     got = dictionary.fuzzy_each(d, q, 4).join(d.select("term", "ord"), "term").select("query_id", "rank", "ord").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def exhaustive(terms, queries, n):
+    """(query, rank, ord, ratio) by comparing every pair."""
+    ratio = lambda a, b: SequenceMatcher(None, a.lower(), b).ratio()
+    out = []
+    for q, text in queries:
+        best = sorted((-ratio(text, t), o) for o, t in terms)[:n]
+        out += [(q, k + 1, o, round(-r, 9)) for k, (r, o) in enumerate(best)]
+    return sorted(out)
+
+
+def ranked(df):
+    return sorted((r.query_id, r["rank"], r.ord, round(r.similarity, 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("n", [1, 4, 10])
+def test_index_gives_the_exhaustive_ranking(spark, n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdeé 語") for _ in range(rng.randrange(0, 14)))
+    terms = [(i, t) for i, t in enumerate(sorted({word() for _ in range(200)}, key=lambda _: rng.random()))]
+    queries = [(i, rng.choice(terms)[1][1:].upper() + rng.choice(["", "b", "zz"])) for i in range(25)] + [(30, ""), (31, "qqq"), (32, "x")]
+    d, q = spark.createDataFrame(terms, "ord long, term string"), spark.createDataFrame(queries, "query_id int, query string")
+    assert ranked(dictionary.fuzzy_ranked(d, q, n)) == exhaustive(terms, queries, n)
+    assert ranked(dictionary.fuzzy_exhaustive(d, q, n)) == exhaustive(terms, queries, n)
+
+
+def test_parts_are_ranked_as_by_all_pairs_and_few_are_compared(spark):
+    d, q = registry.ordered_nodes(spark, "/root/testdata/sf0.001"), registry.name_queries(spark, "/root/testdata/sf0.001")
+    terms, queries = [(r.ord, r.term) for r in d.collect()], [(r.query_id, r.query) for r in q.collect()]
+    assert ranked(dictionary.fuzzy_ranked(d.select("ord", "term"), q, 10)) == exhaustive(terms, queries, 10)
+    asked = dictionary.first_guesses(d.select("ord", "term"), q, 10)
+    met = dictionary.candidates(d.select("ord", "term"), asked).count()
+    assert asked.count() == len(queries) and met < len(terms) * len(queries)
+
+
+def test_order_is_where_a_term_first_came(spark):
+    rows = spark.createDataFrame([("b", "1", 3), ("a", "2", 5), ("b", "4", 9), ("c", None, 1), ("c", "5", 7)], "term string, definition string, at long")
+    assert sorted(map(tuple, dictionary.merge_ordered(rows, "term", "definition", "at").collect())) == [("a", "2", 5), ("b", "4", 3), ("c", "5", 7)]
