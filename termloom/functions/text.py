@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from termloom.functions.repair import repaired_udf
+
 #: White space, as Java's regular expressions take it: what str.split() and str.strip() take in Python.
 SPACE = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -58,10 +60,11 @@ def strip_fence(c: Column) -> Column:
 
 
 def repaired(c: Column) -> Column:
-    """A reply's JSON object as a reader takes it: without a fence and what stands before and after the outermost braces, without
-    commas before a closing bracket; null if there are no braces."""
-    own = F.regexp_extract(strip_fence(c), r"(?s)\{.*\}", 0)
-    return F.when(own != "", F.regexp_replace(own, rf",{SPACE}*([}}\]])", "$1"))
+    """A reply's JSON as a reader takes it: as it is where it can be read, outside of fences and of what stands around it; else
+    mended by a scanner (functions.repair); null if it has no object or list."""
+    own = strip_fence(c)
+    fine = F.when(own.startswith("{") & own.endswith("}"), F.get_json_object(own, "$"))
+    return F.coalesce(fine, repaired_udf(F.when(fine.isNull(), own)))
 
 
 def is_table_line(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.text import n_words, snippet, split_words, strip, strip_fence
+from termloom.functions.text import n_words, repaired, snippet, split_words, strip
 from termloom.operators.chunk import capped_windows
 from termloom.operators.models import Extractive, LanguageModel, complete
 
@@ -33,13 +33,13 @@ def within_budget(prompt: Column, most: int = PROMPT_MOST, system: str = "", cou
 
 def questions(reply: Column) -> Column:
     """The questions of a reply, stripped, without blank ones; none if it isn't such an object."""
-    own = F.coalesce(F.from_json(strip_fence(reply), "questions array<string>")["questions"], F.array().cast("array<string>"))
+    own = F.coalesce(F.from_json(repaired(reply), "questions array<string>")["questions"], F.array().cast("array<string>"))
     return F.filter(F.transform(own, strip), lambda q: q != "")
 
 
 def answer(reply: Column) -> Column:
     """question and answer of a reply, null unless it has both."""
-    own = F.from_json(strip_fence(reply), "question string, answer string")
+    own = F.from_json(repaired(reply), "question string, answer string")
     return F.when(own["question"].isNotNull() & own["answer"].isNotNull(), own)
 
 

@@ -636,10 +636,15 @@ def chunk_candidates(spark, sf_dir):
 
 @query("json_repair", "SELECT event_id, props::JSON->>'k' AS k FROM events WHERE json_valid(props)")
 def json_repair(spark, sf_dir):
-    """What is read from replies in fences, with words around them or commas too many, is what the objects hold."""
-    turn, own = F.col("event_id") % 3, F.col("props")
-    cut = F.expr("left(props, length(props) - 1)")
-    reply = F.when(turn == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(turn == 1, F.concat(F.lit("Sure: "), cut, F.lit(", } That is all."))).otherwise(own)
+    """What is read from replies in fences, with words around them, commas too many, other quotes or none, comments, and ends that
+    are cut off, is what the objects hold."""
+    own, cut = F.col("props"), F.expr("left(props, length(props) - 1)")
+    wrapped = F.concat(F.lit('{"more": [1, {"a": "it is"}], "inner": {"x": null}, '), F.expr("substring(props, 2)"))
+    replies = [
+        F.concat(F.lit("```json\n"), own, F.lit("\n```")), F.concat(F.lit("Sure: "), cut, F.lit(", } That is all.")), own, F.translate(own, '"', "'"), F.translate(own, '"', ""), cut,
+        F.concat(F.lit("Here it is: "), F.expr("left(props, length(props) - 1)"), F.lit(", // the number\n 'note': 'it's cut")), F.concat(F.lit("```json\n"), F.translate(F.expr("substring(props, 1, length(props) - 1)"), '"', "'"), F.lit(", 'last': [True, None, ")), wrapped,
+    ]
+    reply = F.element_at(F.array(*replies), (F.col("event_id") % len(replies) + 1).cast("int"))
     found = F.from_json(T.repaired(F.col("reply")), "k string")["k"]
     valid = F.get_json_object("props", "$").isNotNull()
     return table(spark, sf_dir, "events").where(valid).withColumn("reply", reply).select("event_id", found.alias("k"))
