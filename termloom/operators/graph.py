@@ -147,7 +147,7 @@ def extracted(replies: DataFrame, keys: list[str], types: tuple[str, ...] | None
     """(nodes, edges) of a model's replies (keys, reply), JSON objects with nodes and relationships: keys, id, label, name and
     definition; keys, source, target (names) and type.
 
-    Ids count within their reply; of an id given twice the last node counts. A reply that can't be read has no rows, nor has a
+    Ids count within their reply; of an id given twice the last node counts. A reply without an object has no rows, nor has a
     relationship whose ends aren't both nodes of its reply, or whose type isn't among `types`."""
     own = replies.select(*keys, F.from_json(repaired(F.col("reply")), f"{NODES_JSON}, {EDGES_JSON}").alias("r"))
     each = own.select(*keys, F.posexplode("r.nodes").alias("at", "n")).where("n.id IS NOT NULL")
