@@ -7,8 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import queue
 import re
-from collections.abc import Callable, Iterator
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -138,36 +142,80 @@ class Extractive:
         return ""
 
 
-def complete(df: DataFrame, prompt: str, out: str, factory: Callable[[], LanguageModel] = Extractive, batch: int = 20, on_error: str = "empty") -> DataFrame:
-    """df with a column `out` of a model's replies to its column `prompt`, asked `batch` at a time.
+class Window:
+    """Calls in flight at once, at most `size`, whose results come in the order of what was asked.
 
-    A batch that fails is asked one by one; what fails then has an empty reply, or stops the job if on_error is "raise"."""
+    A call that fails is made again up to `retries` times, after a pause that doubles; one that takes longer than `timeout` seconds
+    is given up and counts as failed (its thread ends when it ends). What fails at last gives an Exception as its result."""
+
+    def __init__(self, size: int = 1, timeout: float | None = None, retries: int = 0, pause: float = 0.5):
+        self.size, self.timeout, self.retries, self.pause = max(1, size), timeout, retries, pause
+
+    def _start(self, call: Callable, item, wait: float) -> tuple[queue.SimpleQueue, float]:
+        answer: queue.SimpleQueue = queue.SimpleQueue()
+
+        def run() -> None:
+            time.sleep(wait)
+            try:
+                answer.put((True, call(item)))
+            except Exception as e:
+                answer.put((False, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        return answer, time.monotonic() + wait
+
+    def _finish(self, call: Callable, item, answer: queue.SimpleQueue, began: float):
+        for turn in range(self.retries + 1):
+            try:
+                left = None if self.timeout is None else max(0.0, began + self.timeout - time.monotonic())
+                fine, got = answer.get(timeout=left)
+            except queue.Empty:
+                fine, got = False, TimeoutError(f"no answer in {self.timeout} seconds")
+            if fine or turn == self.retries:
+                return got
+            answer, began = self._start(call, item, self.pause * 2**turn)
+
+    def map(self, call: Callable, items: Iterable) -> Iterator:
+        """What call(item) gives for each item, in order, or the Exception that it ends in."""
+        flying: deque = deque()
+        for item in items:
+            if len(flying) == self.size:
+                yield self._finish(call, *flying.popleft())
+            flying.append((item, *self._start(call, item, 0.0)))
+        while flying:
+            yield self._finish(call, *flying.popleft())
+
+
+def complete(df: DataFrame, prompt: str, out: str, factory: Callable[[], LanguageModel] = Extractive, batch: int = 20, on_error: str = "empty", window: Window | None = None) -> DataFrame:
+    """df with a column `out` of a model's replies to its column `prompt`, asked `batch` at a time, and as many such requests at
+    once in each task as the window lets fly. Tasks hold one window of replies, in the order of their rows.
+
+    A batch that fails is asked one by one; what fails then has an empty reply (or a null one, if on_error is "null"), or stops
+    the job if it is "raise". Rows with a null prompt aren't asked, and have a null reply."""
+    window = window or Window()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = factory()
         for frame in frames:
-            replies = []
-            for at in range(0, len(frame), batch):
-                part = frame[prompt].iloc[at : at + batch].tolist()
-                try:
-                    replies += own.complete(part)
-                except Exception:
+            told = frame[prompt].notna().to_numpy()
+            prompts = frame[prompt][told].tolist()
+            parts = [prompts[at : at + batch] for at in range(0, len(prompts), batch)]
+            replies: list = []
+            for part, got in zip(parts, window.map(own.complete, parts), strict=True):
+                if isinstance(got, Exception):
                     if on_error == "raise":
-                        raise
-                    replies += [_alone(own, p) for p in part]
-            yield frame.assign(**{out: [r.encode("utf-8", "ignore").decode() for r in replies]})
+                        raise got
+                    alone = window.map(own.complete, [[p] for p in part]) if len(part) > 1 else [got]
+                    got = [("" if on_error == "empty" else None) if isinstance(x, Exception) else x[0] for x in alone]
+                replies += got
+            column = np.full(len(frame), None, object)
+            column[told] = [r if r is None else r.encode("utf-8", "ignore").decode() for r in replies]
+            yield frame.assign(**{out: column})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, `{out}` string")
 
 
-def _alone(model: LanguageModel, prompt: str) -> str:
-    try:
-        return model.complete([prompt])[0]
-    except Exception:
-        return ""
-
-
 #: Characters of a chunk that a filter prompt and a definition prompt show, as in the reference.
 FILTER_CHARS, DEFINE_CHARS = 1000, 1500
 

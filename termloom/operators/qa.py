@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import n_words, repaired, snippet, split_words, strip
 from termloom.operators.chunk import capped_windows
-from termloom.operators.models import Extractive, LanguageModel, complete
+from termloom.operators.models import Extractive, LanguageModel, Window, complete
+from termloom.operators.replies import ReplyStore
 
 #: Words that an article and a chunk must have, tokens of a chunk, their overlap, the most in a chunk, and in a prompt.
 ARTICLE_WORDS, CHUNK_WORDS, CHUNK, CHUNK_OVERLAP, CHUNK_MOST, PROMPT_MOST = 100, 50, 500, 100, 7192, 8192
@@ -43,16 +44,18 @@ def answer(reply: Column) -> Column:
     return F.when(own["question"].isNotNull() & own["answer"].isNotNull(), own)
 
 
-def qa_rows(articles: DataFrame, factory: Callable[[], LanguageModel] = Extractive) -> DataFrame:
-    """source_article, chunk_index, question, answer, context. Replies that can't be read drop their row.
+def qa_rows(articles: DataFrame, factory: Callable[[], LanguageModel] = Extractive, store: ReplyStore | None = None, window: Window | None = None) -> DataFrame:
+    """source_article, chunk_index, question, answer, context. Replies that can't be read drop their row. With a store, prompts that
+    it has replies to aren't asked, here or in a later run, and equal ones once.
 
     The first pass is stored before the second reads it, so that no prompt is asked twice, even if executors are lost. Needs a
     checkpoint folder."""
     first = gated_chunks(articles).withColumn("prompt", F.concat(F.lit("task: questions\n---\n"), F.col("chunk")))
-    asked = complete(first.where(within_budget(F.col("prompt"))), "prompt", "reply", factory)
+    ask = store.complete if store else complete
+    asked = ask(first.where(within_budget(F.col("prompt"))), "prompt", "reply", factory, window=window)
     each = asked.select("title", "chunk_index", "chunk", F.explode(questions(F.col("reply"))).alias("question")).checkpoint()
     second = each.withColumn("prompt", F.concat(F.lit("task: answer\nquestion: "), F.col("question"), F.lit("\n---\n"), F.col("chunk")))
-    told = complete(second.where(within_budget(F.col("prompt"))), "prompt", "reply", factory).withColumn("a", answer(F.col("reply")))
+    told = ask(second.where(within_budget(F.col("prompt"))), "prompt", "reply", factory, window=window).withColumn("a", answer(F.col("reply")))
     return told.where("a IS NOT NULL").select(F.col("title").alias("source_article"), "chunk_index", "a.question", "a.answer", snippet(F.col("chunk")).alias("context"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from termloom.functions import text as T
 from termloom.operators import chunk, dictionary, graph, layout, match, nearby, qa
 from termloom.operators.contain import containing
 from termloom.operators.models import Extractive, complete, define_prompt, filter_prompt, parsed_definition, parsed_terms
+from termloom.operators.replies import ReplyStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -656,6 +658,28 @@ def qa_summary(spark, sf_dir):
     return qa.summary(qa_rows(spark, sf_dir))
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    with_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+@query("reply_store", """
+WITH p AS (SELECT p_partkey, p_name, p_partkey % 2 = 0 AS early FROM part WHERE p_name IS NOT NULL), f AS (SELECT p_name, bool_or(early) AS early FROM p GROUP BY 1)
+SELECT p_partkey, '{"questions": ["What is said about ' || string_split(p_name, ' ')[1] || '?"]}' AS reply, (SELECT count(*) FROM f WHERE early) AS asked_first, (SELECT count(*) FROM f WHERE NOT early) AS asked_then, 0 AS asked_again FROM p""")
+def reply_store(spark, sf_dir):
+    """Replies to a prompt for each part's name, asked for every second part first, then for all of them, and for all of them again:
+    with how many prompts were new to the store each time."""
+    store = ReplyStore(spark, shared_path(spark, "replies"))
+    rows = table(spark, sf_dir, "part").where("p_name IS NOT NULL").select("p_partkey", F.concat(F.lit("task: questions\n---\n"), F.col("p_name")).alias("prompt"))
+    stored = [0]
+    for part in (rows.where("p_partkey % 2 = 0"), rows, rows):
+        store.add(part)
+        stored.append(store.known().count())
+    asked = [F.lit(b - a).cast("long").alias(c) for a, b, c in zip(stored, stored[1:], ("asked_first", "asked_then", "asked_again"), strict=False)]
+    return store.complete(rows, "prompt", "reply").select("p_partkey", "reply", *asked)
+
+
 @query("unembedded_terms", "SELECT p_name AS term, coalesce(p_type, '') AS definition FROM part WHERE p_partkey % 3 = 0 OR p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
 def unembedded_terms(spark, sf_dir):
     """Parts without a vector of their number; every third one is taken to lack it."""
