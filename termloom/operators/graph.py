@@ -215,3 +215,47 @@ def connected(edges: DataFrame) -> DataFrame:
         before, links = now, _to_least(_to_least(links, True), False).checkpoint()
     roots = links.select(F.col("high").alias("node"), F.col("low").alias("component"))
     return own.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _turn(node: Column, round_: int) -> Column:
+    """Whether a node may change its label in a round: half of them may, by a hash, so that two neighbours don't swap for ever."""
+    return (F.ascii(F.substring(F.md5(node.cast("string")), 1, 1)) + round_) % 2 == 0
+
+
+def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """node and community (its least node) of undirected weighted edges (a, b, weight), by label propagation.
+
+    Each node begins with itself as its label. In a round, the nodes whose turn it is take the label that their neighbours have with
+    the most weight, ties to the least label; weights count in millionths, so that sums don't depend on their order. Edges to
+    the node itself and those without a positive weight have no say; repeated edges add up. Edges are stored once, and labels, a row
+    for each node, after each round; a hub's votes are summed before they are dealt out, and its label's join is one that AQE
+    splits. Stops when no label has changed in two rounds. Needs a checkpoint folder."""
+    own = edges.where("weight > 0").select("a", "b", F.round(F.col("weight") * 1_000_000).cast("long").alias("w"))
+    own = own.where("a <> b")
+    both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")).checkpoint()
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    labels, still = ends.select("node", F.col("node").alias("label")).checkpoint(), 0
+    for r in range(rounds):
+        asking = both.where(_turn(F.col("a"), r))
+        votes = asking.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best"))
+        told = labels.join(best, "node", "left").select("node", F.coalesce("best.label", "label").alias("label"), (F.coalesce("best.label", "label") != F.col("label")).alias("moved")).checkpoint()
+        still = 0 if told.where("moved").limit(1).count() else still + 1
+        labels = told.select("node", "label")
+        if still == 2:
+            break
+    least = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(least, "label").select("node", "community")
+
+
+def modularity(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """communities and modularity (how much more weight lies within them than their nodes' weights would have by chance) of
+    undirected edges (a, b, weight) and found (node, community)."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("community").alias(f"{c}_in"))
+    own = edges.where("weight > 0 AND a <> b").join(of("a"), "a").join(of("b"), "b")
+    inner = own.where("a_in = b_in").groupBy(F.col("a_in").alias("community")).agg(F.sum("weight").alias("within"))
+    sides = own.select(F.col("a_in").alias("community"), "weight").unionByName(own.select(F.col("b_in").alias("community"), "weight"))
+    total = own.agg(F.sum("weight").alias("total"))
+    each = sides.groupBy("community").agg(F.sum("weight").alias("side")).join(inner, "community", "left").join(F.broadcast(total))
+    part = F.coalesce("within", F.lit(0.0)) / F.col("total") - F.pow(F.col("side") / (2 * F.col("total")), 2)
+    return each.agg(F.count("*").alias("communities"), F.sum(part).alias("modularity"))

@@ -307,6 +307,26 @@ def graph_components(spark, sf_dir):
     return graph.connected(nearby.similar_pairs(vectors(spark, sf_dir), 0.35))
 
 
+ROUNDS = 8
+#: Label propagation, round by round: the weight of each label among a node's neighbours, then the best one if it is the node's turn.
+COMMUNITIES_SQL = f"""
+q AS (SELECT a.vec_id AS a, b.vec_id AS b, round({DOT_SQL} * 1000000)::BIGINT AS w FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND {DOT_SQL} >= 0.35),
+g AS (SELECT a, b, w FROM q UNION ALL SELECT b, a, w FROM q), l0 AS (SELECT DISTINCT a AS node, a AS label FROM g)""" + "".join(
+    f""",
+v{r} AS (SELECT g.a AS node, label, sum(w) AS w FROM g JOIN l{r} ON l{r}.node = g.b WHERE (ascii(substring(md5(g.a::VARCHAR), 1, 1)) + {r}) % 2 = 0 GROUP BY 1, 2),
+b{r} AS (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, label) AS n FROM v{r}) WHERE n = 1),
+l{r + 1} AS (SELECT l{r}.node, coalesce(b{r}.label, l{r}.label) AS label FROM l{r} LEFT JOIN b{r} USING (node))"""
+    for r in range(ROUNDS)
+)
+
+
+@query("graph_communities", f"WITH {COMMUNITIES_SQL} SELECT node, min(node) OVER (PARTITION BY label) AS community FROM l{ROUNDS}")
+def graph_communities(spark, sf_dir):
+    with_checkpoints(spark)
+    pairs = nearby.similar_pairs(vectors(spark, sf_dir), 0.35).withColumnRenamed("similarity", "weight")
+    return graph.communities(pairs, ROUNDS)
+
+
 @query("optional_neighbours", f"""
 WITH {EDGES_SQL}
 SELECT vec_id AS id, coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT DISTINCT source AS x FROM e WHERE target = vec_id AND source < vec_id)), '') AS before,
