@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
-from termloom.operators import chunk, dictionary, graph, layout, match, nearby, qa
+from termloom.operators import chunk, dictionary, graph, layout, match, nearby, qa, subword
 from termloom.operators.contain import containing
 from termloom.operators.models import Extractive, complete, define_prompt, filter_prompt, parsed_definition, parsed_terms
 from termloom.operators.replies import ReplyStore
@@ -684,6 +684,41 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: A small vocabulary: the first two and three letters of all words of the parts' types and names, and blanks. Names are cut from the
+#: left, by the longest piece that fits.
+SUBWORD_SQL = """
+RECURSIVE w AS (SELECT DISTINCT unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part), v AS (SELECT DISTINCT left(w, n) AS token FROM w, (SELECT unnest([2, 3]) AS n) WHERE w <> '' UNION SELECT ' '),
+s AS (SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_name AS text FROM part),
+c AS (SELECT id, text, 1 AS pos, 0 AS i, coalesce((SELECT max(length(token)) FROM v WHERE starts_with(text, token)), 1) AS n FROM s WHERE text <> ''
+  UNION ALL SELECT id, text, pos + n, i + 1, coalesce((SELECT max(length(token)) FROM v WHERE starts_with(substring(text, pos + n), token)), 1) FROM c WHERE pos + n <= length(text)),
+t AS (SELECT id, i, pos, substring(text, pos, n) AS piece FROM c), m AS (SELECT id, count(*) AS tokens FROM t GROUP BY 1)"""
+
+
+def subword_pieces(spark: SparkSession, sf_dir: str) -> subword.Pieces:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("w")).where("w <> ''").distinct()
+    tokens = words.select(F.explode(F.array(F.substring("w", 1, 2), F.substring("w", 1, 3))).alias("token"))
+    return subword.Pieces.of(tokens.unionByName(spark.range(1).select(F.lit(" ").alias("token"))))
+
+
+def subword_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_name").alias("text"))
+
+
+@query("subword_windows", f"""
+WITH {SUBWORD_SQL}, k AS (SELECT id, tokens, unnest(range(0, tokens, 6)) AS first FROM m)
+SELECT k.id, (first // 6)::INT AS chunk_id, first::INT AS start_token, least(first + 8, tokens)::INT AS end_token, min(pos - 1)::INT AS start_char, max(pos - 1 + length(piece))::INT AS end_char, string_agg(piece, '' ORDER BY i) AS text
+FROM k JOIN t ON t.id = k.id AND i >= first AND i < first + 8 GROUP BY ALL""")
+def subword_windows(spark, sf_dir):
+    return subword.token_windows(subword_texts(spark, sf_dir), "text", subword_pieces(spark, sf_dir), 8, 2)
+
+
+@query("subword_budget", f"WITH {SUBWORD_SQL} SELECT id, tokens::INT AS n_tokens FROM m WHERE tokens <= 18")
+def subword_budget(spark, sf_dir):
+    """Texts of 18 tokens at most, with their number."""
+    pieces = subword_pieces(spark, sf_dir)
+    return subword.gated_prompts(subword_texts(spark, sf_dir), "text", pieces, 18).select("id", subword.n_tokens(pieces)(F.col("text")).alias("n_tokens"))
+
+
 @query("reply_store", """
 WITH p AS (SELECT p_partkey, p_name, p_partkey % 2 = 0 AS early FROM part WHERE p_name IS NOT NULL), f AS (SELECT p_name, bool_or(early) AS early FROM p GROUP BY 1)
 SELECT p_partkey, '{"questions": ["What is said about ' || string_split(p_name, ' ')[1] || '?"]}' AS reply, (SELECT count(*) FROM f WHERE early) AS asked_first, (SELECT count(*) FROM f WHERE NOT early) AS asked_then, 0 AS asked_again FROM p""")
