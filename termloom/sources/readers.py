@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import after_first_line, first_line_title, squeeze_blank_lines
+from termloom.sources.npz import NpzSource
 
 
 def text_file(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +52,11 @@ def graph(spark: SparkSession, nodes: str, edges: str | None = None) -> tuple[Da
 
 
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """term and embedding of a file that maps each term to its vector."""
+    """term and embedding of an npz file (or a folder of them) with arrays of terms and embeddings, or of a JSON file that maps each
+    term to its vector."""
+    if path.endswith(".npz"):
+        spark.dataSource.register(NpzSource)
+        return spark.read.format("npz").load(path).select(F.col("terms").alias("term"), F.col("embeddings").alias("embedding"))
     return string_map(spark, path, "term", "embedding", "array<double>")
 
 

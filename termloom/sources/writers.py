@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.sources.npz import NpzSource
+
 
 def dictionary(df: DataFrame, path: str) -> None:
     df.select("term", "definition").write.mode("overwrite").parquet(path)
@@ -18,6 +20,13 @@ def graph(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None, path
         embeddings.write.mode("overwrite").parquet(f"{path}/embeddings")
 
 
+def embeddings_npz(embeddings: DataFrame, path: str) -> None:
+    """Embeddings (term, embedding) as arrays of terms and embeddings, in a folder of npz files (named *.npz for the reader)."""
+    embeddings.sparkSession.dataSource.register(NpzSource)
+    own = embeddings.where("term IS NOT NULL AND embedding IS NOT NULL").select(F.col("term").alias("terms"), F.col("embedding").cast("array<double>").alias("embeddings"))
+    own.write.format("npz").mode("overwrite").save(path)
+
+
 def metadata(dictionary_df: DataFrame, tokenizer: str, technical_terms: DataFrame, path: str, **others: DataFrame) -> None:
     """A row with the tokenizer and the numbers of terms, and of nodes, edges, matches or whatever else is given, as JSON."""
     counts = dictionary_df.agg(F.count("*").alias("total_terms")).join(F.broadcast(technical_terms.agg(F.count("*").alias("technical_terms_loaded"))))
