@@ -528,8 +528,9 @@ def term_definitions(spark, sf_dir):
     held = chunks.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("surface"))
     found = match.full_matches(held, all_terms(surfaces(spark, sf_dir)), keys).groupBy(*keys).agg(F.sort_array(F.collect_set("surface")).alias("candidates"))
     asked = complete(chunks.join(found, keys).withColumn("prompt", filter_prompt(F.col("candidates"), F.col("text"))).select(*keys, "text", "prompt"), "prompt", "reply", Extractive)
-    each = asked.select(*keys, "text", F.explode(parsed_terms(F.col("reply"))).alias("term"))
-    told = complete(each.withColumn("prompt", define_prompt(F.col("term"), F.lower("text"))).select(*keys, "prompt"), "prompt", "reply", Extractive)
+    lowered = asked.select(*keys, F.lower("text").alias("text"), parsed_terms(F.col("reply")).alias("terms"))
+    each = lowered.select(*keys, F.explode(F.transform("terms", lambda t: define_prompt(t, F.col("text")))).alias("prompt"))  # contexts alone leave the chunk's row
+    told = complete(each, "prompt", "reply", Extractive)
     rows = told.select(*keys, parsed_definition(F.col("reply")).alias("d")).where("d IS NOT NULL").select(*keys, "d.term", "d.definition")
     return dictionary.merge_last(rows.withColumn("says", F.col("definition") != ""), "term", "definition", "says", *keys)
 

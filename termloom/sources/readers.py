@@ -14,10 +14,20 @@ def text_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
+def _markdown(spark: SparkSession, folder: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return found.select(F.col("_metadata.file_name").alias("filename"), F.col("content").alias("raw"), F.is_valid_utf8(F.col("content").cast("string")).alias("fine"))
+
+
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
-    """filename and content of the *.md files of a folder, not of those below it. Order by filename for a fixed order."""
-    found = spark.read.option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
-    return found.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+    """filename and content of the *.md files of a folder, not of those below it, that are UTF-8; unreadable_files() has the
+    others, and a file without any bytes gives no row. Order by filename for a fixed order."""
+    return _markdown(spark, folder).where("fine").select("filename", F.regexp_replace(F.col("raw").cast("string"), "\r\n?", "\n").alias("content"))
+
+
+def unreadable_files(spark: SparkSession, folder: str) -> DataFrame:
+    """filename and n_bytes of the *.md files of a folder that markdown_files() leaves out."""
+    return _markdown(spark, folder).where("NOT fine").select("filename", F.length("raw").alias("n_bytes"))
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,10 +35,12 @@ def metadata(dictionary_df: DataFrame, tokenizer: str, technical_terms: DataFram
     counts.select(F.lit(tokenizer).alias("tokenizer"), "*").write.mode("overwrite").json(path)
 
 
-def qa_csv(df: DataFrame, path: str) -> None:
-    """CSV files with headers; a mark of the byte order, which some spreadsheets want, stands before the first column's name."""
+def qa_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A CSV file with a header, for spreadsheets: one task writes it, and a mark of the byte order stands before the first column's
+    name. Without one_file, a file for each task, without such marks."""
     first, *rest = df.columns
-    df.select(F.col(first).alias(f"﻿{first}"), *rest).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    own = df.coalesce(1).select(F.col(first).alias(f"\ufeff{first}"), *rest) if one_file else df
+    own.write.mode("overwrite").option("escape", '"').csv(path, header=True)
 
 
 def blocks_json(df: DataFrame, path: str) -> None:
