@@ -486,7 +486,25 @@ def render_toc(spark, sf_dir):
     return layout.render_toc(layout.ordered_blocks(paged_blocks(spark, sf_dir)))
 
 
-@query("align_pages")
+def _norm_sql(text: str) -> str:
+    return f"regexp_replace(lower(regexp_replace(regexp_replace({text}, '{WS}+', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g')), '[•\\-–—*_#]', '', 'g')"
+
+
+#: The pages that hold each item, and a fold over a document's items from one hit to the next, round to the first page.
+ALIGN_SQL = f"""{LINES_SQL},
+pg AS (SELECT conv_id AS doc, (1 + turn // 4)::INT AS page, {_norm_sql("string_agg(text, chr(10) ORDER BY turn)")} AS pn FROM conversations GROUP BY 1, 2),
+nm AS (SELECT doc, pos, {_norm_sql("text")} AS nm FROM items),
+hw AS (SELECT nm.doc, pos, page, nm, pn, list_distinct(regexp_extract_all(nm, '{NOT_WS}+')) AS words, regexp_extract_all(pn, '{NOT_WS}+') AS theirs FROM nm JOIN pg ON pg.doc = nm.doc),
+hh AS (SELECT doc, pos, page, contains(pn, nm) OR len(words) > 0 AND len(list_intersect(words, theirs)) / len(words) >= CASE WHEN length(nm) < 20 THEN 0.8 ELSE 0.6 END AS hit FROM hw),
+hl AS (SELECT doc, pos, coalesce(list(page ORDER BY page) FILTER (hit), []::INT[]) AS h, min(page) AS least FROM hh GROUP BY 1, 2),
+wk AS (SELECT doc, min(least) AS least, list(pos ORDER BY pos) AS places, list_reduce(list_prepend({{'h': []::INT[], 'last': 0, 'found': []::INT[]}}, list({{'h': h, 'last': 0, 'found': []::INT[]}} ORDER BY pos)),
+  lambda a, y: {{'h': []::INT[], 'last': CASE WHEN len(y.h) = 0 THEN a.last ELSE coalesce(list_min(list_filter(y.h, lambda k: k >= a.last)), y.h[1]) END,
+    'found': list_append(a.found, CASE WHEN len(y.h) = 0 THEN a.last ELSE coalesce(list_min(list_filter(y.h, lambda k: k >= a.last)), y.h[1]) END)}}).found AS found FROM hl GROUP BY doc),
+wu AS (SELECT doc, least, unnest(places) AS pos, unnest(found) AS found FROM wk),
+aligned AS (SELECT doc, pos, (max(CASE WHEN found = 0 THEN least ELSE found END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT AS page FROM wu)"""
+
+
+@query("align_pages", f"WITH {ALIGN_SQL} SELECT doc, pos, page FROM aligned")
 def align_pages(spark, sf_dir):
     """Items of each conversation's markdown, on pages of four turns each."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), (1 + F.floor(F.col("turn") / 4)).cast("int").alias("page"), "turn", "text")
@@ -564,7 +582,7 @@ def footer_blocks(spark, sf_dir):
     return layout.blocks(plain).select("doc", "page", "content")
 
 
-@query("extract_document")
+@query("extract_document", f"WITH {ALIGN_SQL}, p AS (SELECT items.*, page FROM items JOIN aligned USING (doc, pos)), {BLOCKS_SQL.partition('AS page FROM items),')[2].lstrip()} SELECT * FROM blocks")
 def extract_document(spark, sf_dir):
     """Each conversation as a document whose pages hold four turns each."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), (1 + F.floor(F.col("turn") / 4)).cast("int").alias("page"), "turn", "text")
