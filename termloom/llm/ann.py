@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is stored as a sum of codewords, one from each of several codebooks of full-dimensional vectors. Each codebook is
-fitted to what those before it leave, and all are then refitted together; a vector's codes are found by beam search. A query's
-inner products with all codewords make a lookup table, in which a stored vector's score is the sum of its codes' entries
-(with the stored norm of the sum, also its distance). The best of a shortlist by that score are ranked by exact values.
+fitted to what those before it leave, and all are then refitted, one after another; a vector's codes are found by beam
+search. A query's inner products with all codewords make a lookup table, in which a stored vector's score is the sum of its
+codes' entries (with the stored norm of the sum, also its distance). The best of a shortlist by that score are ranked by
+exact values.
 """
 
 from __future__ import annotations

@@ -47,3 +47,18 @@ def test_repeated_rows_and_no_rows(spark, folder, tmp_path):
     spark.createDataFrame([(1, "a b", "", ""), (1, "a b", "", "")], DOCS).write.parquet(f"{tmp_path}/more/documents.parquet")
     got = fingerprints.op4(spark, f"{tmp_path}/more").collect()
     assert len(got) == 2 and got[0] == got[1] and got[0].near_next == 1.0
+
+
+def test_likenesses_of_the_query_follow_exact_similarities(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    order = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in fingerprints.op4(spark, sf).collect()}
+    off = []
+    for i, (doc_id, text) in enumerate(order):
+        after, half = order[(i + 1) % len(order)][1], len(text) // 2
+        if text.split() and after.split():
+            for other, like in ((text[: len(text) - half] + after[:half], got[doc_id].near_edited), (after, got[doc_id].near_next)):
+                off.append(like - (exact := jaccard(text, other)))
+                assert like == 1.0 or exact < 1.0
+    assert len(off) > 300 and abs(sum(off) / len(off)) < 0.02 and sum(x * x for x in off) / len(off) < 0.01 and max(map(abs, off)) < 0.4
