@@ -163,10 +163,16 @@ def candidates(terms: DataFrame, asked: DataFrame) -> DataFrame:
 RANKED = 50_000
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder, where the session has one; else as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def fuzzy_ranked(terms: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """query_id, ord, similarity and rank of the n terms (ord, term) with the largest ratios to each row of queries (query_id,
-    query), ties to smaller ord: exact. Queries for which grams give no first guess meet every term."""
-    asked = first_guesses(terms, queries, n)
+    query), ties to smaller ord: exact. Queries for which grams give no first guess meet every term. With a checkpoint folder, the
+    first guesses are made once."""
+    asked = cut(first_guesses(terms, queries, n))
     met = candidates(terms, asked).join(terms.select("ord", "term"), "ord").join(asked, "query_id")
     left = met.where(letters_bound(F.col("query"), F.col("term")) >= F.col("least") - SLACK)
     scored = left.select("query_id", "ord", gestalt_ratio(F.col("query"), F.col("term")).alias("similarity"))

@@ -800,6 +800,7 @@ def dict_lookup_exact(spark, sf_dir):
 
 @query("fuzzy_lookup")
 def fuzzy_lookup(spark, sf_dir):
+    with_checkpoints(spark)
     return dictionary.dict_lookup_each(ordered_nodes(spark, sf_dir), name_queries(spark, sf_dir))
 
 
@@ -813,7 +814,8 @@ def full_query(spark, sf_dir):
     hits = dictionary.dict_lookup_each(ordered_nodes(spark, sf_dir), queries, 5).join(queries, "query_id")
     # As the reference does, the graph is asked with the query as it was given, the dictionary in lower case.
     seed = F.when(F.col("exact_match"), F.col("query")).otherwise(F.col("term")).alias("seed")
-    hits = hits.select("query_id", "exact_match", "rank", "similarity", seed).persist()
+    with_checkpoints(spark)
+    hits = dictionary.cut(hits.select("query_id", "exact_match", "rank", "similarity", seed))
     reached, edges = graph.subgraph(nodes, graph.parent_edges(nodes), hits.select("seed").distinct())
     of_nodes = hits.join(reached, "seed", "left").select(*hits.columns, F.lit("node").alias("kind"), "term", "depth", "definition")
     return of_nodes.unionByName(hits.join(edges, "seed").select(*hits.columns, F.lit("edge").alias("kind"), F.col("source").alias("term"), "target", "type", "weight"), allowMissingColumns=True)
