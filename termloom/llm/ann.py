@@ -11,18 +11,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ordered, written
+from termloom.llm.common import written
 
 #: Codebooks, codewords in each, beam width, rows that the codebooks are fitted on at most, and length of a query's shortlist.
 BOOKS, WORDS, BEAM, FIT_ROWS, SHORTLIST = 24, 256, 4, 20_000, 150
-#: Queries handled together, at least and at most, rows in a stored block of codes, and rows that one group of blocks has.
-FEWEST_QUERIES, MOST_QUERIES, CODE_BLOCK, GROUP_ROWS = 256, 2048, 8192, 1 << 20
+#: Queries handled together, queries that one copy of a group serves, rows in a stored block of codes, and rows of a group of blocks.
+QUERIES_AT_ONCE, SLICE_QUERIES, CODE_BLOCK, GROUP_ROWS = 1024, 1 << 15, 8192, 1 << 20
 
 
 @dataclass
@@ -135,33 +136,26 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
 def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: int = SHORTLIST, by: str = "dot") -> DataFrame:
     """query_id and vec_id of the `size` stored vectors with the best scores for each query, itself aside; ties to smaller ids.
 
-    queries (vec_id, embedding) go in blocks, the larger the more there are up to 2048, and the stored codes in groups of a
-    million or so: a task holds one block of queries, its tables and one group, and the groups' shortlists are merged by score.
-    by: "dot", or "l2" for the least distance, which takes the stored norms. Every block of queries meets all codes: among
-    vectors of all directions alike no part of them can be left out.
+    The stored codes lie in groups of a million or so, and each query goes to every group: queries are the small side. A task holds
+    one group's codes, which come first in its partition, sorted so by the shuffle, and the queries stream past them, some
+    QUERIES_AT_ONCE with their tables at a time; the groups' shortlists are merged by score. A group is copied only as often as its
+    queries are more than SLICE_QUERIES, or as tasks would stand idle. by: "dot", or "l2" for the least distance, which takes
+    the stored norms. Every query meets all codes: among vectors of all directions alike no part of them can be left out.
     """
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(books)
-    n_queries = queries.count()
-    together = min(MOST_QUERIES, max(FEWEST_QUERIES, n_queries // (2 * spark.sparkContext.defaultParallelism)))
-    numbered = ordered(queries.select("vec_id", "embedding"), [F.col("vec_id")]).withColumn("block", F.floor(F.col("_rn") / together).cast("int"))
-    n_rows = blocks.agg(F.sum("n")).first()[0] or 0
-    groups = -(-n_rows // GROUP_ROWS) or 1
-    asked = numbered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "group", "vec_id", "embedding")
-    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_queries // together) - 1)))))
-
-    def scan(key: tuple, mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        own = shared.value
-        if not len(mine) or not len(stored):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
-        ask = mine["vec_id"].to_numpy(np.int64)
+    groups = -(-(blocks.agg(F.sum("n")).first()[0] or 0) // GROUP_ROWS) or 1
+    slices = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups), -(-queries.count() // SLICE_QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    stored = blocks.select(F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int").alias("group"), each(slices).alias("slice"), F.lit(0).alias("kind"), "first", "ids", "codes", "norms", *none("array<double>", "embedding"))
+    asked = queries.select(each(groups).alias("group"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), F.col("vec_id").alias("first"), *none("binary", "ids", "codes", "norms"), "embedding")
+
+    def shortlisted(own: Codebooks, group: list[tuple[np.ndarray, np.ndarray, np.ndarray]], mine: pd.DataFrame) -> pd.DataFrame:
+        ask = mine["first"].to_numpy(np.int64)
         table = own.table(np.stack(mine["embedding"].to_numpy()).astype(np.float32))
         kept = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(ask)
-        for row in stored.itertuples():
-            ids = np.frombuffer(row.ids, np.int64)
-            codes = np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1)
-            norms = np.frombuffer(row.norms, np.float32)
+        for ids, codes, norms in group:
             for at in range(0, len(ids), 1024):
                 part = codes[at : at + 1024]
                 score = table[0][part[:, 0]]
@@ -179,7 +173,26 @@ def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: in
                         kept[q] = both[top], names_of[top]
         return pd.DataFrame({"query_id": np.repeat(ask, [len(x) for x, _ in kept]), "vec_id": np.concatenate([x for _, x in kept]), "near": np.concatenate([x for x, _ in kept])})
 
-    found = asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(scan, "query_id long, vec_id long, near float")
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, key, group = shared.value, None, []
+        for frame in frames:
+            change = np.flatnonzero((frame[["group", "slice", "kind"]].diff().fillna(0) != 0).any(axis=1))
+            for low, high in pairwise([0, *change.tolist(), len(frame)]):
+                part = frame.iloc[low:high]
+                if not len(part):
+                    continue
+                if (now := (part["group"].iloc[0], part["slice"].iloc[0])) != key:
+                    key, group = now, []
+                if part["kind"].iloc[0] == 0:
+                    for ids, codes, norms in zip(part["ids"], part["codes"], part["norms"], strict=True):
+                        numbers = np.frombuffer(ids, np.int64)
+                        group.append((numbers, np.frombuffer(codes, np.uint8).reshape(len(numbers), -1), np.frombuffer(norms, np.float32)))
+                elif group:
+                    for at in range(0, len(part), QUERIES_AT_ONCE):
+                        yield shortlisted(own, group, part.iloc[at : at + QUERIES_AT_ONCE])
+
+    together = stored.unionByName(asked).repartition("group", "slice").sortWithinPartitions("group", "slice", "kind", "first")
+    found = together.mapInPandas(scan, "query_id long, vec_id long, near float")
     if groups > 1:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
         found = found.withColumn("_place", place).where(F.col("_place") <= size)

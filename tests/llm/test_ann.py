@@ -65,8 +65,10 @@ def test_groups_of_codes_merge(spark, monkeypatch):
     v = ann.usable(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
     books = ann.codebooks(v)
     found = []
-    for rows in (1 << 20, 20):
+    for rows, slices, at_once in ((1 << 20, 1 << 15, 1024), (20, 1 << 15, 1024), (60, 3, 2)):
         monkeypatch.setattr(ann, "GROUP_ROWS", rows)
         monkeypatch.setattr(ann, "CODE_BLOCK", 16)
+        monkeypatch.setattr(ann, "SLICE_QUERIES", slices)
+        monkeypatch.setattr(ann, "QUERIES_AT_ONCE", at_once)
         found.append(sorted(map(tuple, ann.search(v, v.where("vec_id % 20 = 0"), 5, 12, books).select("query_id", "rank", "vec_id").collect())))
-    assert found[0] == found[1] and len(found[0]) == 5 * len({q for q, _, _ in found[0]})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5 * len({q for q, _, _ in found[0]})
