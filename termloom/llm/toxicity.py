@@ -21,7 +21,7 @@ from termloom.llm.common import pieces, span_hashes, trim
 
 #: Labelled rows used at most, about; features at most, documents of the sample that one has at least, and its likelihood ratio
 #: (natural logarithm; what says less adds noise to long texts); the score from which a text is predicted toxic.
-LABELLED, FEATURES, FEWEST, EVIDENCE, THRESHOLD = 20_000, 8192, 4, 14.0, 0.5
+LABELLED, FEATURES, FEWEST, EVIDENCE, THRESHOLD = 20_000, 2048, 4, 8.0, 0.5
 #: Bits of a bucket, bytes of the words' beginnings, and terms that are hashed at once.
 BITS, BEGINNINGS = 21, (3, 4, 5, 6, 8)
 #: Latent dimensions, passes, texts of a step, step size, what holds weights and latent vectors down, and the part of a text's
