@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import mix, pieces
+from termloom.llm.common import mix, pieces, trim
 
 SPACE_MARK = "▁"
 #: Types of a piece and the penalty of an uncovered character under the least score: fixed values of the model format.
@@ -54,7 +54,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Pieces:
     """A model file's pieces, ready for the search. Models that change characters before they encode aren't supported."""
 
-    def __init__(self, path: str, most_known: int = 250_000):
+    def __init__(self, path: str, most_known: int = 100_000):
         self.text, self.score, self.kind = [], [], []
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
@@ -255,6 +255,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 chars = pa.array([len(t) for t in texts[at]], pa.int64())
                 back = pa.array([own.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at.start, at.stop - at.start), chars, pa.array(size), lists, back], names=["doc_id", "n_chars", "n_tokens", "ids", "decoded"])
+            trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_chars long, n_tokens long, ids array<int>, decoded string")
