@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from termloom.llm import ann
 
@@ -72,3 +73,45 @@ def test_groups_of_codes_merge(spark, monkeypatch):
         monkeypatch.setattr(ann, "QUERIES_AT_ONCE", at_once)
         found.append(sorted(map(tuple, ann.search(v, v.where("vec_id % 20 = 0"), 5, 12, books).select("query_id", "rank", "vec_id").collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == 5 * len({q for q, _, _ in found[0]})
+
+
+def other_rows(kind, n=2400, d=24):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(5, d))
+    x = rng.normal(size=(n, d))
+    return {
+        "clusters": lambda: centres[rng.integers(0, 5, n)] + 0.01 * x,
+        "near copies": lambda: np.where(np.arange(n)[:, None] % 3 > 0, centres[0] + 1e-4 * x, x),
+        "copies": lambda: np.where(np.arange(n)[:, None] % 3 > 0, centres[0], x),
+        "lengths": lambda: x * np.exp(4 * rng.normal(size=n))[:, None],
+        "far larger": lambda: x * np.where(np.arange(n) % 90 == 1, 1e30, 1e-3)[:, None],
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["clusters", "near copies", "copies", "lengths", "far larger"])
+def test_all_nearest_are_found_on_other_rows(spark, folder, kind, monkeypatch):
+    monkeypatch.setattr(ann, "CODE_BLOCK", 300)
+    rows = [(i, [float(c) for c in v], 1, 9, 9) for i, v in enumerate(other_rows(kind).astype(np.float32))]
+    vectors = ann.usable(spark.read.parquet(folder(embeddings=(rows, SCHEMA)) + "/embeddings.parquet")).cache()
+    # Codebooks of rows of another kind, a few codewords each: they decide on the work, not on the result.
+    books = ann.fit(np.random.default_rng(4).normal(size=(300, 24)), books=3, words=16)
+    got = {}
+    for group in (1 << 18, 700):
+        monkeypatch.setattr(ann, "GROUP_ROWS", group)
+        got[group] = {}
+        for r in ann.search(vectors, vectors.where("vec_id % 20 = 0"), books=books).orderBy("query_id", "rank").collect():
+            got[group].setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got[1 << 18] == got[700] == nearest([r[:2] for r in rows])
+
+
+def test_least_distances(spark):
+    x = other_rows("lengths", 600, 8)
+    vectors = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).cache()
+    books = ann.codebooks(vectors, books=4, words=16)
+    found = {}
+    for r in ann.shortlists(vectors.where("vec_id % 20 = 0"), ann.index(vectors, books), books, 5, by="l2").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 600, 20):
+        far = ((x - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        assert found[q] >= set(np.argsort(far)[:5].tolist()) and len(found[q]) < 20
