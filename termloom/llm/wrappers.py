@@ -3,9 +3,10 @@
 A page is a stream of structural tags and texts. Neighbouring equal blocks fold into repeated groups, and the wrapper of a host
 grows by aligning it with one page's stream after another: what both have is kept, what one of them lacks becomes optional,
 texts that differ become slots. Tasks infer partial wrappers from the pages they read, and those are aligned in turn, so a
-host's pages never have to meet. The wrapper then says which of its slots hold the article, and reads them off every page: those
-that differ from page to page, in the element that has most of the host's text of that kind. What a page marks as its article
-counts where the wrapper can't tell: on hosts of one or two pages, and on pages that it doesn't match.
+host's pages never have to meet. All pages are then read by it to count, over the whole host, how many different ones have each
+slot's text. The wrapper so says which of its slots hold the article, and reads them off every page: those that differ from page
+to page, in the element that has most of the host's text of that kind. What a page marks as its article counts where the
+wrapper can't tell: on hosts of one or two pages, and on pages that it doesn't match.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +38,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|footer|sidebar|aside|widget|cookies?|consent|notices?|alert|popup|modal|comments?|replies|disqus|share|social|related|recommend\w*|newsletter|subscribe|login|search|pagination|pager|navigation|contentinfo|complementary)(?:$|[\s_-])", re.I)
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:main|article-?body|entry-?content|post-?content|article-?content|story-?body)(?:$|[\s_-])", re.I)
 LONGEST_BLOCK, BROADCAST_BYTES, SALTS = 12, 32 << 20, 64
-#: A text is a host's own, not a page's, if this part of the host's different pages have it, and there are so many at least;
-#: the part is taken over the pages with the least hashes, all of them up to SAMPLED. Tokens that a task holds before aligning.
+#: A text is a host's own, not a page's, if this part of the host's different pages have it, and there are so many at least: of all
+#: that counted() is given; an Inference by itself keeps those with the least hashes alone, up to SAMPLED. Tokens that a task holds
+#: before aligning.
 NEARLY_ALL, FEWEST, SAMPLED, HELD_TOKENS = 0.9, 3, 64, 200_000
 #: The part of a host's changing text that the article's element has at least; cells of a table that an alignment fills at once.
 MOST_TEXT, TABLE_CELLS = 0.8, 1 << 14
@@ -154,8 +156,8 @@ def stream(page: str | None) -> list[tuple]:
     return out
 
 
-# A wrapper is a list of nodes [kind, ...]: ["t", symbol, optional], ["x", zone, text or None, optional, pages that had the text,
-# characters of all pages' texts there], ["+", nodes, optional].
+# A wrapper is a list of nodes [kind, ...]: ["t", symbol, optional], ["x", zone, text or None, optional, pages that had the text or
+# how many did, characters of all pages' texts there], ["+", nodes, optional].
 
 
 def _shape(node: list) -> tuple:
@@ -299,12 +301,13 @@ def _limit(nodes: list[list], last: int) -> None:
 
 
 class Inference:
-    """A host's wrapper as pages come: `nodes`, and `pages`, a sample of its different pages that copies don't change.
+    """A host's wrapper as pages come: `nodes`, and `pages`, a sample of its different pages that copies don't change; without
+    `sampled` no pages, for counted() to count all.
 
     Pages of one shape are held together, each compared with those before it text by text, until they are aligned."""
 
-    def __init__(self):
-        self.aligned, self.pages, self.groups = None, [], set()
+    def __init__(self, sampled: bool = True):
+        self.aligned, self.pages, self.groups, self.sampled = None, [], set(), sampled
         self.held: dict[tuple, tuple[list, list, set]] = {}
 
     @property
@@ -320,7 +323,7 @@ class Inference:
 
     def add(self, tokens: list[tuple]) -> int:
         """How many tokens more are held."""
-        page, shape = _page(tokens), tuple(t[:2] for t in tokens)
+        page, shape = _page(tokens) if self.sampled else None, tuple(t[:2] for t in tokens)
         texts, chars, pages = self.held.get(shape) or (None, None, set())
         if page is not None:
             pages.add(page)
@@ -357,24 +360,65 @@ class Inference:
         return json.dumps([self.pages, self.aligned], separators=(",", ":"))
 
 
+def slots(nodes: list[list]) -> Iterator[list]:
+    """A wrapper's slots, in order."""
+    for x in nodes:
+        if x[0] == "x":
+            yield x
+        elif x[0] == "+":
+            yield from slots(x[1])
+
+
+def match(nodes: list[list], tokens: list[tuple], at: int, taken: list) -> int | None:
+    """The place after what nodes read from tokens[at:], adding (slot, text); None if they can't."""
+    for node in nodes:
+        if node[0] == "+":
+            times = 0
+            while (end := match(node[1], tokens, at, own := [])) is not None and end > at:
+                taken += own
+                at, times = end, times + 1
+            if not times and not _optional(node):
+                return None
+        elif at < len(tokens) and (tokens[at][0] == node[1] if node[0] == "t" else tokens[at][:2] == ("", node[1])):
+            if node[0] == "x":
+                taken.append((node, tokens[at][2]))
+            at += 1
+        elif not _optional(node):
+            return None
+    return at
+
+
+class Reader:
+    """Tells which of a wrapper's slots with one text a page has with it, by their numbers among its slots."""
+
+    def __init__(self, nodes: list[list]):
+        self.nodes = nodes
+        self.numbers = {id(x): i for i, x in enumerate(slots(nodes)) if x[2] is not None}
+        self.texts: dict[tuple, list[int]] = {}
+        for i, x in enumerate(slots(nodes)):
+            if x[2] is not None:
+                self.texts.setdefault((x[1], x[2]), []).append(i)
+
+    def __call__(self, tokens: list[tuple]) -> list[int]:
+        """As the wrapper matches the page; if it doesn't, all slots whose text the page has in their zone."""
+        taken: list = []
+        if match(self.nodes, tokens, 0, taken) == len(tokens):
+            return sorted({self.numbers[id(x)] for x, text in taken if x[2] == text})
+        return sorted({i for t in tokens if t[0] == "" for i in self.texts.get((t[1], t[2]), ())})
+
+
 class Extractor:
     """Reads a host's pages by its wrapper."""
 
     def __init__(self, n: int, nodes: list[list]):
         self.n, self.nodes = n, nodes
         self.article = self._article(nodes or [])
-        self.hosts = {tuple(x[1:3]): x for x in self._slots(nodes or []) if self.is_host_text(x, x[2])}
-
-    def _slots(self, nodes: list[list]) -> Iterator[list]:
-        for x in nodes:
-            if x[0] == "x":
-                yield x
-            elif x[0] == "+":
-                yield from self._slots(x[1])
+        self.hosts = {tuple(x[1:3]): x for x in slots(nodes or []) if self.is_host_text(x, x[2])}
 
     def is_host_text(self, slot: list, text: str) -> bool:
         """Whether a slot's text is the same on nearly all of the host's different pages, of which there have to be some."""
-        return text is not None and text == slot[2] and self.n >= FEWEST and len(slot[4]) >= NEARLY_ALL * self.n
+        having = slot[4] if isinstance(slot[4], int) else len(slot[4])
+        return text is not None and text == slot[2] and self.n >= FEWEST and having >= NEARLY_ALL * self.n
 
     def _article(self, nodes: list[list]) -> set[int]:
         """The slots (by identity) of the article, as the wrapper alone tells: of the innermost element that has MOST_TEXT of
@@ -419,29 +463,11 @@ class Extractor:
         tells = matched and self.n >= FEWEST or not marked
         return (slot[1] >= 0 and id(slot) in self.article if tells else slot[1] == 1) and not self.is_host_text(slot, text)
 
-    def _match(self, nodes: list[list], tokens: list[tuple], at: int, taken: list) -> int | None:
-        """The place after what nodes read from tokens[at:], adding (slot, text); None if they can't."""
-        for node in nodes:
-            if node[0] == "+":
-                times = 0
-                while (end := self._match(node[1], tokens, at, own := [])) is not None and end > at:
-                    taken += own
-                    at, times = end, times + 1
-                if not times and not _optional(node):
-                    return None
-            elif at < len(tokens) and (tokens[at][0] == node[1] if node[0] == "t" else tokens[at][:2] == ("", node[1])):
-                if node[0] == "x":
-                    taken.append((node, tokens[at][2]))
-                at += 1
-            elif not _optional(node):
-                return None
-        return at
-
     def text(self, page: str | None) -> str:
         tokens = stream(page)
         marked = any(t[:2] == ("", 1) for t in tokens)
         taken: list = []
-        if self._match(self.nodes, tokens, 0, taken) == len(tokens):
+        if match(self.nodes, tokens, 0, taken) == len(tokens):
             return " ".join(t for slot, t in taken if self.holds_article(slot, t, marked, True))
         # The wrapper's choices, made one at a time, didn't lead through: the page is its own wrapper, and texts are the host's if
         # one of its slots says so.
@@ -451,7 +477,7 @@ class Extractor:
     def read(self, tokens: list[tuple]) -> list[tuple[list, str]]:
         """(slot, text) of a page's texts by its own wrapper."""
         taken: list = []
-        self._match(self.nodes, tokens, 0, taken)
+        match(self.nodes, tokens, 0, taken)
         return taken
 
 
@@ -460,14 +486,14 @@ def host(url: Column) -> Column:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of every host of pages (url, html)."""
+    """host and wrapper (JSON) of every host of pages (url, html); which pages have a slot's text, counted() says."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         found: dict[str, Inference] = {}
         held = 0
         for batch in batches:
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                held += found.setdefault(name, Inference()).add(stream(page))
+                held += found.setdefault(name, Inference(sampled=False)).add(stream(page))
                 if held > HELD_TOKENS:
                     for x in found.values():
                         x.settle()
@@ -482,7 +508,7 @@ def infer(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x.dumps() for x in found.values()], pa.string())], names=["host", "wrapper"])
 
     def together(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Inference()
+        own = Inference(sampled=False)
         for batch in batches:
             for x in sorted(batch.column("wrapper").to_pylist()):
                 pages, nodes = json.loads(x)
@@ -494,29 +520,67 @@ def infer(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInArrow(together, "host string, wrapper string")
 
 
+def _known(pages: DataFrame, wrappers: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[str]]]:
+    """pages, and what gives the wrappers (as JSON) of a batch of them."""
+    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    if size > BROADCAST_BYTES:  # too many hosts to hold: each page gets its wrapper by a join
+        return pages.join(wrappers, "host", "left"), lambda batch: batch.column("wrapper").to_pylist()
+    known = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
+    return pages, lambda batch: [known.value.get(h) for h in batch.column("host").to_pylist()]
+
+
+def counted(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """wrappers (host, wrapper) with the numbers of the host's different pages, and of those with a slot's text, over all of pages
+    (host, html). A page has a text if one of its copies does."""
+    kept, given = _known(pages.select("host", "html"), wrappers)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, Reader] = {}
+        for batch in batches:
+            out: dict[tuple, None] = {}
+            if len(ready) > 2000:
+                ready = {}
+            for h, wrapper, page in zip(batch.column("host").to_pylist(), given(batch), batch.column("html").to_pylist(), strict=True):
+                if h not in ready:
+                    ready[h] = Reader(json.loads(wrapper)[1])
+                tokens = stream(page)
+                if (number := _page(tokens)) is not None:
+                    out[h, number, tuple(ready[h](tokens))] = None
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.list_(pa.int32())))], names=["host", "page", "slots"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for wrapper, numbers in zip(batch.column("wrapper").to_pylist(), batch.column("numbers").to_pylist(), strict=True):
+                nodes, having = json.loads(wrapper)[1], {x["slot"]: x["n"] for x in numbers or ()}
+                for i, x in enumerate(slots(nodes)):
+                    x[4] = having.get(i, 0)
+                out.append(json.dumps([having.get(-1, 0), nodes], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
+
+    found = kept.mapInArrow(read, "host string, page long, slots array<int>")
+    each = found.groupBy("host", "page").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("slots")))).alias("slots"))
+    alike = each.groupBy("host", "slots").count()  # pages of a host with the same slots
+    numbers = alike.withColumn("slot", F.explode(F.concat(F.array(F.lit(-1)), "slots"))).groupBy("host", "slot").agg(F.sum("count").alias("n"))
+    of_host = numbers.groupBy("host").agg(F.collect_list(F.struct("slot", "n")).alias("numbers"))
+    return wrappers.join(of_host, "host", "left").mapInArrow(fill, "host string, wrapper string")
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page of pages (page_id, url, html). Null or empty html gives an empty text; pages without
     a host in their URL are one host together; repeated rows are pages of their own."""
-    wrappers = written(infer(pages), "wrappers")
     kept = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    known = None
-    if size <= BROADCAST_BYTES:
-        known = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
-    else:  # too many hosts to hold: each page gets its wrapper by a join
-        kept = kept.join(wrappers, "host", "left")
+    kept, given = _known(kept, written(counted(kept, written(infer(pages), "wrappers")), "counted"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[str, Extractor] = {}
         for batch in batches:
-            names, texts = batch.column("host").to_pylist(), []
-            given = [known.value.get(h) for h in names] if known is not None else batch.column("wrapper").to_pylist()
+            texts = []
             if len(ready) > 2000:
                 ready = {}
-            for h, wrapper, page in zip(names, given, batch.column("html").to_pylist(), strict=True):
+            for h, wrapper, page in zip(batch.column("host").to_pylist(), given(batch), batch.column("html").to_pylist(), strict=True):
                 if h not in ready:
-                    sample, nodes = json.loads(wrapper)
-                    ready[h] = Extractor(len(sample), nodes)
+                    ready[h] = Extractor(*json.loads(wrapper))
                 texts.append(ready[h].text(page))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -122,6 +122,21 @@ def test_pages_without_marks_give_the_article(spark):
     assert len(long) > 20 and not wrong, (len(long), [(found[0][r.page_id][:300], plain(r.html)[:300]) for r in wrong[:2]], len(wrong))
 
 
+@pytest.mark.parametrize("held", [wrappers.BROADCAST_BYTES, 0])
+def test_shares_are_of_all_pages(spark, monkeypatch, held):
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", held)
+    shown = lambda i, head: page(f"T{i}", [f"a{i}"]).replace("<p>", "<h2>Same head</h2><p>" if head else "<p>")
+    number = lambda x: wrappers._page(wrappers.stream(x[1]))
+    few, many = wrappers.SAMPLED, 4 * wrappers.SAMPLED
+    made = [sorted(((i, shown(i, head)) for i in range(2000)), key=number) for head in (True, False)]
+    half = made[0][:many] + [x for x in made[1] if number(x) > number(made[0][few])][:many]  # the least hashes have it
+    nearly = made[1][: few // 4] + [x for x in made[0] if number(x) > number(made[1][few // 4])][:many]  # of them a quarter hasn't
+    rows = [(i, f"http://{h}/{i}", x) for h, pages in (("half", half), ("nearly", nearly)) for i, x in pages]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows + rows[::3], 5), "page_id long, url string, html string")
+    got = {(r.url, r.text) for r in wrappers.extracted(frame).collect()}
+    assert got == {(u, f"T{i} Same head a{i}" if "half" in u and "Same head" in x else f"T{i} a{i}") for i, u, x in rows}
+
+
 def test_constant_pages_first_and_others_later():
     same = ["<html><body><ul><li><a href=/>home</a></li></ul><div><h1>Report</h1><p>draft</p></div><div>imprint</div></body></html>"] * 3
     real = [same[0].replace("Report", f"Title {i}").replace("draft", f"Body {i} with words") for i in range(5)]
