@@ -4,8 +4,8 @@ A vector's direction is stored as a sum of codewords, one from each of several c
 length. Each codebook is fitted to what those before it leave, and all are then refitted, one after another; a vector's codes
 are found by beam search. A query's inner products with all codewords make a lookup table, in which a stored vector's score is
 the sum of its codes' entries (with its length, also its distance). How far the sum lies from the vector is stored too and
-bounds the score: what can be among the nearest is scored again with what the sum leaves, in 16 bits a component, and what still
-can be is ranked by exact values. So the nearest are found whatever rows the codebooks were fitted on; these decide on the work.
+bounds the score: what can be among the nearest by its bound is ranked by exact values, of the vectors that lie beside the codes.
+So the nearest are found whatever rows the codebooks were fitted on; these decide on the work.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from termloom.llm.common import written
 #: Codebooks, codewords in each, beam width, and rows that the codebooks are fitted on at most.
 BOOKS, WORDS, BEAM, FIT_ROWS = 24, 256, 4, 20_000
 #: Queries handled together, queries that one copy of a group serves, rows in a stored block of codes, and rows of a group of blocks.
-QUERIES_AT_ONCE, SLICE_QUERIES, CODE_BLOCK, GROUP_ROWS = 1024, 1 << 15, 8192, 1 << 18
-#: A stored block's arrays, their types and numbers for each row (0: one for each component, -1: one for each codebook): the codes,
-#: what they leave in steps, the step, the distances of the direction from the sum of codewords and from that sum with the steps.
-STORED = {"ids": (np.int64, 1), "lengths": (np.float64, 1), "codes": (np.uint8, -1), "fine": (np.int16, 0), "steps": (np.float32, 1), "far": (np.float32, 1), "near": (np.float32, 1)}
+QUERIES_AT_ONCE, SLICE_QUERIES, CODE_BLOCK, GROUP_ROWS = 1024, 1 << 15, 8192, 1 << 17
+#: A stored block's arrays, beside the codes and the vectors themselves, and their types: far is a direction's distance from the sum of
+#: codewords.
+STORED = {"ids": np.int64, "lengths": np.float64, "far": np.float32}
 
 
 @dataclass
@@ -102,9 +102,14 @@ def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / length[:, None], largest * length
 
 
-def least_of(scores: np.ndarray, k: int) -> float:
-    """The k-th largest score; of fewer, none."""
-    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties to the smaller id, best first."""
+    if len(scores) > 4 * k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        keep = np.flatnonzero(scores >= least)
+    else:
+        keep = np.arange(len(scores))
+    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -119,14 +124,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size(x) == (length["n"] if length else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def without_crowds(vectors: DataFrame, most: int) -> DataFrame:
-    """vectors with the `most` least vec_ids of equal ones: of more, none can be among the first most - 1 of others."""
-    if vectors.groupBy(F.xxhash64("embedding")).count().where(F.col("count") > most).isEmpty():
-        return vectors
-    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))  # Spark limits it before the shuffle
-    return vectors.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
-
-
 def codebooks(vectors: DataFrame, rows: int = FIT_ROWS, **how: int) -> Codebooks:
     """Codebooks fitted on the driver to the directions of about `rows` of the vectors at most, those with the least hashes of vec_id."""
     part = min(1.0, rows / max(1, vectors.count()))
@@ -136,7 +133,7 @@ def codebooks(vectors: DataFrame, rows: int = FIT_ROWS, **how: int) -> Codebooks
 
 
 def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
-    """Blocks of codes: first vec_id, n, and the packed arrays of STORED."""
+    """Blocks of codes: first vec_id, n, and packed arrays of codes, vectors (in single precision, if that holds them) and STORED."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # of a size that parameters fix
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,28 +141,28 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), CODE_BLOCK):
                 part = frame.iloc[at : at + CODE_BLOCK].sort_values("vec_id")
-                x, lengths = directions(np.stack(part["embedding"].to_numpy()).astype(np.float64))
-                codes = np.concatenate([own.encode(x[i : i + 512]) for i in range(0, len(x), 512)])
-                rest = x - own.decode(codes)
-                steps = (np.abs(rest).max(1) / 32767).astype(np.float32)
-                steps[steps == 0] = 1
-                fine = np.clip(np.rint(rest / steps[:, None]), -32767, 32767).astype(np.int16)
-                far, near = (np.nextafter(np.sqrt((r**2).sum(1)).astype(np.float32), np.float32(np.inf)) for r in (rest, rest - fine * steps[:, None].astype(np.float64)))
-                arrays = dict(ids=part["vec_id"].to_numpy(), lengths=lengths, codes=codes, fine=fine, steps=steps, far=far, near=near)
-                yield pd.DataFrame({"first": arrays["ids"][:1], "n": [len(x)], **{c: [arrays[c].astype(kind).tobytes()] for c, (kind, _) in STORED.items()}})
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                unit, lengths = directions(x)
+                codes = np.concatenate([own.encode(unit[i : i + 512]) for i in range(0, len(x), 512)])
+                far = np.nextafter(np.sqrt(((unit - own.decode(codes)) ** 2).sum(1)).astype(np.float32), np.float32(np.inf))
+                with np.errstate(over="ignore"):
+                    short = x.astype(np.float32)
+                arrays = {"codes": codes, "vectors": short if (short == x).all() else x, "lengths": lengths, "far": far, "ids": part["vec_id"].to_numpy(np.int64)}
+                yield pd.DataFrame({"first": arrays["ids"][:1], "n": [len(x)], **{c: [v.tobytes()] for c, v in arrays.items()}})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(encode, f"first long, n int, {', '.join(f'{c} binary' for c in STORED)}")
+    return vectors.select("vec_id", "embedding").mapInPandas(encode, "first long, n int, codes binary, vectors binary, lengths binary, far binary, ids binary")
 
 
 def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: int, by: str = "dot") -> DataFrame:
-    """query_id and vec_id of all stored vectors that can be among the `size` best of a query, itself aside: those with a bound of the
-    score that isn't below the size-th largest score of which the query can be sure.
+    """query_id, vec_id and near of the `size` nearest stored vectors of each query, itself aside, ties to smaller ids: of those that
+    the bounds of their codes' scores don't rule out, near is the exact inner product, or, by="l2", what half the distance's
+    square lacks of half the query's.
 
-    The stored codes lie in groups of a quarter million or so, and each query goes to every group: queries are the small side. A task
+    The stored codes lie in groups of some hundred thousand, and each query goes to every group: queries are the small side. A task
     holds one group's codes, which come first in its partition, sorted so by the shuffle, and the queries stream past them, some
-    QUERIES_AT_ONCE with their tables at a time; the groups' shortlists are merged by bounds. A group is copied only as often as
-    its queries are more than SLICE_QUERIES, or as tasks would stand idle. by: "dot", or "l2" for the least distance, which takes
-    the stored lengths. Every query meets all codes: among vectors of all directions alike no part of them can be left out.
+    QUERIES_AT_ONCE with their tables at a time; the groups' shortlists are merged by score. A group is copied only as often as
+    its queries are more than SLICE_QUERIES, or as tasks would stand idle. Every query meets all codes: among vectors of all
+    directions alike no part of them can be left out.
     """
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(books)
@@ -173,14 +170,15 @@ def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: in
     slices = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups), -(-queries.count() // SLICE_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
-    stored = blocks.select(F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int").alias("group"), each(slices).alias("slice"), F.lit(0).alias("kind"), "first", *STORED, *none("array<double>", "embedding"))
-    asked = queries.select(each(groups).alias("group"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), F.col("vec_id").alias("first"), *none("binary", *STORED), "embedding")
+    held = ["codes", "vectors", *STORED]
+    stored = blocks.select(F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int").alias("group"), each(slices).alias("slice"), F.lit(0).alias("kind"), "first", *held, *none("array<double>", "embedding"))
+    asked = queries.select(each(groups).alias("group"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), F.col("vec_id").alias("first"), *none("binary", *held), "embedding")
 
     def shortlisted(own: Codebooks, group: list[dict[str, np.ndarray]], mine: pd.DataFrame) -> pd.DataFrame:
-        ask = mine["first"].to_numpy(np.int64)
-        x, long = directions(np.stack(mine["embedding"].to_numpy()).astype(np.float64))
-        table, slack = own.table(x.astype(np.float32)), own.rounding()
-        kept, least = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * len(ask), np.full(len(ask), -np.inf)
+        ask, x = mine["first"].to_numpy(np.int64), np.stack(mine["embedding"].to_numpy()).astype(np.float64)
+        unit, long = directions(x)
+        table, slack = own.table(unit.astype(np.float32)), own.rounding()
+        kept, least = [(np.zeros(0), np.zeros(0, np.int64))] * len(ask), np.full(len(ask), -np.inf)
         for block in group:
             for at in range(0, len(block["ids"]), 1024):
                 part = {c: v[at : at + 1024] for c, v in block.items()}
@@ -188,28 +186,22 @@ def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: in
                 score = table[0][codes[:, 0]]
                 for b in range(1, len(table)):
                     score += table[b][codes[:, b]]
-                bound = (score + (part["far"].astype(np.float64) + slack)[:, None]) * lengths[:, None]
-                if by == "l2":  # half the distance's square, less what all have, a unit of the query's length
-                    bound -= (lengths**2)[:, None] / (2 * long)
-                can = np.ascontiguousarray((bound >= least).T)
-                if not can.any():
-                    continue
-                whole = own.decode(codes) + part["fine"] * part["steps"][:, None].astype(np.float64)
-                near = part["near"].astype(np.float64) + 1e-12
+                bound = (score + (part["far"].astype(np.float64) + slack)[:, None]) * lengths[:, None] * long
+                if by == "l2":
+                    bound -= (lengths**2)[:, None] / 2 * (1 - 1e-12)
+                can, whole = np.ascontiguousarray((bound >= least).T), part["vectors"].astype(np.float64)
                 for q in np.flatnonzero(can.any(1)).tolist():
                     more = np.flatnonzero(can[q] & (part["ids"] != ask[q]))
-                    dot, far, length = whole[more] @ x[q], near[more], lengths[more]
-                    less = length**2 / (2 * long[q]) if by == "l2" else 0.0
-                    had = kept[q]
-                    found = [np.concatenate(v) for v in zip(had, (part["ids"][more], (dot - far) * length - less, (dot + far) * length - less), strict=True)]
-                    least[q] = least_of(found[1], size)
-                    keep = found[2] >= least[q]
-                    kept[q] = tuple(v[keep] for v in found)
-        return pd.DataFrame({"query_id": np.repeat(ask, [len(i) for i, _, _ in kept]), **{c: np.concatenate([k[i] for k in kept]) for i, c in enumerate(("vec_id", "least", "most"))}})
+                    near = (whole[more] * x[q]).sum(1) - (lengths[more] ** 2 / 2 if by == "l2" else 0.0)
+                    both, ids = np.concatenate([kept[q][0], near]), np.concatenate([kept[q][1], part["ids"][more]])
+                    top = best(both, ids, size)
+                    kept[q] = both[top], ids[top]
+                    if len(top) == size:
+                        least[q] = both[top[-1]]
+        return pd.DataFrame({"query_id": np.repeat(ask, [len(i) for _, i in kept]), "vec_id": np.concatenate([i for _, i in kept]), "near": np.concatenate([n for n, _ in kept])})
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, key, group = shared.value, None, []
-        per_row = {0: own.words.shape[2], -1: len(own.words)}
         for frame in frames:
             change = np.flatnonzero((frame[["group", "slice", "kind"]].diff().fillna(0) != 0).any(axis=1))
             for low, high in pairwise([0, *change.tolist(), len(frame)]):
@@ -219,42 +211,35 @@ def shortlists(queries: DataFrame, blocks: DataFrame, books: Codebooks, size: in
                 if (now := (part["group"].iloc[0], part["slice"].iloc[0])) != key:
                     key, group = now, []
                 if part["kind"].iloc[0] == 0:
-                    for row in part[list(STORED)].to_dict("records"):
-                        read = {c: np.frombuffer(row[c], kind) for c, (kind, _) in STORED.items()}
-                        group.append({c: v if STORED[c][1] == 1 else v.reshape(-1, per_row[STORED[c][1]]) for c, v in read.items()})
+                    for row in part[held].to_dict("records"):
+                        read = {c: np.frombuffer(row[c], kind) for c, kind in STORED.items()}
+                        n = len(read["ids"])
+                        short = len(row["vectors"]) == 4 * n * own.words.shape[2]
+                        read["codes"] = np.frombuffer(row["codes"], np.uint8).reshape(n, -1)
+                        read["vectors"] = np.frombuffer(row["vectors"], np.float32 if short else np.float64).reshape(n, -1)
+                        group.append(read)
                 elif group:
                     for at in range(0, len(part), QUERIES_AT_ONCE):
                         yield shortlisted(own, group, part.iloc[at : at + QUERIES_AT_ONCE])
 
     together = stored.unionByName(asked).repartition("group", "slice").sortWithinPartitions("group", "slice", "kind", "first")
-    found = together.mapInPandas(scan, "query_id long, vec_id long, least double, most double")
+    found = together.mapInPandas(scan, "query_id long, vec_id long, near double")
     if groups > 1:
-        sure = Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id")
-        own = sure.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        found = found.withColumn("_place", F.row_number().over(sure)).withColumn("_least", F.max(F.when(F.col("_place") == size, F.col("least"))).over(own))
-        found = found.where(F.col("_least").isNull() | (F.col("most") >= F.col("_least")))
-    return found.select("query_id", "vec_id")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
+        found = found.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
+    return found
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 0, books: Codebooks | None = None) -> DataFrame:
     """The k nearest of vectors by inner product for each query (rows of vectors), ties to the smaller vec_id: query_id, rank,
-    vec_id, score. vectors are usable() ones; the scores are sums in double precision over the originals. shortlist: that many at
-    least are ranked by exact values, and k, and all others that bounds don't rule out."""
+    vec_id, score. vectors are usable() ones; the scores are sums in double precision over the originals. shortlist: the length of
+    a query's list in a group, if that is more than k."""
     if not vectors.head(1):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books, size = books or codebooks(vectors), max(k, shortlist)
-    found = shortlists(queries, written(index(without_crowds(vectors, size + 1), books), "codes"), books, size)
-    pairs = found.join(vectors, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                a, b = (np.stack(frame[c].to_numpy()) for c in ("asked", "embedding"))
-                yield pd.DataFrame({"query_id": frame["query_id"], "vec_id": frame["vec_id"], "score": (a * b).sum(1)})
-
-    exact = pairs.mapInPandas(score, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a group has the shortlist's length
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    books = books or codebooks(vectors)
+    found = shortlists(queries, written(index(vectors, books), "codes"), books, max(k, shortlist))
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")  # a group has the shortlist's length
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("near").alias("score"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
