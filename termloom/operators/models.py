@@ -188,17 +188,17 @@ class Window:
 
 def complete(df: DataFrame, prompt: str, out: str, factory: Callable[[], LanguageModel] = Extractive, batch: int = 20, on_error: str = "empty", window: Window | None = None) -> DataFrame:
     """df with a column `out` of a model's replies to its column `prompt`, asked `batch` at a time, and as many such requests at
-    once in each task as the window lets fly. Tasks hold one window of replies, in the order of their rows.
+    once in each task as the window lets fly. Tasks hold one window of replies, in the order of their rows; prompts alone go to Python.
 
     A batch that fails is asked one by one; what fails then has an empty reply (or a null one, if on_error is "null"), or stops
     the job if it is "raise". Rows with a null prompt aren't asked, and have a null reply."""
     window = window or Window()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = factory()
-        for frame in frames:
-            told = frame[prompt].notna().to_numpy()
-            prompts = frame[prompt][told].tolist()
+        for column in columns:
+            told = column.notna().to_numpy()
+            prompts = column[told].tolist()
             parts = [prompts[at : at + batch] for at in range(0, len(prompts), batch)]
             replies: list = []
             for part, got in zip(parts, window.map(own.complete, parts), strict=True):
@@ -208,12 +208,13 @@ def complete(df: DataFrame, prompt: str, out: str, factory: Callable[[], Languag
                     alone = window.map(own.complete, [[p] for p in part]) if len(part) > 1 else [got]
                     got = [("" if on_error == "empty" else None) if isinstance(x, Exception) else x[0] for x in alone]
                 replies += got
-            column = np.full(len(frame), None, object)
-            column[told] = [r if r is None else r.encode("utf-8", "ignore").decode() for r in replies]
-            yield frame.assign(**{out: column})
+            reply = np.full(len(column), None, object)
+            reply[told] = [r if r is None else r.encode("utf-8", "ignore").decode() for r in replies]
+            yield pd.Series(reply)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{out}` string")
+    # Not deterministic for Spark, so that no step that reads a reply twice asks for it twice.
+    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out, pandas_udf(run, "string").asNondeterministic()(F.col(prompt)))
 
 
 #: Characters of a chunk that a filter prompt and a definition prompt show, as in the reference.

@@ -20,11 +20,16 @@ def gated_articles(articles: DataFrame) -> DataFrame:
     return articles.where(n_words(F.col("content")) >= ARTICLE_WORDS)
 
 
+def _counted_chunks(articles: DataFrame) -> DataFrame:
+    """gated_chunks() with n_tokens. Articles are cut into words once, for their gate and their windows."""
+    words = articles.select("title", split_words(F.col("content")).alias("tokens")).where(F.size("tokens") >= ARTICLE_WORDS)
+    found = capped_windows(words, "tokens", CHUNK, CHUNK_OVERLAP, CHUNK_MOST)
+    return found.where(F.col("n_tokens") >= CHUNK_WORDS).select("title", F.col("chunk_id").alias("chunk_index"), F.col("text").alias("chunk"), "n_tokens")
+
+
 def gated_chunks(articles: DataFrame) -> DataFrame:
     """title, chunk_index and chunk of articles (title, content) that pass both gates."""
-    words = gated_articles(articles).select("title", split_words(F.col("content")).alias("tokens"))
-    found = capped_windows(words, "tokens", CHUNK, CHUNK_OVERLAP, CHUNK_MOST)
-    return found.where(F.col("n_tokens") >= CHUNK_WORDS).select("title", F.col("chunk_id").alias("chunk_index"), F.col("text").alias("chunk"))
+    return _counted_chunks(articles).drop("n_tokens")
 
 
 def within_budget(prompt: Column, most: int = PROMPT_MOST, system: str = "", count: Callable[[Column], Column] = n_words) -> Column:
@@ -50,12 +55,15 @@ def qa_rows(articles: DataFrame, factory: Callable[[], LanguageModel] = Extracti
 
     The first pass is stored before the second reads it, so that no prompt is asked twice, even if executors are lost. Needs a
     checkpoint folder."""
-    first = gated_chunks(articles).withColumn("prompt", F.concat(F.lit("task: questions\n---\n"), F.col("chunk")))
+    asks, answers = "task: questions\n---\n", ("task: answer\nquestion: ", "\n---\n")
+    first = _counted_chunks(articles).withColumn("prompt", F.concat(F.lit(asks), F.col("chunk")))
     ask = store.complete if store else complete
-    asked = ask(first.where(within_budget(F.col("prompt"))), "prompt", "reply", factory, window=window)
-    each = asked.select("title", "chunk_index", "chunk", F.explode(questions(F.col("reply"))).alias("question")).checkpoint()
-    second = each.withColumn("prompt", F.concat(F.lit("task: answer\nquestion: "), F.col("question"), F.lit("\n---\n"), F.col("chunk")))
-    told = ask(second.where(within_budget(F.col("prompt"))), "prompt", "reply", factory, window=window).withColumn("a", answer(F.col("reply")))
+    fits = lambda head: n_words(head) + F.col("n_tokens") <= PROMPT_MOST  # noqa: E731  within_budget() of the prompt: a chunk's words are counted
+    asked = ask(first.where(fits(F.lit(asks))), "prompt", "reply", factory, window=window)
+    each = asked.select("title", "chunk_index", "chunk", "n_tokens", F.explode(questions(F.col("reply"))).alias("question")).checkpoint()
+    head = F.concat(F.lit(answers[0]), F.col("question"), F.lit(answers[1]))
+    second = each.withColumn("prompt", F.concat(head, F.col("chunk")))
+    told = ask(second.where(fits(head)), "prompt", "reply", factory, window=window).withColumn("a", answer(F.col("reply")))
     return told.where("a IS NOT NULL").select(F.col("title").alias("source_article"), "chunk_index", "a.question", "a.answer", snippet(F.col("chunk")).alias("context"))
 
 
