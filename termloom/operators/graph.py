@@ -31,8 +31,9 @@ def compound_edges(partial: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def similar_edges(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, similarity): an edge each way."""
-    return pairs.select(*_edge("a", "b", SIMILAR_MEANING, F.col("similarity"))).unionByName(pairs.select(*_edge("b", "a", SIMILAR_MEANING, F.col("similarity"))))
+    """pairs (a, b, similarity): an edge each way. Pairs are found once for both."""
+    way = lambda source, target: F.struct(*_edge(source, target, SIMILAR_MEANING, F.col("similarity")))
+    return pairs.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
 
 
 def parent_edges(nodes: DataFrame) -> DataFrame:
@@ -109,10 +110,12 @@ def neighbours(found: DataFrame, edges: DataFrame, incoming: str, outgoing: str)
     """found (id) with two sorted lists: sources of incoming edges of one type, and targets of outgoing ones of another.
 
     Each side is aggregated before it is joined, so the two lists never multiply."""
-    to = edges.where(F.col("type") == incoming).groupBy(F.col("target").alias("id")).agg(F.sort_array(F.collect_set("source")).alias("before"))
-    out = edges.where(F.col("type") == outgoing).groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set("target")).alias("related"))
-    none = F.array().cast("array<string>")
-    return found.join(to, "id", "left").join(out, "id", "left").withColumns({c: F.coalesce(F.col(c).cast("array<string>"), none) for c in ("before", "related")})
+    side = lambda kind, end, before, related: F.when(F.col("type") == kind, F.struct(F.col(end).alias("id"), before.alias("before"), related.alias("related")))
+    none, no = F.array().cast("array<string>"), lambda c: F.lit(None).cast(edges.schema[c].dataType)
+    ends = F.array(side(incoming, "target", F.col("source"), no("target")), side(outgoing, "source", no("source"), F.col("target")))
+    each = edges.select(F.inline(F.filter(ends, lambda e: e.isNotNull())))  # edges are made once for both sides
+    lists = each.groupBy("id").agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in ("before", "related")))
+    return found.join(lists, "id", "left").withColumns({c: F.coalesce(F.col(c).cast("array<string>"), none) for c in ("before", "related")})
 
 
 def first_of_type(edges: DataFrame, order: str, n: int = 5) -> DataFrame:
