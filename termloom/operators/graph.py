@@ -6,7 +6,11 @@ Nodes are (term, definition); edges are (source, target, type, weight), and repe
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,13 +210,53 @@ def _to_least(links: DataFrame, upwards: bool) -> DataFrame:
     return ends.where("high <> low").distinct()
 
 
+#: Edges that a task gathers before it leaves those out that join nothing; nodes up to which their labels go to every task.
+GATHERED, NEAR_NODES = 1 << 20, 1 << 22
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the root of each) of edges."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, up = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while len(u):
+        low, high = np.minimum(up[u], up[v]), np.maximum(up[u], up[v])
+        np.minimum.at(up, high, low)
+        while not np.array_equal(up, on := up[up]):
+            up = on
+        apart = up[u] != up[v]
+        u, v = u[apart], v[apart]
+    return node, node[up]
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as trees of what each task has: node and root, a row for each of a task's nodes, however many edges there are."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            held.append((frame["a"].to_numpy(), frame["b"].to_numpy()))
+            n += len(frame)
+            if n > GATHERED + 2 * len(held[0][0]):
+                held, n = [_roots(*map(np.concatenate, zip(*held, strict=True)))], 0
+        if held:
+            node, root = _roots(*map(np.concatenate, zip(*held, strict=True)))
+            for k in range(0, len(node), 1 << 16):
+                yield pd.DataFrame({"node": node[k : k + (1 << 16)], "root": root[k : k + (1 << 16)]})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    ends = edges.select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).where("a IS NOT NULL")
+    return ends.mapInPandas(run, f"node {kind}, root {kind}")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and component (the least node) of undirected edges (a, b).
 
-    Each round links neighbourhoods to their least node, first those above a node and then those below; the rounds grow as the
-    logarithm of the longest way, and each is cut by a checkpoint. A hub's links are split by AQE's join for skewed keys."""
-    own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct().checkpoint()
+    Of each task's edges a forest alone is stored. Each round links neighbourhoods to their least node, first those above a node and
+    then those below; the rounds grow as the logarithm of the longest way, and each is cut by a checkpoint. A hub's links are split
+    by AQE's join for skewed keys."""
+    trees = forests(edges).checkpoint()
+    own = trees.select("node").distinct()
+    links = trees.where("node <> root").select(F.greatest("node", "root").alias("high"), F.least("node", "root").alias("low")).distinct().checkpoint()
     before = None
     while (now := links.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()) != before:
         before, links = now, _to_least(_to_least(links, True), False).checkpoint()
@@ -230,17 +274,22 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     Each node begins with itself as its label. In a round, the nodes whose turn it is take the label that their neighbours have with
     the most weight, ties to the least label; weights count in millionths, so that sums don't depend on their order. Edges to
-    the node itself and those without a positive weight have no say; repeated edges add up. Edges are stored once, and labels, a row
-    for each node, after each round; a hub's votes are summed before they are dealt out, and its label's join is one that AQE
-    splits. Stops when no label has changed in two rounds. Needs a checkpoint folder."""
-    own = edges.where("weight > 0").select("a", "b", F.round(F.col("weight") * 1_000_000).cast("long").alias("w"))
-    own = own.where("a <> b")
-    both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")).checkpoint()
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    the node itself and those without a positive weight have no say; repeated edges add up. Edges are stored once, one way, in packed
+    columns, and labels, a row for each node, after each round. Labels of up to NEAR_NODES nodes go to the edges, else these are
+    dealt out; votes are summed before they are. Stops when no label has changed in two rounds. Needs a checkpoint folder."""
+    spark = edges.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/edges-{uuid.uuid4().hex}"
+    weight = F.when(F.col("weight") > 0, F.round(F.col("weight") * 1_000_000).cast("long"))
+    edges.select("a", "b", weight.alias("w")).write.option("compression", "zstd").parquet(path)
+    edges = spark.read.parquet(path)
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("w"))
+    both = edges.where("w IS NOT NULL AND a <> b").select(F.inline(F.array(way("a", "b"), way("b", "a"))))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels, still = ends.select("node", F.col("node").alias("label")).checkpoint(), 0
+    near = F.broadcast if labels.count() <= NEAR_NODES else lambda df: df
     for r in range(rounds):
         asking = both.where(_turn(F.col("a"), r))
-        votes = asking.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+        votes = asking.join(near(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best"))
         told = labels.join(best, "node", "left").select("node", F.coalesce("best.label", "label").alias("label"), (F.coalesce("best.label", "label") != F.col("label")).alias("moved")).checkpoint()
         still = 0 if told.where("moved").limit(1).count() else still + 1
